@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, tokens
-from .common import table
+from . import bpe, langid, quality, secrets, tokens
+from .common import table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -18,6 +19,12 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()), langid.read_pieces(PIECES))
+    return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).select("doc_id", "ids")
     return bpe.decode(ids, BYTE_BPE).select(
@@ -33,5 +40,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, BYTE_RANKS, public_tokenizers.PATTERN).select("doc_id", "secret_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op5_bpe_round_trip, op6_secret_scan)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    judged = quality.judged(written(docs, "measured"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_binary, op3_language_id, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules)}
 ORACLES: dict[str, str] = {}
