@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +111,16 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def text_slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[list[str | None]]:
+    """The column's texts in order, in lists of ``most_bytes`` together, or of one longer text."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    at, done = 0, 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, done + most_bytes, side="right")))
+        yield column.slice(at, end - at).to_pylist()
+        at, done = end, int(sizes[end - 1])
+
+
 def lower_ascii(text: str) -> str:
     """Lower-cases A to Z only."""
     return text.lower() if text.isascii() else text.translate(_LOWER)

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_slices
+
 #: Parameter: labelled documents of each language that the fit takes, about.
 DOCS_PER_LANG = 200
 EM_ROUNDS = 3
@@ -214,8 +216,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             names, scores = [], []
-            for at in range(0, batch.num_rows, 1000):
-                a, b = scorer.predict(column.slice(at, 1000).to_pylist())
+            for texts in text_slices(column):
+                a, b = scorer.predict(texts)
                 names += a
                 scores.append(b)
             scores = np.concatenate(scores) if scores else np.zeros(0)

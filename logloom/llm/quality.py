@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textstats
-from .common import written
+from .common import text_slices, written
 
 #: feature: (slack below the median or None for no lower limit, slack above it).
 FEATURES = {
@@ -54,7 +54,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            rows = [textstats.stats(t) for at in range(0, batch.num_rows, 500) for t in texts.slice(at, 500).to_pylist()]
+            rows = [textstats.stats(t) for part in text_slices(texts) for t in part]
             counts = np.array(rows, np.int64).reshape(-1, len(textstats.FIELDS))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), *(pa.array(c) for c in counts.T)], names=schema.names)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secrets, tokens
+from . import bpe, langid, quality, secrets, tokens, warc
 from .common import table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).select("doc_id", "ids")
     return bpe.decode(ids, BYTE_BPE).select(
@@ -46,5 +50,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op3_language_id, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_slices
+
 #: Fixed patterns of the base scan, with the least length of what is kept.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -125,9 +127,7 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", o
         encode = encoder(ranks.value, pattern).encode_ordinary
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
-            found = []
-            for at in range(0, batch.num_rows, 500):
-                found += spans_of(column.slice(at, 500).to_pylist(), encode)
+            found = [x for texts in text_slices(column) for x in spans_of(texts, encode)]
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in found]
             spans = pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), spans], names=[*keep, out_col])

@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from . import idcodec
 from .bpe import read_spec
-from .common import shuffle_partitions, work_dir
+from .common import shuffle_partitions, text_slices, work_dir
 
 #: White space that surely separates words for the library too; whatever else there is stays within a chunk.
 CHUNK = re.compile(r"[^ \t\n\r]+")
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 SECTION_IDS = idcodec.BLOCK * idcodec.LANES
 END_ID = 1
 _state: dict[str, tuple] = {}
@@ -140,9 +140,10 @@ def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "do
             if opened is None and batch.num_rows:
                 opened = store.open_output_stream(attempt)
                 opened.write(idcodec.MAGIC)
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 500):
-                for doc, got in zip(names[at : at + 500], coder.encode(texts.slice(at, 500).to_pylist(), end_id), strict=True):
+            names = iter(batch.column(0).to_pylist())
+            for texts in text_slices(batch.column(1)):
+                for got in coder.encode(texts, end_id):
+                    doc = next(names)
                     if size + len(got) // 2 > SECTION_IDS:
                         flush()
                     ids.append(doc)
