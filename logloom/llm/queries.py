@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secrets, tokens, warc
+from . import bpe, langid, neardup, quality, secrets, tokens, warc
 from .common import table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -50,5 +50,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules)}
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), k=2, per_cent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_binary, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules, op8_near_duplicates)}
 ORACLES: dict[str, str] = {}
