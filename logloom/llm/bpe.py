@@ -33,11 +33,12 @@ from .common import text_slices
 #: The split pattern of the byte-level pre-tokenizer of this vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A coarser split whose borders are always borders of SPLIT too, where both agree about white space.
-COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Letters up to white space, a full stop or a comma come first, and these marks up to white space next.
+COARSE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s.,]|\Z)|[.,]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
 #: Python counts these as white space, Unicode (and so the library) doesn't.
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-#: Chunks a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Chunks a worker remembers; the first ones have most of the frequent words.
+REMEMBERED = 300_000
 NEVER = np.iinfo(np.int32).max
 
 
@@ -83,6 +84,8 @@ class SpeculativeBPE:
             self.merges.setdefault((x, y), (rank, z))
             if self.made_at[z] == NEVER:
                 self.left[z], self.right[z], self.made_at[z] = x, y, rank
+        self.merge_at = {x * self.size + y: found for (x, y), found in self.merges.items()}
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
 
@@ -161,19 +164,22 @@ class SpeculativeBPE:
 
     def _merged(self, word: bytes) -> list[int]:
         """Exact merging, lowest rank first and leftmost first at equal ranks."""
-        parts = [self.ids[word[k : k + 1]] for k in range(len(word))]
-        merges = self.merges
+        parts = [self.byte_ids[b] for b in word]
         if len(parts) > 256:
             return self._merged_long(parts)
-        while len(parts) > 1:
-            best, at = (NEVER, 0), -1
-            for k in range(len(parts) - 1):
-                found = merges.get((parts[k], parts[k + 1]))
-                if found is not None and found[0] < best[0]:
-                    best, at = found, k
-            if at < 0:
+        find, none, size = self.merge_at.get, (NEVER, -1), self.size
+        ranks = [find(x * size + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best is none or best[0] == NEVER:
                 break
+            at = ranks.index(best)
             parts[at : at + 2] = [best[1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = find(parts[at - 1] * size + best[1], none)
+            if at < len(ranks):
+                ranks[at] = find(best[1] * size + parts[at + 1], none)
         return parts
 
     def _merged_long(self, parts: list[int]) -> list[int]:
@@ -218,7 +224,7 @@ class SpeculativeBPE:
             out[k] = self._merged(words[k])
         return out
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         fine: dict[str, list[str]] = {}
         words: dict[str, int] = {}
         for c in chunks:
@@ -226,8 +232,7 @@ class SpeculativeBPE:
             for w in fine[c]:
                 words.setdefault(w, len(words))
         ids = [np.array(x, np.int32).tobytes() for x in self.encode_words([w.encode() for w in words])]
-        for c, parts in fine.items():
-            self.remembered[c] = b"".join(ids[words[w]] for w in parts)
+        return {c: b"".join(ids[words[w]] for w in parts) for c, parts in fine.items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -240,11 +245,13 @@ class SpeculativeBPE:
             else:
                 parts += [(k, None, self.special[p]) if p in self.special else (k, p, -1) for p in self.special_split.split(text) if p]
         chunked = [None if p is None else COARSE.findall(p) if not ODD_SPACE.search(p) else _split(p) for _, p, _ in parts]
-        if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
         known = self.remembered
         if missing := {c for x in chunked if x for c in x if c not in known}:
-            self._learn(missing)
+            learned = self._learn(missing)
+            if len(known) < REMEMBERED:
+                known.update(learned)
+            else:
+                known = known | learned
         out: list[list[bytes]] = [[] for _ in texts]
         for (k, _, special), chunks in zip(parts, chunked, strict=True):
             out[k].append(np.array([special], np.int32).tobytes() if chunks is None else b"".join(map(known.__getitem__, chunks)))
