@@ -4,10 +4,10 @@ Texts and benchmark items are sequences of words (runs of letters, digits and un
 most ``EDITS`` * m word edits away from it.
 
 1. Windows of an item's size start at every word of every document. A run within e edits of an item of m words shares m - 1 - 2e of its
-   word pairs at least, so that windows with fewer word pairs of any item can't start a leak; they are left out, without loss.
+   word pairs at least, so that windows with fewer word pairs of the items of that size can't start a leak; they are left out, without loss.
 2. The others are embedded by the CGK random walk: at each of 3m steps the current word is put out, and a random bit of step and word
-   tells whether to go on to the next. Sequences at a small edit distance have a small Hamming distance then.
-3. Bit sampling: ``SAMPLES`` random choices of ``BITS`` steps on each of ``WALKS`` walks are the hash keys. A window and an item of its size that share a key
+   tells whether to go on to the next (steps from 2m on, near the end, aren't sampled). Sequences at a small edit distance have a small Hamming distance then.
+3. Bit sampling: ``SAMPLES`` random choices of ``BITS`` steps, before the walk nears its end, on each of ``WALKS`` walks are the hash keys. A window and an item of its size that share a key
    are candidates.
 4. Candidates are verified by exact edit distance, over all ends of the run.
 
@@ -34,9 +34,13 @@ from .bpe import replaced
 from .common import WordHashes, mixed, text_slices
 
 EDITS = 0.2
-WALKS, SAMPLES, BITS = 10, 8, 3
+WALKS, SAMPLES, BITS = 10, 8, 4
 #: Items of a block, and their characters together, at most.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
+#: Bytes of text that are searched at a time.
+SLICE = 8 << 20
+#: Windows that are embedded at a time.
+WINDOWS = 4000
 TOKEN = re.compile(r"\w+")
 HIT = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("item_id", T.LongType()), ("distance", T.LongType()), ("n_words", T.LongType()), ("start", T.LongType()), ("end", T.LongType()))]))
 _HIT = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "distance", "n_words", "start", "end")]))
@@ -76,57 +80,71 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         hashes = WordHashes()
         self.by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        pairs, single = [], []
+        pairs = []
         for item, text in rows:
             words = hashes.of(TOKEN.findall(text.lower()))
             if len(words):
                 self.by_size[len(words)].append((item, words))
                 pairs.append(_pairs(words))
-                if len(words) == 1:
-                    single.append(words)
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
-        self.single = np.unique(np.concatenate(single)) if single else np.zeros(0, np.uint64)
+        self.of_size = {m: np.isin(self.pairs, np.concatenate([_pairs(w) for _, w in items])) for m, items in self.by_size.items()}
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
         self.longest = max((m + most_edits(m) for m in self.by_size), default=0)
         self.keys = {m: [self._keyed(k) for k in _sampled(np.stack([w for _, w in items]), np.arange(len(items)), m)] for m, items in self.by_size.items() if m > 1}
 
+    @staticmethod
+    def needed(m: int) -> int:
+        """Word pairs that a run within the allowed edits of an item of ``m`` words shares with it at least."""
+        return max(1, m - 1 - 2 * most_edits(m))
+
     @staticmethod
     def _keyed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
         return keys[order], order
 
-    def hit_pairs(self, flat: np.ndarray) -> np.ndarray:
-        """For each word, whether it and the next are a word pair of some item."""
-        out = np.zeros(len(flat), np.int32)
-        if len(self.pairs) and len(flat) > 1:
-            key = _pairs(flat)
-            at = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
-            found = np.minimum(np.searchsorted(self.pairs, key[at]), len(self.pairs) - 1)
-            out[at] = self.pairs[found] == key[at]
-        return out
+    def hit_pairs(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that form a word pair of some item with the next, and which pair that is."""
+        if not len(self.pairs) or len(flat) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key = _pairs(flat)
+        at = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(self.pairs, key[at]), len(self.pairs) - 1)
+        real = self.pairs[found] == key[at]
+        return at[real], found[real]
+
+    def starts(self, places: np.ndarray, m: int) -> np.ndarray:
+        """Starts of windows that hold as many of ``places`` as a leak of an item of ``m`` words must."""
+        need, width = self.needed(m), m + most_edits(m) - 1
+        first, last = places[: len(places) - need + 1], places[need - 1 :]
+        near = np.flatnonzero(last - first < width)
+        begin, end = np.maximum(last[near] - width + 1, 0), first[near] + 1
+        if not len(near):
+            return near
+        sizes = end - begin
+        return np.unique(np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()))
 
     def candidates(self, flat: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(size, start, number of the item) of windows that share a key with an item. ``flat`` has zeros after each text."""
-        total = np.concatenate([[0], np.cumsum(self.hit_pairs(flat))])
-        n = len(flat)
+        places, pair = self.hit_pairs(flat)
         for m, items in self.by_size.items():
             if m == 1:
                 for k, (_, words) in enumerate(items):
                     yield from ((1, int(s), k) for s in np.flatnonzero(flat == words[0]))
                 continue
-            e = most_edits(m)
-            ends = np.minimum(np.arange(n) + m + e - 1, n)
-            starts = np.flatnonzero((total[ends] - total[:n] >= max(1, m - 1 - 2 * e)) & (flat != 0))
+            starts = self.starts(places[self.of_size[m][pair]], m)
+            starts = starts[flat[starts] != 0]
             if not len(starts):
                 continue
             padded = np.concatenate([flat, np.zeros(m, np.uint64)])
-            found: set[tuple[int, int]] = set()
-            for (keys, order), own in zip(self.keys[m], _sampled(padded, starts, m), strict=True):
-                low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                for k in np.flatnonzero(high > low):
-                    found.update((int(starts[k]), int(i)) for i in order[low[k] : high[k]])
-            yield from ((m, s, i) for s, i in sorted(found))
+            for at in range(0, len(starts), WINDOWS):
+                part = starts[at : at + WINDOWS]
+                found: set[tuple[int, int]] = set()
+                for (keys, order), own in zip(self.keys[m], _sampled(padded, part, m), strict=True):
+                    low = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    for k in np.flatnonzero(keys[low] == own):
+                        found.update((int(part[k]), int(i)) for i in order[low[k] : np.searchsorted(keys, own[k], "right")])
+                yield from ((m, s, i) for s, i in sorted(found))
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -135,22 +153,22 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 
 def _sampled(words: np.ndarray, at: np.ndarray, m: int) -> Iterator[np.ndarray]:
     """WALKS * SAMPLES key arrays of windows of ``m`` words: rows of a matrix, or at places of a flat array."""
-    steps = 3 * m
+    busy = max(1, int(2 * m - 2 * m**0.5))  # later steps mostly put out what follows the end, which all windows share
     rng = np.random.default_rng(1000 + m)
+    i = np.zeros((WALKS, len(at)), np.int64)
+    out = np.zeros((busy, WALKS, len(at)), np.uint64)
+    seeds = (np.arange(WALKS, dtype=np.uint64) * np.uint64(4096))[:, None]
+    for j in range(busy):
+        inside = i < m
+        k = np.minimum(i, m - 1)
+        word = words[at, k] if words.ndim == 2 else words[at + k]
+        out[j] = np.where(inside, word, np.uint64(0))
+        i += ((mixed(word ^ (seeds + np.uint64(j + 1))) & np.uint64(1)) == 1) & inside
     for walk in range(WALKS):
-        i = np.zeros(len(at), np.int64)
-        out = np.zeros((steps, len(at)), np.uint64)
-        for j in range(steps):
-            inside = i < m
-            k = np.minimum(i, m - 1)
-            word = words[at, k] if words.ndim == 2 else words[at + k]
-            out[j] = np.where(inside, word, np.uint64(0))
-            bit = mixed(word ^ np.uint64(walk * 4096 + j + 1)) & np.uint64(1)
-            i += (bit == 1) & inside
         for _ in range(SAMPLES):
             key = np.zeros(len(at), np.uint64)
-            for j in rng.choice(steps, min(BITS, steps), replace=False):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + out[j])
+            for j in rng.choice(busy, min(BITS, busy), replace=False):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + out[j, walk])
             yield key
 
 
@@ -205,7 +223,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_c
             items, hashes = Items(sent.value), WordHashes()
             for batch in batches:
                 column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                found = [x for texts in text_slices(column(text_col)) for x in hits(texts, items, hashes)]
+                found = [x for texts in text_slices(column(text_col), SLICE) for x in hits(texts, items, hashes)]
                 both = [a + b for a, b in zip(column(out_col).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(column(c) for c in keep), pa.array(both, _HIT)], names=[*keep, out_col])
 
