@@ -5,9 +5,9 @@ compressed form: its count of leading zeros and the next ``MANTISSA`` bits. Band
 candidates share. With 32 bands, a pair of similarity 0.8 shares none with a probability of (1 - 0.8**4)**32, 5e-8.
 
 1. Documents with equal sets are one class; the class works from here on as its smallest document id.
-2. In each band's bucket a pseudo-random member of its own is the hub; members pair up with hubs only. Pairs whose estimated similarity,
-   corrected for registers that agree by accident, is five standard errors below the threshold are dropped. Connected
-   pairs form families.
+2. In each band's bucket a pseudo-random member of its own is the hub; members pair up with hubs only. Pairs are dropped whose estimated similarity,
+   corrected for registers that agree by accident, is five standard errors below the threshold, or whose registers differ
+   in more places than the sets may differ in shingles. Connected pairs form families.
 3. Families are verified on their full sets: members are dealt into blocks of bounded size, every two blocks of a
    family meet in some task, which counts all intersections exactly and returns a spanning forest of the links it finds.
 4. Components of these links are the groups; the smallest document id of each stays.
@@ -122,11 +122,11 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             rows = lambda c: np.asarray(batch.column(at[c]).flatten()).reshape(batch.num_rows, BANDS).view(np.uint16)
             a, b = rows("hub_bands"), rows("member_bands")
             n, m = np.asarray(batch.column(at["hub_n"])), np.asarray(batch.column(at["member_n"]))
-            used = np.maximum(((a != 0) | (b != 0)).sum(1), 1)
-            # few used registers tell less than REGISTERS do
-            slack = 5 * (threshold * (1 - threshold)) ** 0.5 * (used**-0.5 - REGISTERS**-0.5)
-            fine = (estimated(a, b, n, m) >= least - slack) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-            fine |= used < 40
+            # each register that differs has a shingle of its own that only one of the sets has
+            fine = (a != b).sum(1) <= (n + m) * (1 - threshold) / (1 + threshold) + 1e-9
+            fine &= np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+            # a sample as large as the whole tells more than the error of a small one allows for
+            fine &= (estimated(a, b, n, m) >= least) | (n + m < 4 * REGISTERS)
             yield batch.filter(pa.array(fine)).select([at["hub"], at["member"]])
 
     joined = pairs.join(side("member"), "member").join(side("hub"), "hub")

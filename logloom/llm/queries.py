@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, secrets, substrings, tokens, warc
+from . import bpe, decontaminate, langid, linededup, neardup, quality, secrets, substrings, tokens, warc
 from .common import table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()), langid.read_pieces(PIECES))
@@ -62,5 +66,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules, op8_near_duplicates, op9_substring_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules, op8_near_duplicates, op9_substring_dedup, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
