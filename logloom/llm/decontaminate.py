@@ -116,6 +116,8 @@ class Items:
     def starts(self, places: np.ndarray, m: int) -> np.ndarray:
         """Starts of windows that hold as many of ``places`` as a leak of an item of ``m`` words must."""
         need, width = self.needed(m), m + most_edits(m) - 1
+        if len(places) < need:
+            return np.zeros(0, np.int64)
         first, last = places[: len(places) - need + 1], places[need - 1 :]
         near = np.flatnonzero(last - first < width)
         begin, end = np.maximum(last[near] - width + 1, 0), first[near] + 1
