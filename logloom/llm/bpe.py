@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import mapped, text_slices
 
 #: The split pattern of the byte-level pre-tokenizer of this vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,7 +38,7 @@ COARSE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s.,]|\Z)|[.,]+(?=\s|\Z)| ?\
 #: Python counts these as white space, Unicode (and so the library) doesn't.
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 #: Chunks a worker remembers; the first ones have most of the frequent words.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NEVER = np.iinfo(np.int32).max
 
 
@@ -77,21 +77,20 @@ class SpeculativeBPE:
         self.left, self.right = np.full(self.size, -1, np.int64), np.full(self.size, -1, np.int64)
         self.made_at = np.full(self.size, NEVER, np.int64)
         keys = np.empty(len(pairs), np.int64)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merge_at: dict[int, tuple[int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             keys[rank] = x * self.size + y
-            self.merges.setdefault((x, y), (rank, z))
+            self.merge_at.setdefault(x * self.size + y, (rank, z))
             if self.made_at[z] == NEVER:
                 self.left[z], self.right[z], self.made_at[z] = x, y, rank
-        self.merge_at = {x * self.size + y: found for (x, y), found in self.merges.items()}
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
 
     def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Ranks of the merges of pairs, NEVER where there is none."""
-        key = x * self.size + y
+        key = x.astype(np.int64) * self.size + y
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NEVER)
 
@@ -109,7 +108,7 @@ class SpeculativeBPE:
             nodes = np.stack(levels[::-1], 1)  # from the byte to the token; short spines repeat the byte
             until = np.full(nodes.shape, NEVER, np.int64)
             until[:, :-1] = np.where(nodes[:, 1:] != nodes[:, :-1], self.made_at[nodes[:, 1:]], -1)
-            return nodes, until
+            return nodes.astype(np.int32), until.astype(np.int32)
 
         self.last, self.last_until = spine(self.right)
         self.first, self.first_until = spine(self.left)
@@ -186,11 +185,11 @@ class SpeculativeBPE:
         """The same with a heap and a linked list, for words of any length."""
         import heapq
 
-        n, merges = len(parts), self.merges
+        n, merge_at, size = len(parts), self.merge_at, self.size
         after, before, heap = [*range(1, n), -1], [-1, *range(n - 1)], []
 
         def offer(k: int) -> None:
-            if k >= 0 and after[k] >= 0 and (m := merges.get((parts[k], parts[after[k]]))) is not None:
+            if k >= 0 and after[k] >= 0 and (m := merge_at.get(parts[k] * size + parts[after[k]])) is not None:
                 heapq.heappush(heap, (m[0], k, parts[k], parts[after[k]], m[1]))
 
         for k in range(n):
@@ -319,7 +318,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col: str
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), ids], names=[*keep, out_col])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -335,7 +334,7 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str =
             texts = pa.array([bpe.decode(x) if x else "" for x in column.to_pylist()] if column.null_count else _texts(bpe, column), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), texts], names=[*keep, out_col])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def _texts(bpe: PieceDecoder, column: pa.ListArray) -> list[str]:

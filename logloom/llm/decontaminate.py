@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import replaced
-from .common import WordHashes, mixed, text_slices
+from .common import WordHashes, mapped, mixed, text_slices
 
 EDITS = 0.2
 WALKS, SAMPLES, BITS = 10, 8, 4
@@ -229,7 +229,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_c
                 both = [a + b for a, b in zip(column(out_col).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(column(c) for c in keep), pa.array(both, _HIT)], names=[*keep, out_col])
 
-        out = out.mapInArrow(run, out.schema)
+        out = mapped(out, run, out.schema)
     return out
 
 

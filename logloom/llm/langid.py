@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import mapped, text_slices
 
 #: Parameter: labelled documents of each language that the fit takes, about.
 DOCS_PER_LANG = 200
@@ -223,4 +223,4 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

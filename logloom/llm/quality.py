@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textstats
-from .common import text_slices, written
+from .common import mapped, text_slices, written
 
 #: feature: (slack below the median or None for no lower limit, slack above it).
 FEATURES = {
@@ -58,7 +58,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             counts = np.array(rows, np.int64).reshape(-1, len(textstats.FIELDS))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), *(pa.array(c) for c in counts.T)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def base_failed() -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import mapped, text_slices
 
 #: Fixed patterns of the base scan, with the least length of what is kept.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -132,7 +132,7 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", o
             spans = pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), spans], names=[*keep, out_col])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def digest(scanned: DataFrame, out_col: str = "secret_spans") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, work_dir
+from .common import mapped, shuffle_partitions, work_dir
 
 BLOCK_LINES = 1000
 LEVEL = 1
@@ -146,7 +146,7 @@ def write_archives(pages: DataFrame, out_dir: str, revisit_from: int = 0) -> Dat
         if out is not None:
             out.close()
 
-    return with_refers(pages, revisit_from).mapInArrow(run, "key string, page_id long, file string, at long, size long")
+    return mapped(with_refers(pages, revisit_from), run, "key string, page_id long, file string, at long, size long")
 
 
 def write_index(lines: DataFrame, out_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def write_index(lines: DataFrame, out_dir: str) -> DataFrame:
             out.close()
 
     dealt = lines.select("key", "file", "at", "size").repartitionByRange(shuffle_partitions(lines.sparkSession), "key", "file", "at").sortWithinPartitions("key", "file", "at")
-    return dealt.mapInArrow(run, "first string, last string, file string, at long, size long, lines long")
+    return mapped(dealt, run, "first string, last string, file string, at long, size long, lines long")
 
 
 def _blocks_of(first: list[str], last: list[str], key: str) -> range:
@@ -205,7 +205,7 @@ def find(keys: DataFrame, directory: DataFrame, index_dir: str) -> DataFrame:
                 rows = [(key, files[b], ats[b], sizes[b]) for key in batch.column(0).to_pylist() for b in _blocks_of(first, last, key)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("key", "file", "at", "size"), r, strict=True)) for r in rows], schema=pa.schema([("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())]))
 
-        placed = keys.select("key").distinct().mapInArrow(place, schema)
+        placed = mapped(keys.select("key").distinct(), place, schema)
     else:
         placed = keys.select("key").distinct().join(directory, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("key", "file", "at", "size")
 
@@ -226,7 +226,7 @@ def find(keys: DataFrame, directory: DataFrame, index_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())]))
 
     n = shuffle_partitions(spark)
-    return placed.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(search, schema)
+    return mapped(placed.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key"), search, schema)
 
 
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -259,7 +259,7 @@ def read_records(found: DataFrame, archive_dir: str, with_payload: bool = True)
             source.close()
 
     dealt = found.select("file", "at", "size").repartition(shuffle_partitions(found.sparkSession), "file", F.floor(F.col("at") / (4 * READ_MOST)))
-    return dealt.sortWithinPartitions("file", "at").mapInArrow(run, CAPTURE if with_payload else CAPTURE.rpartition(", ")[0])
+    return mapped(dealt.sortWithinPartitions("file", "at"), run, CAPTURE if with_payload else CAPTURE.rpartition(", ")[0])
 
 
 class Archive:
@@ -289,7 +289,7 @@ def keys_of(pages: DataFrame) -> DataFrame:
             keys = [sort_key(u, p) for u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string())})
 
-    return pages.select(F.col("url").cast("string"), F.col("page_id").cast("long")).mapInArrow(run, "key string")
+    return mapped(pages.select(F.col("url").cast("string"), F.col("page_id").cast("long")), run, "key string")
 
 
 def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
