@@ -28,14 +28,20 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state, k = _state(now), 0
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
+        # least neighbours are tables of their own, so that adaptive execution can split the edges of a node that has many
+        both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m")).write.parquet(f"{root}/{k}-least")
+        least = spark.read.parquet(f"{root}/{k}-least")
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large.write.parquet(f"{root}/{k}-large")
+        large = spark.read.parquet(f"{root}/{k}-large")
+        large.groupBy("a").agg(F.min("b").alias("m")).write.parquet(f"{root}/{k}-least-large")
+        least = spark.read.parquet(f"{root}/{k}-least-large")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
         k += 1
         small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct().write.parquet(f"{root}/{k}")
         now = spark.read.schema(schema).parquet(f"{root}/{k}")
-        dropped(spark, f"{root}/{k - 1}")
+        for name in ("", "-least", "-large", "-least-large"):
+            dropped(spark, f"{root}/{k - 1}{name}")
         if (after := _state(now)) == state:
             break
         state = after

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shuffle_partitions, text_slices, written
+from .common import WORD, mapped, shuffle_partitions, text_slices, written
 from .substrings import text_key
 
 MIN_WORDS = 8
@@ -58,7 +58,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 
     named = docs.select(F.unhex(text_key(id_col, text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "row binary, doc_id long, pos long, n_words long, line binary")
+    return mapped(named, run, "row binary, doc_id long, pos long, n_words long, line binary")
 
 
 def ranked(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,7 +120,8 @@ def later_copies(found: DataFrame, levels: list[DataFrame]) -> DataFrame:
     every = written(every, "blocks")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("start"))
     first = every.groupBy("lines", "head", "tail").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    first = first.select("lines", "head", "tail", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
+    # a table of its own, so that both sides of the join are dealt out, and adaptive execution can split a hot interval
+    first = written(first.select("lines", "head", "tail", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "intervals")
     return every.join(first, ["lines", "head", "tail"]).where((F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start"))).select("row", "start", "lines")
 
 
@@ -159,7 +160,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
             runs = pa.array([r for _, r, _ in done], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*arrays, runs, pa.array([n for _, _, n in done], pa.int64())], names=[*keep, "removed_runs", "n_lines"])
 
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, run, schema)
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, lower_ascii, mixed, shingle_hashes, shuffle_partitions, text_slices, work_dir, written
+from .common import WORD, WordHashes, lower_ascii, mapped, mixed, shingle_hashes, shuffle_partitions, text_slices, work_dir, written
 from .components import connected
 
 REGISTERS = 128
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def hub_pairs(classes: DataFrame) -> DataFrame:
@@ -106,6 +106,8 @@ def hub_pairs(classes: DataFrame) -> DataFrame:
     keys = classes.select("id", F.posexplode("bands").alias("band", "key")).where(F.col("key") != 0)
     order = F.struct(F.xxhash64("band", "id").alias("h"), F.col("id"))
     hubs = keys.groupBy("band", "key").agg(F.min(order).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).select("band", "key", F.col("hub.id").alias("hub"))
+    # a table of its own, so that both sides of the join are dealt out, and adaptive execution can split a hot bucket
+    hubs = written(hubs, "hubs")
     return keys.join(hubs, ["band", "key"]).where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("member")).distinct()
 
 
@@ -130,7 +132,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             yield batch.filter(pa.array(fine)).select([at["hub"], at["member"]])
 
     joined = pairs.join(side("member"), "member").join(side("hub"), "hub")
-    return joined.select("hub", "member", "hub_n", "member_n", "hub_bands", "member_bands").mapInArrow(run, "hub long, member long")
+    return mapped(joined.select("hub", "member", "hub_n", "member_n", "hub_bands", "member_bands"), run, "hub long, member long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,7 +149,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary, n long").where(F.col("n") > 0)
+    return mapped(texts.join(ids, "id", "left_semi"), run, "id long, shingles binary, n long").where(F.col("n") > 0)
 
 
 def linked_in(ids: list[int], sets: list[np.ndarray], blocks: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
@@ -223,7 +225,7 @@ def verified(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
         solved()
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return meets.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+    return mapped(meets.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j"), run, "a long, b long")
 
 
 def groups(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import mapped, text_slices, written
 
 MIN_WORDS = 20
 
@@ -50,7 +50,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, row string, unit long, start long, end long, n_words long, digest binary")
+    return mapped(named, run, "doc_id long, row string, unit long, start long, end long, n_words long, digest binary")
 
 
 def removed(found: DataFrame) -> DataFrame:
@@ -61,6 +61,8 @@ def removed(found: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("unit"))
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     first = first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.unit").alias("first_unit"), "copies")
+    # a table of its own, so that both sides of the join are dealt out, and adaptive execution can split a hot digest
+    first = written(first, "first")
     later = ~(F.col("row") == F.col("first_row")) | (F.col("unit") != F.col("first_unit"))
     return found.join(first, "digest").where(later).select("doc_id", "row", "unit", "start", "end", "n_words", "first_doc_id", "first_unit", "copies")
 
@@ -78,7 +80,7 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
             cut = [without_spans(text, next(spans_of)) for texts in text_slices(batch.column(at)) for text in texts]
             yield batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type))
 
-    return joined.mapInArrow(run, joined.schema)
+    return mapped(joined, run, joined.schema)
 
 
 def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
