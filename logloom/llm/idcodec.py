@@ -20,13 +20,13 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-LANES = 2048
+LANES = 1024
 MAGIC = b"CMIX0001"
 SLOT_BITS, BYTE_BITS = 8, 10
 TOTAL_BITS = SLOT_BITS + 2 * BYTE_BITS
 STATE_BITS, LOW_BITS = 48, 32
 STATE_MASK, WORD_MASK = (1 << STATE_BITS) - 1, (1 << LOW_BITS) - 1
-ORDER1_BITS, ORDER2_BITS = 10, 11
+ORDER1_BITS, ORDER2_BITS = 9, 10
 REBUILD = (0, 64, 192, 448, 960, 1984, 3008)
 #: Class of a high byte, for the low byte's context: single bytes, early merges, the others.
 HIGH_CLASS = np.repeat(np.arange(4), [2, 2, 12, 240])
@@ -46,10 +46,10 @@ class Model:
         self.table1 = np.zeros(lanes << ORDER1_BITS, np.int32)
         self.table2 = np.zeros(lanes << ORDER2_BITS, np.int32)
         conf2, conf1 = np.divmod(np.arange(32) >> 1, 4)
-        self.weight2 = np.tile(np.array([0, 16000, 40000, 56000], np.int32)[conf2], lanes)
-        self.weight1 = np.tile(np.array([0, 12000, 30000, 48000], np.int32)[conf1], lanes)
-        self.high_counts = np.zeros((lanes, 256), np.int64)
-        self.low_counts = np.zeros((lanes * N_CLASSES, 256), np.int64)
+        first = (np.array([0, 16000, 40000, 56000])[conf2] << 16) + np.array([0, 12000, 30000, 48000])[conf1]
+        self.weights = np.tile(first.astype(np.uint32), lanes)  # of order 2 in the high half, of order 1 in the low half
+        self.high_counts = np.zeros((lanes, 256), np.int32)
+        self.low_counts = np.zeros((lanes * N_CLASSES, 256), np.int32)
 
     def hash1(self, prev1: np.ndarray) -> np.ndarray:
         return (prev1 * 40503 >> 5) & ((1 << ORDER1_BITS) - 1)
@@ -60,11 +60,12 @@ class Model:
     def predict(self, at1: np.ndarray, at2: np.ndarray) -> None:
         """Looks up both predictions; sets the context and the three shares."""
         self.at1, self.at2 = at1, at2
-        self.held1, self.held2 = self.table1.take(at1), self.table2.take(at2)
+        self.held1, self.held2 = self.table1.take(at1, mode="wrap"), self.table2.take(at2, mode="wrap")
         self.pred1, self.pred2 = self.held1 >> 2, self.held2 >> 2
         ctx = ((self.held2 & 3) << 3) + ((self.held1 & 3) << 1) + (self.pred1 == self.pred2)
         self.at_ctx = self.row_ctx + ctx
-        self.w2, self.w1 = self.weight2.take(self.at_ctx), self.weight1.take(self.at_ctx)
+        both = self.weights.take(self.at_ctx, mode="wrap")
+        self.w2, self.w1 = (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32)
         self.share2 = (self.w2 >> 8) * 253 >> 8  # 0 to 252 of 256
         self.share1 = (254 - self.share2) * (self.w1 >> 8) >> 8  # of what is left; order 0 keeps 2 or more
 
@@ -74,10 +75,9 @@ class Model:
         for table, at, held, hit in ((self.table1, self.at1, self.held1, hit1), (self.table2, self.at2, self.held2, hit2)):
             conf = held & 3
             table[at] = np.where(hit, held + (conf < 3), np.where(conf > 1, held - 1, fresh))
-        self.weight2[self.at_ctx] = self.w2 + (((hit2 * 65535) - self.w2) >> RATE)
-        step = ((hit1 * 65535) - self.w1) >> RATE
-        step[hit2] = 0
-        self.weight1[self.at_ctx] = self.w1 + step
+        w2 = self.w2 + ((np.where(hit2, 65535, 0) - self.w2) >> RATE)
+        w1 = np.where(hit2, self.w1, self.w1 + ((np.where(hit1, 65535, 0) - self.w1) >> RATE))
+        self.weights[self.at_ctx] = (w2.astype(np.uint32) << 16) | w1.astype(np.uint32)
 
     def count(self, high: np.ndarray, low: np.ndarray) -> None:
         """Takes over the ids of some steps, [step, lane]."""
@@ -94,8 +94,8 @@ class Model:
             share = 1 + counts * room // total
             share[np.arange(len(share)), counts.argmax(1)] += (1 << BYTE_BITS) - share.sum(1)
             starts = np.cumsum(share, 1) - share
-            setattr(self, f"{name}_share", share.ravel())
-            setattr(self, f"{name}_start", starts.ravel())
+            setattr(self, f"{name}_share", share.astype(np.int32).ravel())
+            setattr(self, f"{name}_start", starts.astype(np.int32).ravel())
             if lookup:
                 setattr(self, f"{name}_of", np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(share)), share.ravel()))
 
@@ -153,9 +153,10 @@ def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             hit2 &= s2 > 0
             one = hit1 & ~hit2 & (s1 > 0)
             miss = ~(hit2 | one)
-            rest = (256 - s2 - s1).astype(np.int64)
-            start = np.where(miss, ((s2 + s1).astype(np.int64) << 2 * BYTE_BITS) + rest * inner_start[k], np.where(one, s2, 0).astype(np.int64) << 2 * BYTE_BITS)
-            share = np.where(miss, rest * inner_share[k], np.where(one, s1, s2).astype(np.int64) << 2 * BYTE_BITS)
+            both = s2 + s1
+            rest = 256 - both
+            start = np.where(miss, (both << 2 * BYTE_BITS) + rest * inner_start[k], np.where(one, s2, 0) << 2 * BYTE_BITS)
+            share = np.where(miss, rest * inner_share[k], np.where(one, s1, s2) << 2 * BYTE_BITS)
             unit = width >> TOTAL_BITS
             low += unit * start
             width = unit * share
@@ -198,24 +199,24 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarr
             model.predict(model.hash1(prev1) + model.row1, model.hash2(prev1, prev2) + model.row2)
             s2, s1 = model.share2, model.share1
             unit = width >> TOTAL_BITS
-            value = (code / unit).astype(np.int64)  # exact: 48 bits by 20 at most
+            value = (code / unit).astype(np.int32)  # exact: 48 bits by 20 at most
             slot = value >> 2 * BYTE_BITS
             both = s2 + s1
             hit2 = slot < s2
             one = (slot < both) & ~hit2
             x = np.where(hit2, model.pred2, model.pred1)
-            start = np.where(hit2, 0, s2).astype(np.int64) << 2 * BYTE_BITS
-            share = np.where(hit2, s2, s1).astype(np.int64) << 2 * BYTE_BITS
+            start = np.where(hit2, 0, s2) << 2 * BYTE_BITS
+            share = np.where(hit2, s2, s1) << 2 * BYTE_BITS
             miss = np.flatnonzero(slot >= both)
             if len(miss):
-                base = both[miss].astype(np.int64)
+                base = both[miss]
                 rest = 256 - base
-                inner = ((value[miss] - (base << 2 * BYTE_BITS)) / rest).astype(np.int64)
-                high = model.high_of.take(lane_high[miss] + (inner >> BYTE_BITS)).astype(np.int64)
+                inner = ((value[miss] - (base << 2 * BYTE_BITS)) / rest).astype(np.int32)
+                high = model.high_of.take(lane_high[miss] + (inner >> BYTE_BITS)).astype(np.int32)
                 key = lane256[miss] + high
                 c_high, f_high = model.high_start.take(key), model.high_share.take(key)
                 row = lane_class[miss] + HIGH_CLASS[high]
-                lo = model.low_of.take((row << BYTE_BITS) + ((inner - (c_high << BYTE_BITS)) / f_high).astype(np.int64)).astype(np.int64)
+                lo = model.low_of.take((row << BYTE_BITS) + ((inner - (c_high << BYTE_BITS)) / f_high).astype(np.int32)).astype(np.int32)
                 key = row * 256 + lo
                 start[miss] = (base << 2 * BYTE_BITS) + rest * ((c_high << BYTE_BITS) + f_high * model.low_start.take(key))
                 share[miss] = rest * f_high * model.low_share.take(key)

@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from . import idcodec
 from .bpe import read_spec
-from .common import shuffle_partitions, text_slices, work_dir
+from .common import mapped, shuffle_partitions, text_slices, work_dir
 
 #: White space that surely separates words for the library too; whatever else there is stays within a chunk.
-CHUNK = re.compile(r"[^ \t\n\r]+")
+#: Letters before white space, a full stop or a comma, and these marks before white space, are chunks of their own, as they are for the library.
+CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ \t\n\r.,]|\Z)|[.,]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
 REMEMBERED = 250_000
 SECTION_IDS = idcodec.BLOCK * idcodec.LANES
 END_ID = 1
@@ -60,10 +61,10 @@ class ChunkTokenizer:
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """uint16 ids of each text and ``end_id``."""
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         chunked = [CHUNK.findall(t) if t else [] for t in texts]
         missing = list({c for x in chunked for c in x if c not in known})
+        if len(known) >= REMEMBERED:
+            known = dict(known)
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -157,7 +158,7 @@ def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "do
             name = f"{out_dir}/part-{part:06d}.cmix"
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    return dealt.mapInArrow(run, "part long, path string, n_docs long, n_ids long")
+    return mapped(dealt, run, "part long, path string, n_docs long, n_ids long")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 1000], pa.int64()), pa.array(base + part[:-1]), tokens], names=["doc_id", "start", "tokens"])
                         base += int(ends[-1])
 
-    return names.mapInArrow(run, schema)
+    return mapped(names, run, schema)
 
 
 def with_checksum(tokens: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((ends[1:] - ends[:-1]).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "tokens").mapInArrow(run, schema)
+    return mapped(tokens.select("doc_id", "start", "tokens"), run, schema)
 
 
 def round_trip(df: DataFrame, vocab_path: str) -> DataFrame:
