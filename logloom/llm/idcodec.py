@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-LANES = 1024
+LANES = 512
 MAGIC = b"CMIX0001"
 SLOT_BITS, BYTE_BITS = 8, 10
 TOTAL_BITS = SLOT_BITS + 2 * BYTE_BITS
@@ -52,10 +52,10 @@ class Model:
         self.low_counts = np.zeros((lanes * N_CLASSES, 256), np.int32)
 
     def hash1(self, prev1: np.ndarray) -> np.ndarray:
-        return (prev1 * 40503 >> 5) & ((1 << ORDER1_BITS) - 1)
+        return (prev1.astype(np.int64) * 40503 >> 5) & ((1 << ORDER1_BITS) - 1)
 
     def hash2(self, prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
-        return ((prev1 * 40503 + prev2 * 30011) >> 4) & ((1 << ORDER2_BITS) - 1)
+        return ((prev1.astype(np.int64) * 40503 + prev2.astype(np.int64) * 30011) >> 4) & ((1 << ORDER2_BITS) - 1)
 
     def predict(self, at1: np.ndarray, at2: np.ndarray) -> None:
         """Looks up both predictions; sets the context and the three shares."""
@@ -106,10 +106,10 @@ def _segments(steps: int) -> list[tuple[int, int]]:
 
 
 def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids [step, lane] int64 → words [lane, word] uint16 and the number of words of each lane."""
+    """ids [step, lane] int32 → words [lane, word] uint16 and the number of words of each lane."""
     steps, lanes = ids.shape
     model = Model(lanes)
-    before = np.zeros((2, lanes), np.int64)
+    before = np.zeros((2, lanes), np.int32)
     prev = np.concatenate([before, ids])
     cap = (steps * TOTAL_BITS) // 16 + 8
     out = np.zeros(lanes * cap, np.uint16)
@@ -144,7 +144,7 @@ def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner_share = f_high * f_low
         at1 = model.hash1(prev[begin + 1 : end + 1]) + model.row1
         at2 = model.hash2(prev[begin + 1 : end + 1], prev[begin:end]) + model.row2
-        now = part.astype(np.int32)
+        now = part
         for k in range(end - begin):
             x = now[k]
             model.predict(at1[k], at2[k])
@@ -181,7 +181,7 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarr
     at = starts.astype(np.int64).copy()
     code = np.zeros(lanes, np.int64)
     for _ in range(STATE_BITS // 16):
-        code = (code << 16) | words[at]
+        code = (code << 16) | words.take(at, mode="clip")
         at += 1
     width = np.full(lanes, 1 << STATE_BITS, np.int64)
     ids = np.zeros((steps, lanes), np.int32)
@@ -212,11 +212,11 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarr
                 base = both[miss]
                 rest = 256 - base
                 inner = ((value[miss] - (base << 2 * BYTE_BITS)) / rest).astype(np.int32)
-                high = model.high_of.take(lane_high[miss] + (inner >> BYTE_BITS)).astype(np.int32)
+                high = model.high_of.take(lane_high[miss] + (inner >> BYTE_BITS), mode="clip").astype(np.int32)
                 key = lane256[miss] + high
                 c_high, f_high = model.high_start.take(key), model.high_share.take(key)
                 row = lane_class[miss] + HIGH_CLASS[high]
-                lo = model.low_of.take((row << BYTE_BITS) + ((inner - (c_high << BYTE_BITS)) / f_high).astype(np.int32)).astype(np.int32)
+                lo = model.low_of.take((row << BYTE_BITS) + ((inner - (c_high << BYTE_BITS)) / f_high).astype(np.int32), mode="clip").astype(np.int32)
                 key = row * 256 + lo
                 start[miss] = (base << 2 * BYTE_BITS) + rest * ((c_high << BYTE_BITS) + f_high * model.low_start.take(key))
                 share[miss] = rest * f_high * model.low_share.take(key)
@@ -225,7 +225,7 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarr
             width = unit * share
             while len(small := np.flatnonzero(width < 1 << LOW_BITS)):
                 place = at[small]
-                code[small] = (code[small] << 16) | words[place]
+                code[small] = (code[small] << 16) | words.take(place, mode="clip")
                 at[small] = place + 1
                 width[small] <<= 16
             model.learn(x, hit2, model.pred1 == x)
@@ -244,7 +244,7 @@ def encode_blocks(ids: np.ndarray) -> bytes:
         raise ValueError("ids of over 16 bits")
     steps = min(BLOCK, n)
     lanes = -(-n // steps)
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
     by_lane = padded.reshape(lanes, steps)
     words, counts = _encode_lanes(np.ascontiguousarray(by_lane.T))

@@ -32,8 +32,8 @@ from .bpe import read_spec
 from .common import mapped, shuffle_partitions, text_slices, work_dir
 
 #: White space that surely separates words for the library too; whatever else there is stays within a chunk.
-#: Letters before white space, a full stop or a comma, and these marks before white space, are chunks of their own, as they are for the library.
-CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ \t\n\r.,]|\Z)|[.,]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
+#: Letters (but for the dotted capital I, whose lower case ends in a mark) before white space, a full stop or a comma, and these marks before white space, are chunks of their own, as they are for the library.
+CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[ \t\n\r.,]|\Z)|[.,]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
 REMEMBERED = 250_000
 SECTION_IDS = idcodec.BLOCK * idcodec.LANES
 END_ID = 1
@@ -85,7 +85,7 @@ def _section(ids: list[int | None], counts: np.ndarray, flat: np.ndarray) -> byt
     head = struct.pack("<I", len(ids)) + np.array([i or 0 for i in ids], "<i8").tobytes() + nulls.tobytes() + counts.astype("<u4").tobytes()
     parts = [head, struct.pack("<I", zlib.crc32(head))]
     for at in range(0, max(1, len(flat)), SECTION_IDS):
-        parts.append(idcodec.encode_blocks(flat[at : at + SECTION_IDS].astype(np.int64)))
+        parts.append(idcodec.encode_blocks(flat[at : at + SECTION_IDS]))
     return b"".join(parts)
 
 
