@@ -1,0 +1,205 @@
+"""Ops 3, 6, 7 and 10: results row by row against plain versions, and odd rows."""
+
+import random
+import re
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from logloom.llm import decontaminate, langid, quality, secrets, textstats
+from logloom.llm.common import WordHashes
+
+DOCS = "/root/testdata/sf0.001/documents.parquet"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+# --- language identification ---
+
+
+def test_forward_sums_all_cuts():
+    pieces = ["a", "b", "ab", "ba", "aba", "▁"]
+    lattices = langid.Lattices(pieces)
+    p = {x: 0.1 * (k + 1) for k, x in enumerate([*pieces, "?"])}
+    import numpy as np
+
+    def brute(word):
+        if not word:
+            return 1.0
+        total = 0.0
+        for k in range(1, len(word) + 1):
+            part = word[:k]
+            if part in pieces or k == 1:
+                total += p[part if part in pieces else "?"] * brute(word[k:])
+        return total
+
+    words = ["▁abab", "▁a", "▁cab", "▁bababa"]
+    got = lattices.forward(words, np.array([[p[x]] for x in [*pieces, "?"]]))[:, 0]
+    assert got == pytest.approx([brute(w) for w in words])
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(DOCS)
+    model = langid.fit(docs.where(~langid.held_out()), langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model")), 20)
+    rows = langid.predict(docs.withColumn("held", langid.held_out()), model).where("held").collect()
+    right = [r["lang_pred"] == r["lang"] for r in rows]
+    assert sum(right) / len(right) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_odd_rows(spark, odd, none):
+    pieces = langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.fit(odd, pieces)
+    assert model.langs == ["en", "fr"]
+    got = langid.predict(odd, model)
+    assert got.columns == [*odd.columns, "lang_pred", "score"]
+    und = {r["doc_id"] for r in got.where("lang_pred = 'und'").collect()}
+    assert und == {1, 2, 6}
+    assert langid.predict(none, model).collect() == []
+    empty = langid.fit(none, pieces)
+    assert {r["lang_pred"] for r in langid.predict(odd, empty).collect()} == {"und"}
+
+
+# --- secrets ---
+
+
+def test_secret_base(spark):
+    A = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    rng = random.Random(4)
+    bits = ["password", "PASSWD", "Secret", "token", "api_key", "ApiKey", '"', "'", " ", "  ", ":", "=", "abc", "abcdef12", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "toKen=tokenx"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    for text in texts:
+        want = [(m.start(), 0, m.end()) for m in A.finditer(text) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        (got,) = secrets.spans_of([text], lambda run: run)
+        assert [s for s in got if s[1] < 3] == sorted(want), text
+
+
+def test_random_strings():
+    encode = secrets.encoder(secrets.read_ranks(RANKS), public_tokenizers.PATTERN).encode_ordinary
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(200)]
+    assert sum(secrets.looks_random(k, encode) for k in keys) >= 190
+    plain = ["internationalization", "some/path/to/a/file", "snake_case_identifier_name", "123e4567-e89b-12d3-a456-426614174000", "d41d8cd98f00b204e9800998ecf8427e", "2024-01-31", "CamelCaseIdentifierName"]
+    assert not any(secrets.looks_random(k, encode) for k in plain)
+
+
+def test_secret_odd_rows(odd, none):
+    got = secrets.scan(odd, RANKS, public_tokenizers.PATTERN)
+    assert got.count() == odd.count() and got.columns == [*odd.columns, "secret_spans"]
+    assert {r["n_assign"] for r in secrets.digest(got).collect()} == {0}
+    assert secrets.digest(secrets.scan(none, RANKS, public_tokenizers.PATTERN)).collect() == []
+
+
+# --- quality ---
+
+
+def brute_stats(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    inside = {j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(k, k + 3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines), sum(x in lines[:k] for k, x in enumerate(lines)), len(inside)
+
+
+def test_stats():
+    rng = random.Random(6)
+    for text in [None, "", " \n ", "a b c a b c", "a a a a", "x\nx\n y\nx"]:
+        assert textstats.stats(text) == brute_stats(text)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "b", "é#", "<|>", " ", " ", "\n", "\t"]) for _ in range(rng.randint(0, 60)))
+        assert textstats.stats(text) == brute_stats(text), text
+
+
+def test_quality(spark, odd, none):
+    good = [(k, " ".join(f"word{(k * 31 + j * 7) % 997}" for j in range(80)), "en", "s", 1) for k in range(200)]
+    junk = [(1000 + k, " ".join(f"wo##{(k * 31 + j * 7) % 997}$$" for j in range(80)), "en", "s", 1) for k in range(12)]
+    docs = spark.createDataFrame(good + junk, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"]: r["kept"] for r in quality.verdicts(docs).collect()}
+    assert all(kept[d] == (d < 1000) for d in kept)
+    got = quality.verdicts(odd)
+    assert got.count() == odd.count() and not any(r["kept"] for r in got.collect())
+    assert quality.verdicts(none).collect() == []
+
+
+def test_sketches_merge_and_hold_their_error(spark):
+    rng = random.Random(2)
+    values = [rng.random() ** 3 for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    bins = df.select(quality.bin_of(F.col("v")).alias("bin")).groupBy("bin").count().orderBy("bin").collect()
+    upto, half = 0, None
+    for r in bins:
+        upto += r["count"]
+        if half is None and upto >= 2000:
+            half = r["bin"]
+    got = spark.range(1).select(quality.value_of(F.lit(half)).alias("v")).first()["v"]
+    assert got == pytest.approx(sorted(values)[1999], rel=0.0101)
+
+
+# --- decontamination ---
+
+
+def brute_distance(item, words):
+    m, best = len(item), len(item)
+    prev = list(range(m + 1))
+    for w in words:
+        now = [prev[0] + 1]
+        for i in range(m):
+            now.append(min(prev[i + 1] + 1, now[i] + 1, prev[i] + (item[i] != w)))
+        prev = now
+        best = min(best, prev[m])
+    return best
+
+
+def test_prefix_distance():
+    rng = random.Random(3)
+    for _ in range(500):
+        item = [rng.randint(0, 4) for _ in range(rng.randint(1, 80 if rng.random() < 0.1 else 9))]
+        words = [rng.randint(0, 4) for _ in range(rng.randint(0, 12))]
+        assert decontaminate.prefix_distances(item, words)[0] == brute_distance(item, words)
+
+
+def test_leak_recall():
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(300)]
+    bench = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(2, 60)))) for k in range(60)]
+    items, hashes = decontaminate.Items(bench), WordHashes()
+    texts, planted = [], []
+    for k, text in bench:
+        for edits in (0, 1, 2, 4, 8):
+            words = text.split()
+            if edits > decontaminate.most_edits(len(words)):
+                continue
+            for _ in range(edits):
+                at = rng.randrange(len(words))
+                rng.choice([lambda: words.__setitem__(at, "zz"), lambda: words.insert(at, "yy"), lambda: words.pop(at)])()
+            texts.append(" ".join([rng.choice(vocab) for _ in range(40)] + words + [rng.choice(vocab) for _ in range(40)]))
+            planted.append((k, edits))
+    found = decontaminate.hits(texts, items, hashes)
+    missed = [(k, e) for (k, e), f in zip(planted, found) if not any(x["item_id"] == k and x["distance"] <= e for x in f)]
+    assert len(missed) <= 0.01 * len(planted), missed
+    assert not any(e == 0 for _, e in missed)
+    for text, f in zip(texts, found):  # what is reported is true
+        for x in f:
+            item = dict(bench)[x["item_id"]].split()
+            assert brute_distance(item, text[x["start"] : x["end"]].split()) == x["distance"] <= decontaminate.most_edits(len(item))
+    clean = [" ".join(rng.choice(vocab) for _ in range(400)) for _ in range(50)]
+    assert not any(x["n_words"] > 6 for f in decontaminate.hits(clean, items, hashes) for x in f)
+
+
+def test_leak_odd_rows(spark, odd, none):
+    bench = spark.createDataFrame([(1, "same text twice"), (2, None), (None, "x"), (3, ""), (4, "end")], "item_id bigint, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontaminate.flagged(odd, bench).collect()}
+    assert got[4] == [1] and got[7] == [4] and not got[3] and not got[1] and not got[None]
+    assert decontaminate.leaks(none, bench).collect() == []
+    assert decontaminate.leaks(odd, bench.limit(0)).collect() == []
+
+
+def test_benchmark_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 5)
+    bench = spark.createDataFrame([(k, f"item number {k} of the list") for k in range(23)], "item_id bigint, text string")
+    assert sorted(i for b in decontaminate.blocks(bench) for i, _ in b) == list(range(23))
+    docs = spark.createDataFrame([(1, "x item number 7 of the list y")], "doc_id bigint, text string")
+    assert 7 in {r["item_id"] for r in decontaminate.leaks(docs, bench).where("distance = 0").collect()}
