@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, neardup, quality, secrets, substrings, tokens, warc
+from . import bpe, decontaminate, langid, linededup, neardup, oracles, quality, secrets, substrings, tokens, warc
 from .common import table, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -73,4 +73,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules, op8_near_duplicates, op9_substring_dedup, op10_decontaminate, pipeline)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
