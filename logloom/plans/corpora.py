@@ -58,4 +58,4 @@ def timelines(spark: SparkSession, sf_dir: str, disorder: bool = False) -> DataF
     numbers = types.select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int").alias("src"))
     ts = F.col("ms") + (F.col("event_id") % 7) * 600_000 if disorder else F.col("ms")
     lines = e.withColumn("line", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("bigint"))
-    return lines.join(F.broadcast(numbers), "event_type").select("src", "line", ts.cast("bigint").alias("ts"))
+    return lines.join(numbers, "event_type").select("src", "line", ts.cast("bigint").alias("ts"))

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each that may be sent to every executor; larger tables are joined.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +30,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if a count proves it small."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept

@@ -5,6 +5,7 @@ All of them read whole tables. The corpora are those of plans.corpora; the SQL b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import jsonfields, timestamps, tokens
 from .operators import access, filters, sampling, search, timeline
-from .plans import corpora
+from .plans import corpora, storage
 from .plans.query import Op
+from .sources.lines import heads, open_lines, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +95,26 @@ def offset_to_line(spark, sf_dir):
     return access.offset_to_line(lines, asked)
 
 
+@query(with_parts(EVENT_LOG, """, texts AS (SELECT k.src, k.line, CASE WHEN k.line % 10 = 9 THEN '  at ' || event_type ELSE CASE k.src WHEN 0 THEN replace(stamp, ' ', 'T') || '.' || part || 'Z' WHEN 1 THEN stamp || ',' || part WHEN 2 THEN CAST(ms // 1000 AS VARCHAR) ELSE CAST(ms AS VARCHAR) END || ' ' || upper(event_type) END AS value FROM kinds k)
+SELECT src, count(*) AS lines, max(line) AS last, CAST(sum((line + 1) * length(value)) AS BIGINT) AS weight FROM texts GROUP BY src"""))
+def open_files(spark, sf_dir):
+    """Log lines written to a file for each source, and read back with their numbers."""
+    log = corpora.event_log(spark, sf_dir).select("src", "line", "value")
+    root = f"{storage.shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    log.repartition("src").sortWithinPartitions("src", "line").select("src", "value").write.partitionBy("src").option("lineSep", "\n").text(root)
+    lines = open_lines(spark, f"{root}/src=*/*").withColumn("src", F.regexp_extract("path", "src=([0-9]+)", 1).cast("int"))
+    return lines.groupBy("src").agg(F.count("*").alias("lines"), F.max("line").alias("last"), F.sum((F.col("line") + 1) * F.char_length("value")).cast("bigint").alias("weight"))
+
+
+@query("SELECT 'utf-8' AS encoding, 'utf-8' AS stored, count(*) AS lines FROM events")
+def file_stats(spark, sf_dir):
+    """Encoding and line count of a written file, told from its bytes."""
+    root = f"{storage.shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    corpora.event_json(spark, sf_dir).select("value").write.option("lineSep", "\n").text(root)
+    found = stats(open_lines(spark, f"{root}/part-*"), heads(spark, f"{root}/part-*"))
+    return found.groupBy("encoding", "stored").agg(F.sum("lines").cast("bigint").alias("lines"))
+
+
 # --- search ---
 
 

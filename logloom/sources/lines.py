@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import sent_if_small
+
 UTF8, UTF16LE, UTF16BE, GBK, LATIN1 = "utf-8", "utf-16le", "utf-16be", "gbk", "latin-1"
 HEAD_BYTES = 64 << 10
 SCHEMA = "path string, line bigint, value string, raw string"
@@ -76,8 +78,8 @@ def numbered(scan: DataFrame) -> DataFrame:
     splits = rows.groupBy("path", "block", member.alias("part")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # one row for each split of each file
-    return rows.join(F.broadcast(base), ["path", "block"]).select("path", (F.col("base") + F.col("id") - F.col("first")).alias("line"), "raw")
+    # a row for each split of each file
+    return rows.join(sent_if_small(base), ["path", "block"]).select("path", (F.col("base") + F.col("id") - F.col("first")).alias("line"), "raw")
 
 
 def split_lines(text: Column) -> Column:
