@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import mapped, text_slices
+from .common import cache, mapped, text_slices
 
 #: The split pattern of the byte-level pre-tokenizer of this vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -276,15 +276,14 @@ class PieceDecoder:
 
 
 _split = regex.compile(SPLIT).findall
-_made: dict[tuple[type, str], SpeculativeBPE | PieceDecoder] = {}
 
 
 def made(kind: type, spec: str):
     """One coder of a kind per worker and vocabulary."""
-    key = kind, hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _made:
-        _made[key] = kind(spec)
-    return _made[key]
+    held, key = cache(__name__), (kind.__name__, hashlib.sha256(spec.encode()).hexdigest())
+    if key not in held:
+        held[key] = kind(spec)
+    return held[key]
 
 
 def read_spec(path: str) -> str:

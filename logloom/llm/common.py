@@ -31,10 +31,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one module's operators. Workers serve one operator after the other, so
+    that what another one kept goes first."""
+    for other in [k for k in _caches if k != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow over small batches."""
+    """mapInArrow over small batches, by workers that keep nothing of other modules' operators."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    owner = run.__module__
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache(owner)
+        return run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

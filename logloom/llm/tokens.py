@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import idcodec
 from .bpe import read_spec
-from .common import mapped, shuffle_partitions, text_slices, work_dir
+from .common import cache, mapped, shuffle_partitions, text_slices, work_dir
 
 #: White space that surely separates words for the library too; whatever else there is stays within a chunk.
 #: Letters (but for the dotted capital I, whose lower case ends in a mark) before white space, a full stop or a comma, and these marks before white space, are chunks of their own, as they are for the library.
@@ -37,7 +37,6 @@ CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[ \t\n\r.,]|\Z)|[.,]+(?=[ \
 REMEMBERED = 250_000
 SECTION_IDS = idcodec.BLOCK * idcodec.LANES
 END_ID = 1
-_state: dict[str, tuple] = {}
 
 
 class ChunkTokenizer:
@@ -57,6 +56,24 @@ class ChunkTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _learned(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of chunks. Plain words go to the library as one text, and are told apart by the tokens that end a word."""
+        words, others = [], []
+        for c in chunks:
+            (words if c.isascii() and c.isalpha() else others).append(c)
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        data = (2 * ends).tolist()
+        flat = ids.tobytes()
+        yield from zip(words, map(flat.__getitem__, map(slice, [0, *data[:-1]], data)), strict=True)
+        for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            yield c, np.array(e.ids, np.uint16).tobytes()
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """uint16 ids of each text and ``end_id``."""
@@ -67,17 +84,16 @@ class ChunkTokenizer:
             known = dict(known)
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, np.uint16).tobytes()
+            known.update(self._learned(part))
         end = struct.pack("<H", end_id)
         return [b"".join(map(known.__getitem__, x)) + end for x in chunked]
 
 
 def tokenizer_of(spec: str) -> ChunkTokenizer:
-    key = f"{len(spec)}-{zlib.crc32(spec.encode())}"
-    if key not in _state:
-        _state[key] = ChunkTokenizer(spec)
-    return _state[key]
+    held, key = cache(__name__), zlib.crc32(spec.encode())
+    if key not in held:
+        held[key] = ChunkTokenizer(spec)
+    return held[key]
 
 
 def _section(ids: list[int | None], counts: np.ndarray, flat: np.ndarray) -> bytes:
