@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import linededup, quality, substrings
+from . import linededup, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,13 +88,4 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, s.b FROM
 found AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN found USING (doc_id)"""
 
-OP9 = rf"""
-WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
-units AS (SELECT doc_id, unnest(p) AS line, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS unit FROM cut),
-placed AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM units),
-counted AS (SELECT *, CAST(len(string_split(norm, ' ')) AS BIGINT) AS n_words FROM placed WHERE norm <> ''),
-long AS (SELECT * FROM counted WHERE n_words >= {substrings.MIN_WORDS}),
-first AS (SELECT norm, min(row(doc_id, unit)) AS f, arg_min(doc_id, row(doc_id, unit)) AS first_doc_id, arg_min(unit, row(doc_id, unit)) AS first_unit, count(*) AS copies FROM long GROUP BY norm HAVING count(*) > 1)
-SELECT doc_id, unit, start, start + length(line) AS "end", n_words, first_doc_id, first_unit, copies FROM long JOIN first USING (norm) WHERE row(doc_id, unit) <> f"""
-
-ORACLES = {"op2_line_dedup": OP2, "op7_quality_rules": OP7, "op8_near_duplicates": OP8, "op9_substring_dedup": OP9}
+ORACLES = {"op2_line_dedup": OP2, "op7_quality_rules": OP7, "op8_near_duplicates": OP8}

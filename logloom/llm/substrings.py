@@ -1,26 +1,30 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing paragraphs of sentences.
 
-Units are lines; those of ``min_words`` words or more are normalised (lower case, white space runs as one blank, none at the ends) and
-hashed. Digests are grouped over the whole corpus, the occurrence of the lowest rank (document id, unit number) stays, and the
-others are removed, each with its offsets in the original text.
+Texts are cut into pieces at line ends and after sentence marks. From each piece on, the shortest run of pieces with ``min_words`` words is a unit; it is
+normalised (lower case, white space runs as one blank) and hashed. A passage that is repeated in the middle of other text, as long as it has
+units of its own, is found by them, wherever it begins. Digests are grouped over the whole corpus, the occurrence of the lowest rank
+(document id, place) stays, and the others are removed; units of a text that touch make one span, with its offsets in the original text.
 
-Edge cases: null and empty texts have no units. Rows with a null document id rank last, and tell apart by their text only. Rows that
-repeat an id and text count as the same occurrence, so that none of them is the other's copy. An empty table gives an empty result. Extra columns
-are ignored, and kept by ``without``.
+Edge cases: null and empty texts have no units. Rows with a null document id rank last; copies among them stay. Rows that repeat an id and text count as
+the same occurrence, so that none of them is the other's copy. Copies within a text count too. An empty table gives an empty result. Extra columns are
+ignored, and kept by ``without``, which replaces a column ``removed_spans``.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, text_slices, written
 
 MIN_WORDS = 20
+#: Ends of pieces.
+CUT = re.compile(r"[.!?。！？]+(?=\s)|\n")
 
 
 def text_key(id_col: str, text_col: str):
@@ -28,50 +32,84 @@ def text_key(id_col: str, text_col: str):
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("\x00"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
 
 
+def row_key(id_col: str, text_col: str):
+    """A short form of the same, for use along with the document id."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.lit("\x00"), text_col)
+
+
+def pieces(text: str | None) -> list[tuple[int, int, str, int]]:
+    """(start, end, normalised text, words) of the pieces that have words."""
+    if not text:
+        return []
+    out, at = [], 0
+    for end in [*(m.end() for m in CUT.finditer(text)), len(text)]:
+        part = text[at:end]
+        words = part.lower().split()
+        if words:
+            out.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip()), " ".join(words), len(words)))
+        at = end
+    return out
+
+
+def units_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(unit, start, end, words, digest) of the units of a text."""
+    found = pieces(text)
+    out, last, total = [], 0, 0
+    for k, (start, _, _, n) in enumerate(found):
+        while total < min_words and last < len(found):
+            total += found[last][3]
+            last += 1
+        if total < min_words:
+            break
+        joined = " ".join([p[2] for p in found[k:last]])
+        out.append((k, start, found[last - 1][1], total, xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))))
+        total -= n
+    return out
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, unit, start, end, n_words, digest) of every unit of ``min_words`` words or more; offsets in code points."""
-    kind = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("unit", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary())])
+    """(doc_id, row, unit, start, end, n_words, digest) of every unit; offsets in code points."""
+    kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for texts in text_slices(batch.column(2)):
-                out: list[list] = [[] for _ in kind]
-                for text in texts:
-                    doc, row = next(names)
-                    at = 0
-                    for unit, line in enumerate((text or "").split("\n")):
-                        words = line.lower().split() if len(line) >= 2 * min_words - 1 else ()
-                        if len(words) >= min_words:
-                            digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                            for c, v in zip(out, (doc, row, unit, at, at + len(line), len(words), digest), strict=True):
-                                c.append(v)
-                        at += len(line) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
-
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return mapped(named, run, "doc_id long, row string, unit long, start long, end long, n_words long, digest binary")
+                rows = [(*name, *u) for t in texts for name in [next(names)] for u in units_of(t, min_words)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)], schema=kind)
 
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return mapped(named, run, "doc_id long, row long, unit int, start int, end int, n_words int, digest binary")
 
-def removed(found: DataFrame) -> DataFrame:
-    """The units that go: those whose digest has an occurrence of lower rank, with that one's document and unit.
 
-    ``found`` is read twice.
-    """
+def later(found: DataFrame) -> DataFrame:
+    """The units that have an occurrence of lower rank, with that one's document. ``found`` is read twice."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("unit"))
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    first = first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.unit").alias("first_unit"), "copies")
     # a table of its own, so that both sides of the join are dealt out, and adaptive execution can split a hot digest
-    first = written(first, "first")
-    later = ~(F.col("row") == F.col("first_row")) | (F.col("unit") != F.col("first_unit"))
-    return found.join(first, "digest").where(later).select("doc_id", "row", "unit", "start", "end", "n_words", "first_doc_id", "first_unit", "copies")
+    first = written(first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.unit").alias("first_unit")), "first")
+    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("doc_id").isNull() | (F.col("row") == F.col("first_row")) & (F.col("unit") == F.col("first_unit")))
+    return found.join(first, "digest").where(~same).select("doc_id", "row", "unit", "start", "end", "first_doc_id", "first_unit")
+
+
+def removed(found: DataFrame) -> DataFrame:
+    """(doc_id, row, start, end, n_units, first_doc_id): the spans that go. Units that overlap or touch are one span; the kept document is that of
+    its first unit."""
+    place = Window.partitionBy("doc_id", "row").orderBy("start", "unit")
+    # rows that repeat an id and text have the same units
+    each = later(found).dropDuplicates(["doc_id", "row", "unit"])
+    reach = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    begun = each.withColumn("_new", F.coalesce((F.col("start") > reach + 1).cast("int"), F.lit(1))).withColumn("_span", F.sum("_new").over(place))
+    spans = begun.groupBy("doc_id", "row", "_span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.min_by("first_doc_id", "unit").alias("first_doc_id"))
+    return spans.select("doc_id", "row", F.col("start").cast("long"), F.col("end").cast("long"), "n_units", "first_doc_id")
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed units cut out of ``text_col``, each with its line end, and ``removed_spans`` (start, end in the original)."""
-    spans = gone.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed_spans")).withColumnRenamed("row", "__row")
-    keep = [f for f in docs.schema.fields if f.name.lower() != "removed_spans"]
-    joined = docs.select(*(f.name for f in keep)).withColumn("__key", text_key(id_col, text_col)).join(spans, F.col("__key") == F.col("__row"), "left").drop("__key", "__row")
+    """``docs`` with the spans cut out of ``text_col``, each with a white-space character after it, and ``removed_spans`` (start, end in the original)."""
+    spans = gone.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
+    keep = [f.name for f in docs.schema.fields if f.name.lower() != "removed_spans"]
+    keyed = docs.select(*keep).withColumn("__key", row_key(id_col, text_col))
+    joined = keyed.join(spans, (F.col("__key") == F.col("__row")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__key", "__row", "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,17 +122,15 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
-    """The text without some of its lines."""
     if text is None or not spans:
         return text
     out, at = [], 0
     for s in spans:
         out.append(text[at : s["start"]])
-        at = s["end"] + 1
-    out.append(text[at:])
-    return "".join(out).removesuffix("\n") if at > len(text) else "".join(out)
+        at = s["end"] + text[s["end"] : s["end"] + 1].isspace()
+    return "".join([*out, text[at:]])
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The removed units of all documents."""
+    """The removed spans of all documents."""
     return removed(written(units(docs, min_words), "units")).drop("row")
