@@ -171,37 +171,68 @@ def test_line_odd_rows(odd, none):
 # --- substrings ---
 
 
-def test_substrings(spark):
-    rows = [(d, t) for d, t in ((r["doc_id"], r["text"]) for r in spark.read.parquet(DOCS).collect())]
-    first, want = {}, set()
+def brute_units(text, min_words):
+    """(start, end, content) of the shortest runs of sentences with enough words, from each sentence on."""
+    found = [(m.start(), m.end(), m[0].lower().split()) for m in re.finditer(r"(?:(?![.!?。！？]\s)[^\n])*(?:[.!?。！？](?=\s))?\n?", text or "")]
+    found = [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip()), w) for a, b, w in found if w]
+    for k in range(len(found)):
+        for e in range(k, len(found)):
+            words = [w for f in found[k : e + 1] for w in f[2]]
+            if len(words) >= min_words:
+                yield found[k][0], found[e][1], " ".join(words)
+                break
+
+
+def brute_spans(rows, min_words):
+    first, gone = {}, defaultdict(set)
     for d, t in sorted(rows):
-        at = 0
-        for u, line in enumerate(t.split("\n")):
-            words = line.lower().split()
-            if len(words) >= 20:
-                key = " ".join(words)
-                if key in first:
-                    want.add((d, u, at, at + len(line), *first[key]))
-                else:
-                    first[key] = (d, u)
-            at += len(line) + 1
+        for a, b, content in brute_units(t, min_words):
+            if content in first:
+                gone[d].update(range(a, b + 1))  # spans that touch are one
+            else:
+                first[content] = d
+    out = set()
+    for d, at in gone.items():
+        for k in at:
+            if k - 1 not in at:
+                end = k
+                while end + 1 in at:
+                    end += 1
+                out.add((d, k, end))
+    return out
+
+
+def test_substrings(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(DOCS).collect()]
+    rng = random.Random(2)
+    sentence = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(3, 12))) + "."
+    planted = {}
+    for n in range(12):  # passages of over 50 words in the middle of other sentences
+        passage = " ".join(sentence() for _ in range(9))
+        for side in range(3):
+            planted.setdefault(n, []).append(5000 + 10 * n + side)
+            rows.append((5000 + 10 * n + side, f"{sentence()} {sentence()[:-1]} {passage} {sentence()}\n{sentence()}"))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     gone = substrings.removed(substrings.units(docs))
-    got = {(r["doc_id"], r["unit"], r["start"], r["end"], r["first_doc_id"], r["first_unit"]) for r in gone.collect()}
-    assert got == want and want
+    got = {(r["doc_id"], r["start"], r["end"]) for r in gone.collect()}
+    assert got == brute_spans(rows, substrings.MIN_WORDS) and got
+    assert {d for d, _, _ in got if d >= 5000} == {d for ids in planted.values() for d in ids[1:]}
+    texts = dict(rows)
     clean = {r["doc_id"]: r["text"] for r in substrings.without(docs, gone).collect()}
     for d, t in rows:
-        lines = t.split("\n")
-        assert clean[d] == "\n".join(x for u, x in enumerate(lines) if not any(w[0] == d and w[1] == u for w in want))
+        cut = sorted(x[1:] for x in got if x[0] == d)
+        at, out = 0, ""
+        for a, b in cut:
+            out, at = out + texts[d][at:a], b + texts[d][b : b + 1].isspace()
+        assert clean[d] == out + t[at:]
 
 
 def test_substring_odd_rows(odd, none):
-    found = substrings.units(odd, 3)
-    gone = substrings.removed(found)
-    assert {(r["doc_id"], r["unit"]) for r in gone.collect()} == {(4, 1)}
+    gone = substrings.removed(substrings.units(odd, 3))
+    assert {r["doc_id"] for r in gone.collect()} == {3, 4} or {r["doc_id"] for r in gone.collect()} == {4}
     got = substrings.without(odd, gone)
     assert sorted(got.columns) == sorted([*odd.columns, "removed_spans"])
-    assert {r["text"] for r in got.where("doc_id = 4").collect()} == {"same text twice"}
+    assert {r["text"] for r in got.where("doc_id = 4").collect()} == {"same text twice\n"}
     assert substrings.repeats(none).collect() == []
 
 
