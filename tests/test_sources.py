@@ -128,3 +128,28 @@ def test_streaming(spark, tmp_path):
         assert rows.count() == 4
     finally:
         q.stop()
+
+
+def test_filter_on_a_stream(spark, tmp_path):
+    from logloom.operators.filters import run_filter
+
+    path = tmp_path / "a.jsonl"
+    path.write_text('{"level":"ERROR"}\n{"level":"INFO"}\n')
+    found = run_filter(A.tail(spark, [str(path)]), "level=error", by="path")
+    q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        with path.open("a") as f:
+            f.write('{"level":"Error"}\n')
+        q.processAllAvailable()
+        assert sorted(r["line"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2]
+    finally:
+        q.stop()
+
+
+def test_export_and_rate(spark, tmp_path):
+    data = b"a\r\nb\xff\n\n"
+    (tmp_path / "a.log").write_bytes(data)
+    assert bytes(L.export_bytes(spark, str(tmp_path / "a.log")).first()["content"]) == data
+    assert L.mib_per_second(1 << 20, 2) == 0.5 and L.mib_per_second(1, 0) == float("inf")
+    assert L.empty(spark).count() == 0
