@@ -31,6 +31,8 @@ from .common import mapped, text_slices
 
 #: Parameter: labelled documents of each language that the fit takes, about.
 DOCS_PER_LANG = 200
+#: Parameter: documents of the sample in all, about; many languages have fewer each.
+DOCS_IN_ALL = 8000
 EM_ROUNDS = 3
 SMOOTHING = 0.05
 LONGEST = 24
@@ -180,6 +182,7 @@ def sample(docs: DataFrame, docs_per_lang: int, id_col: str = "doc_id", text_col
     """About ``docs_per_lang`` rows (text, lang) of each language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count")).limit(MOST_LANGS).collect()}
+    docs_per_lang = max(1, min(docs_per_lang, DOCS_IN_ALL // max(1, len(counts))))
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col(lang_col) == lang, min(1 << 30, int(docs_per_lang / n * (1 << 30)) + 1)).otherwise(share)

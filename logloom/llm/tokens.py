@@ -6,7 +6,7 @@ up to ``SECTION_IDS`` ids and then at least one, so a longer document has a sect
 own. Files are named by partition; their order and the order within them is ascending document id, nulls first.
 A manifest (one row per file) has each file's number of documents and ids.
 
-Files are written under a name of the attempt and then renamed, so a repeated task leaves one whole file.
+Each attempt of a task writes a file of its own name, and the manifest lists those of the attempts that ended well, so that a repeated task does no harm.
 
 Edge cases: null text counts as empty, so that such a document has the end id alone; ties in document id keep
 all rows; an empty table gives no file and no row; extra columns are ignored.
@@ -141,7 +141,7 @@ def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "do
         part, n_docs, n_ids = TaskContext.get().partitionId(), 0, 0
         store, root = pafs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
-        path, attempt = f"{root}/part-{part:06d}.cmix", f"{root}/_{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.cmix"
         ids: list[int | None] = []
         held: list[bytes] = []
         size, opened = 0, None
@@ -155,7 +155,7 @@ def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "do
 
         for batch in batches:
             if opened is None and batch.num_rows:
-                opened = store.open_output_stream(attempt)
+                opened = store.open_output_stream(f"{root}/{name}")
                 opened.write(idcodec.MAGIC)
             names = iter(batch.column(0).to_pylist())
             for texts in text_slices(batch.column(1)):
@@ -170,9 +170,7 @@ def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "do
         if opened is not None:
             flush()
             opened.close()
-            store.move(attempt, path)
-            name = f"{out_dir}/part-{part:06d}.cmix"
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{out_dir}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     return mapped(dealt, run, "part long, path string, n_docs long, n_ids long")
 

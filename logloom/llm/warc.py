@@ -39,7 +39,7 @@ DATE = "1970-01-01T00:00:00Z"
 #: Records in the same file that lie this close together are read in one request, up to READ_MOST bytes.
 GAP, READ_MOST = 64 << 10, 8 << 20
 #: A larger directory is read by range join instead of from each task's memory.
-DIRECTORY_MOST = 500_000
+DIRECTORY_MOST = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
