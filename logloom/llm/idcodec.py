@@ -222,7 +222,7 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarr
                 share[miss] = rest * f_high * model.low_share.take(key)
                 x[miss] = (high << 8) + lo
             code -= unit * start
-            width = unit * share
+            width = np.maximum(unit * share, 1)  # 0 only in damaged blocks, which must end too
             while len(small := np.flatnonzero(width < 1 << LOW_BITS)):
                 place = at[small]
                 code[small] = (code[small] << 16) | words.take(place, mode="clip")
