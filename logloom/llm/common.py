@@ -83,8 +83,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below the shared one; its name is unique to the call."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new folder below the application's own in the shared one, which may be removed once results have been read."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
