@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import replaced
-from .common import WordHashes, mapped, mixed, text_slices
+from .common import mapped, mixed, text_slices
 
 EDITS = 0.2
-WALKS, SAMPLES, BITS = 10, 8, 4
+WALKS, SAMPLES, BITS = 16, 8, 4
 #: Items of a block, and their characters together, at most.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 #: Bytes of text that are searched at a time.
 SLICE = 8 << 20
 #: Windows that are embedded at a time.
 WINDOWS = 4000
+#: Numbers of words: what follows a text's end, any word that no item has, and the first of the items' own.
+END, OTHER, KNOWN = 0, 1, 2
 TOKEN = re.compile(r"\w+")
 HIT = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("item_id", T.LongType()), ("distance", T.LongType()), ("n_words", T.LongType()), ("start", T.LongType()), ("end", T.LongType()))]))
 _HIT = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "distance", "n_words", "start", "end")]))
@@ -78,11 +81,11 @@ class Items:
     """A block of benchmark items, by their number of words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        hashes = WordHashes()
+        self.vocab: dict[str, int] = {}
         self.by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         pairs = []
         for item, text in rows:
-            words = hashes.of(TOKEN.findall(text.lower()))
+            words = np.array([self.vocab.setdefault(w, len(self.vocab) + KNOWN) for w in TOKEN.findall(text.lower())], np.uint64)
             if len(words):
                 self.by_size[len(words)].append((item, words))
                 pairs.append(_pairs(words))
@@ -107,12 +110,19 @@ class Items:
         """The words that form a word pair of some item with the next, and which pair that is."""
         if not len(self.pairs) or len(flat) < 2:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key = _pairs(flat)
-        at = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
-        found = np.minimum(np.searchsorted(self.pairs, key[at]), len(self.pairs) - 1)
-        real = self.pairs[found] == key[at]
+        known = flat >= KNOWN
+        at = np.flatnonzero(known[:-1] & known[1:])
+        key = _pairs(np.stack([flat[at], flat[at + 1]]))[0]
+        maybe = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
+        at, key = at[maybe], key[maybe]
+        found = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        real = self.pairs[found] == key
         return at[real], found[real]
 
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; OTHER for all that no item has."""
+        return np.fromiter(map(self.vocab.get, words, repeat(OTHER)), np.uint64, len(words))
+
     def starts(self, places: np.ndarray, m: int) -> np.ndarray:
         """Starts of windows that hold as many of ``places`` as a leak of an item of ``m`` words must."""
         need, width = self.needed(m), m + most_edits(m) - 1
@@ -174,7 +184,7 @@ def _sampled(words: np.ndarray, at: np.ndarray, m: int) -> Iterator[np.ndarray]:
             yield key
 
 
-def hits(texts: list[str | None], items: Items, hashes: WordHashes) -> list[list[dict]]:
+def hits(texts: list[str | None], items: Items) -> list[list[dict]]:
     """Per text, the best match of each item that it has, with its span in code points."""
     words = [TOKEN.findall(t.lower()) if t else [] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -182,7 +192,7 @@ def hits(texts: list[str | None], items: Items, hashes: WordHashes) -> list[list
     begins = np.concatenate([[0], np.cumsum(sizes + gap)])
     flat = np.zeros(int(begins[-1]), np.uint64)
     for w, b in zip(words, begins, strict=False):
-        flat[b : b + len(w)] = hashes.of(w)
+        flat[b : b + len(w)] = items.numbers(w)
     best: list[dict[int, tuple]] = [{} for _ in texts]
     for m, start, k in items.candidates(flat):
         item, own = items.by_size[m][k]
@@ -222,10 +232,10 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_c
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(sent.value), WordHashes()
+            items = Items(sent.value)
             for batch in batches:
                 column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                found = [x for texts in text_slices(column(text_col), SLICE) for x in hits(texts, items, hashes)]
+                found = [x for texts in text_slices(column(text_col), SLICE) for x in hits(texts, items)]
                 both = [a + b for a, b in zip(column(out_col).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(column(c) for c in keep), pa.array(both, _HIT)], names=[*keep, out_col])
 
