@@ -1,6 +1,7 @@
 """Substring dedup by hashing paragraphs of sentences.
 
-Texts are cut into pieces at line ends and after sentence marks. From each piece on, the shortest run of pieces with ``min_words`` words is a unit; it is
+Texts are cut into pieces at line ends and after sentence marks; pieces of over ``LONG_PIECE`` words, which have no marks, are cut by their own words
+(after those whose checksum is a multiple of ``EVERY``), so that the same text is cut in the same places wherever it stands. From each piece on, the shortest run of pieces with ``min_words`` words is a unit; it is
 normalised (lower case, white space runs as one blank) and hashed. A passage that is repeated in the middle of other text, as long as it has
 units of its own, is found by them, wherever it begins. Digests are grouped over the whole corpus, the occurrence of the lowest rank
 (document id, place) stays, and the others are removed; units of a text that touch make one span, with its offsets in the original text.
@@ -13,6 +14,7 @@ ignored, and kept by ``without``, which replaces a column ``removed_spans``.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import mapped, text_slices, written
 
 MIN_WORDS = 20
-#: Ends of pieces.
-CUT = re.compile(r"[.!?。！？]+(?=\s)|\n")
+#: Ends of pieces: sentence marks, and symbols right after them, before white space; line ends.
+CUT = re.compile(r"[.!?。！？][^\w\s]*(?=\s)|\n")
+LONG_PIECE, EVERY = 40, 8
+TOKEN = re.compile(r"\S+")
 
 
 def text_key(id_col: str, text_col: str):
@@ -45,12 +49,27 @@ def pieces(text: str | None) -> list[tuple[int, int, str, int]]:
     for end in [*(m.end() for m in CUT.finditer(text)), len(text)]:
         part = text[at:end]
         words = part.lower().split()
-        if words:
+        if len(words) > LONG_PIECE:
+            out += _cut_by_words(part, at)
+        elif words:
             out.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip()), " ".join(words), len(words)))
         at = end
     return out
 
 
+def _cut_by_words(part: str, at: int) -> list[tuple[int, int, str, int]]:
+    out, words, start = [], [], 0
+    spans = list(TOKEN.finditer(part))
+    for k, m in enumerate(spans):
+        if not words:
+            start = m.start()
+        words.append(m[0].lower())
+        if zlib.crc32(words[-1].encode("utf-8", "surrogatepass")) % EVERY == 0 or k == len(spans) - 1:
+            out.append((at + start, at + m.end(), " ".join(words), len(words)))
+            words = []
+    return out
+
+
 def units_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
     """(unit, start, end, words, digest) of the units of a text."""
     found = pieces(text)
