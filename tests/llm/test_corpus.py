@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -172,14 +173,30 @@ def test_line_odd_rows(odd, none):
 
 
 def brute_units(text, min_words):
-    """(start, end, content) of the shortest runs of sentences with enough words, from each sentence on."""
-    found = [(m.start(), m.end(), m[0].lower().split()) for m in re.finditer(r"(?:(?![.!?。！？]\s)[^\n])*(?:[.!?。！？](?=\s))?\n?", text or "")]
-    found = [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip()), w) for a, b, w in found if w]
+    """(start, end, content) of the shortest runs of pieces with enough words, from each piece on; pieces are told by their last words."""
+    spans = [m.span() for m in re.finditer(r"\S+", text or "")]
+    last = [re.search(r"[.!?。！？][^\w\s]*$", text[a:b]) is not None or "\n" in text[b : spans[k + 1][0] if k + 1 < len(spans) else b] for k, (a, b) in enumerate(spans)]
+    found, now = [], []
+    for k in range(len(spans)):
+        now.append(k)
+        if last[k] or k == len(spans) - 1:
+            if len(now) > substrings.LONG_PIECE:
+                part = []
+                for j in now:
+                    part.append(j)
+                    if zlib.crc32(text[slice(*spans[j])].lower().encode()) % substrings.EVERY == 0:
+                        found.append(part)
+                        part = []
+                found += [part] if part else []
+            else:
+                found.append(now)
+            now = []
     for k in range(len(found)):
-        for e in range(k, len(found)):
-            words = [w for f in found[k : e + 1] for w in f[2]]
+        words = []
+        for piece in found[k:]:
+            words += piece
             if len(words) >= min_words:
-                yield found[k][0], found[e][1], " ".join(words)
+                yield spans[words[0]][0], spans[words[-1]][1], " ".join(text[slice(*spans[j])].lower() for j in words)
                 break
 
 

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import decontaminate, langid, quality, secrets, textstats
-from logloom.llm.common import WordHashes
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -165,7 +164,7 @@ def test_leak_recall():
     rng = random.Random(5)
     vocab = [f"w{k}" for k in range(300)]
     bench = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(2, 60)))) for k in range(60)]
-    items, hashes = decontaminate.Items(bench), WordHashes()
+    items = decontaminate.Items(bench)
     texts, planted = [], []
     for k, text in bench:
         for edits in (0, 1, 2, 4, 8):
@@ -177,7 +176,7 @@ def test_leak_recall():
                 rng.choice([lambda: words.__setitem__(at, "zz"), lambda: words.insert(at, "yy"), lambda: words.pop(at)])()
             texts.append(" ".join([rng.choice(vocab) for _ in range(40)] + words + [rng.choice(vocab) for _ in range(40)]))
             planted.append((k, edits))
-    found = decontaminate.hits(texts, items, hashes)
+    found = decontaminate.hits(texts, items)
     missed = [(k, e) for (k, e), f in zip(planted, found) if not any(x["item_id"] == k and x["distance"] <= e for x in f)]
     assert len(missed) <= 0.01 * len(planted), missed
     assert not any(e == 0 for _, e in missed)
@@ -186,7 +185,7 @@ def test_leak_recall():
             item = dict(bench)[x["item_id"]].split()
             assert brute_distance(item, text[x["start"] : x["end"]].split()) == x["distance"] <= decontaminate.most_edits(len(item))
     clean = [" ".join(rng.choice(vocab) for _ in range(400)) for _ in range(50)]
-    assert not any(x["n_words"] > 6 for f in decontaminate.hits(clean, items, hashes) for x in f)
+    assert not any(x["n_words"] > 6 for f in decontaminate.hits(clean, items) for x in f)
 
 
 def test_leak_odd_rows(spark, odd, none):
