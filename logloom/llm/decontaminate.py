@@ -35,7 +35,7 @@ from .bpe import replaced
 from .common import mapped, mixed, text_slices
 
 EDITS = 0.2
-WALKS, SAMPLES, BITS = 16, 8, 4
+WALKS, SAMPLES, BITS = 10, 10, 4
 #: Items of a block, and their characters together, at most.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 #: Bytes of text that are searched at a time.
@@ -180,7 +180,7 @@ def _sampled(words: np.ndarray, at: np.ndarray, m: int) -> Iterator[np.ndarray]:
         for _ in range(SAMPLES):
             key = np.zeros(len(at), np.uint64)
             for j in rng.choice(busy, min(BITS, busy), replace=False):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + out[j, walk])
+                key = key * np.uint64(0x9E3779B97F4A7C15) + out[j, walk]
             yield key
 
 
