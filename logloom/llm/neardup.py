@@ -7,7 +7,8 @@ candidates share. With 32 bands, a pair of similarity 0.8 shares none with a pro
 1. Documents with equal sets are one class; the class works from here on as its smallest document id.
 2. In each band's bucket a pseudo-random member of its own is the hub; members pair up with hubs only. Pairs are dropped whose estimated similarity,
    corrected for registers that agree by accident, is five standard errors below the threshold, or whose registers differ
-   in more places than the sets may differ in shingles. Connected pairs form families.
+   in more places than the sets may differ in shingles. Connected pairs form families. Where a bucket has members of several families, all
+   of these are compared in the same way, block by block, as two may be similar while neither is to the hub.
 3. Families are verified on their full sets: members are dealt into blocks of bounded size, every two blocks of a
    family meet in some task, which counts all intersections exactly and returns a spanning forest of the links it finds.
 4. Components of these links are the groups; the smallest document id of each stays.
@@ -73,8 +74,8 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Similarity of register rows [pair, register] of sets of n and m, less the agreements expected by accident."""
-    used = ((a != 0) | (b != 0)).sum(1)
-    same = ((a == b) & (a != 0)).sum(1)
+    used = ((a != 0) | (b != 0)).sum(-1)
+    same = ((a == b) & (a != 0)).sum(-1)
     large, small = np.maximum(n, m).astype(float), np.maximum(np.minimum(n, m), 1).astype(float)
     phi = 4 * (large / small) / (1 + large / small) ** 2
     accident = 0.169919487159739093975315012348 * 2.0 ** (np.log2(REGISTERS) - MANTISSA) * phi
@@ -101,20 +102,74 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def hub_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct (hub, member) over all buckets of ``classes`` (id, bands)."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(band, key, id, hub, n) of every document in every bucket of two or more, with a pseudo-random member as its hub."""
     keys = classes.select("id", F.posexplode("bands").alias("band", "key")).where(F.col("key") != 0)
     order = F.struct(F.xxhash64("band", "id").alias("h"), F.col("id"))
-    hubs = keys.groupBy("band", "key").agg(F.min(order).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).select("band", "key", F.col("hub.id").alias("hub"))
+    hubs = keys.groupBy("band", "key").agg(F.min(order).alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).select("band", "key", F.col("hub.id").alias("hub"), "n")
     # a table of its own, so that both sides of the join are dealt out, and adaptive execution can split a hot bucket
-    hubs = written(hubs, "hubs")
-    return keys.join(hubs, ["band", "key"]).where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("member")).distinct()
+    return keys.join(written(hubs, "hubs"), ["band", "key"])
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of n and m with these register rows may be as similar as the threshold."""
+    # each register that differs has a shingle of its own that only one of the sets has
+    fine = (a != b).sum(-1) <= (n + m) * (1 - threshold) / (1 + threshold) + 1e-9
+    fine &= np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+    # a sample as large as the whole tells more than the error of a small one allows for
+    least = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    return fine & ((estimated(a, b, n, m) >= least) | (n + m < 4 * REGISTERS))
+
+
+def across(buckets: DataFrame, families: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(hub, member) pairs that tie families together which share a bucket, though not by its hub.
+
+    Buckets within one family are done. In the others, members are dealt into blocks, every two of which meet; a task gives out a spanning forest only.
+    """
+    named = buckets.select("band", "key", "id", "n").join(families.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("family", F.coalesce("component", "id")).drop("component")
+    mixed_ = named.groupBy("band", "key").agg(F.min("family").alias("least"), F.max("family").alias("most")).where(F.col("least") != F.col("most")).select("band", "key")
+    rows = named.join(written(mixed_, "mixed"), ["band", "key"]).join(classes.select("id", "n_shingles", "bands"), "id")
+    blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("bucket"), "id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    meets = dealt.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "family", "n_shingles", "bands")
+    spark = buckets.sparkSession
+    parts = max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+
+    def tied(ids: list[int], names: list[int], sizes: list[int], rows: list[list[int]]) -> list[tuple[int, int]]:
+        if len(set(names)) < 2:
+            return []
+        registers_ = np.array(rows, np.int64).view(np.uint16).reshape(len(ids), REGISTERS)
+        n, family, out = np.array(sizes), np.array(names), []
+        for k in range(len(ids)):
+            other = np.flatnonzero(family != family[k])
+            if not len(other):
+                break
+            for j in other[may_link(registers_[k], registers_[other], n[k], n[other], threshold)]:
+                if family[j] != family[k]:
+                    out.append((ids[k], ids[j]))
+                    family[family == family[j]] = family[k]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [], [])
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for band, key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (band, key, i, j):
+                    out += tied(*held)
+                    now, held = (band, key, i, j), ([], [], [], [])
+                for c, v in zip(held, row, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_pydict({"hub": pa.array([x for x, _ in out], pa.int64()), "member": pa.array([y for _, y in out], pa.int64())})
+        out = tied(*held)
+        yield pa.RecordBatch.from_pydict({"hub": pa.array([x for x, _ in out], pa.int64()), "member": pa.array([y for _, y in out], pa.int64())})
+
+    return mapped(meets.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j"), run, "hub long, member long").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (hub, member) whose estimate is not far below the threshold."""
     side = lambda name: classes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("bands").alias(f"{name}_bands"))
-    least = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +179,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
             rows = lambda c: np.asarray(batch.column(at[c]).flatten()).reshape(batch.num_rows, BANDS).view(np.uint16)
             a, b = rows("hub_bands"), rows("member_bands")
             n, m = np.asarray(batch.column(at["hub_n"])), np.asarray(batch.column(at["member_n"]))
-            # each register that differs has a shingle of its own that only one of the sets has
-            fine = (a != b).sum(1) <= (n + m) * (1 - threshold) / (1 + threshold) + 1e-9
-            fine &= np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
-            # a sample as large as the whole tells more than the error of a small one allows for
-            fine &= (estimated(a, b, n, m) >= least) | (n + m < 4 * REGISTERS)
+            fine = may_link(a, b, n, m, threshold)
             yield batch.filter(pa.array(fine)).select([at["hub"], at["member"]])
 
     joined = pairs.join(side("member"), "member").join(side("hub"), "hub")
@@ -238,8 +289,11 @@ def groups(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_i
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).write.parquet(f"{root}/classes")
     classes = spark.read.parquet(f"{root}/classes")
-    pairs = likely(written(hub_pairs(classes), "pairs"), classes, per_cent / 100)
-    families = written(connected(pairs, "hub", "member"), "families")
+    buckets = written(shared_buckets(classes), "buckets")
+    pairs = buckets.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("member")).distinct()
+    pairs = written(likely(pairs, classes, per_cent / 100), "pairs")
+    more = across(buckets, written(connected(pairs, "hub", "member"), "families"), classes, per_cent / 100)
+    families = written(connected(pairs.unionByName(more), "hub", "member"), "families")
     sets = sets_of(docs, families.select(F.col("node").alias("id")), k, id_col, text_col)
     links = verified(families, sets, per_cent)
     # rows that repeat an id with another text tie their classes together
