@@ -93,6 +93,22 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_groups(rows, 2)
 
 
+def test_links_besides_the_hubs(spark):
+    """Documents with a long passage in common share buckets, whose hubs are mostly similar to neither of a linked pair."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for d in range(120):
+        own = [f"o{d}x{i}" for i in range(24)]
+        rows.append((d, " ".join(passage + own)))
+        if d % 10 == 0:
+            rows.append((1000 + d, " ".join(passage + own[:20] + [f"n{d}{i}" for i in range(4)])))
+    rng.shuffle(rows)
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_groups(rows, 2)
+    assert sum(not r["kept"] for r in got) == 12
+
+
 def test_registers():
     rng = np.random.default_rng(1)
     one = rng.integers(0, 2**63, 3000).astype(np.uint64)
