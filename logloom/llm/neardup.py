@@ -203,8 +203,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str)
     return mapped(texts.join(ids, "id", "left_semi"), run, "id long, shingles binary, n long").where(F.col("n") > 0)
 
 
-def linked_in(ids: list[int], sets: list[np.ndarray], blocks: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among documents. Pairs within a block count where there is only that block."""
+def linked_in(ids: list[int], sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
@@ -251,25 +251,24 @@ def verified(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     totals = members.groupBy("family").agg(blocks.alias("blocks"))
     dealt = members.join(totals, "family").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "shingles")
+    meets = meets.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "shingles")
     n = max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets_, blocks_ = None, [], [], []
+        now, ids, sets_ = None, [], []
         out: list[tuple[int, int]] = []
 
         def solved() -> None:
             if len(ids) > 1:
-                out.extend(linked_in(ids, sets_, np.array(blocks_), per_cent))
+                out.extend(linked_in(ids, sets_, per_cent))
 
         for batch in batches:
-            for family, i, j, block, id_, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, i, j, id_, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != (family, i, j):
                     solved()
-                    now, ids, sets_, blocks_ = (family, i, j), [], [], []
+                    now, ids, sets_ = (family, i, j), [], []
                 ids.append(id_)
                 sets_.append(np.frombuffer(shingles, np.uint64))
-                blocks_.append(block)
             if out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
                 out.clear()
