@@ -3,7 +3,9 @@
 Texts are cut into pieces at line ends and after sentence marks; pieces of over ``LONG_PIECE`` words, which have no marks, are cut by their own words
 (after those whose checksum is a multiple of ``EVERY``), so that the same text is cut in the same places wherever it stands. From each piece on, the shortest run of pieces with ``min_words`` words is a unit; it is
 normalised (lower case, white space runs as one blank) and hashed. A passage that is repeated in the middle of other text, as long as it has
-units of its own, is found by them, wherever it begins. Digests are grouped over the whole corpus, the occurrence of the lowest rank
+units of its own, is found by them, wherever it begins. Passages that begin and end inside sentences may have none, so that ``repeats`` takes a
+second kind of units: of the runs of ``PASSAGE`` words from each word on, those whose hash is the least of ``PASSAGE`` successive ones (winnowing). Every run of
+2 * ``PASSAGE`` - 1 = 51 equal words, wherever it stands, holds the same one in full, and successive ones leave no word between them out. Digests are grouped over the whole corpus, the occurrence of the lowest rank
 (document id, place) stays, and the others are removed; units of a text that touch make one span, with its offsets in the original text.
 
 Edge cases: null and empty texts have no units. Rows with a null document id rank last; copies among them stay. Rows that repeat an id and text count as
@@ -17,18 +19,23 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, text_slices, written
+from .common import WordHashes, cache, mapped, mixed, text_slices, written
 
 MIN_WORDS = 20
 #: Ends of pieces: sentence marks, and symbols right after them, before white space; line ends.
 CUT = re.compile(r"[.!?。！？][^\w\s]*(?=\s)|\n")
 LONG_PIECE, EVERY = 40, 8
 TOKEN = re.compile(r"\S+")
+#: Words of a winnowed unit, and successive ones of which the least is taken.
+PASSAGE = 26
+#: Numbers of winnowed units begin here.
+WINNOWED = 1 << 30
 
 
 def text_key(id_col: str, text_col: str):
@@ -86,15 +93,57 @@ def units_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, unit, start, end, n_words, digest) of every unit; offsets in code points."""
+def winnowed(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Places of the runs of ``size`` words that are the least of ``size`` successive runs, the last of equal ones; of all where there are fewer."""
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    runs, width = hashes * np.uint64(0x9E3779B97F4A7C15), 1
+    sums = np.zeros(n, np.uint64)
+    at, left = 0, size  # runs of 1, 2, 4, ... words make up those of ``size``
+    while left:
+        if left & 1:
+            sums = mixed(sums * np.uint64(0x9E3779B97F4A7C15) + runs[at : at + n])
+            at += width
+        left >>= 1
+        if left:
+            runs = mixed(runs[:-width] * np.uint64(0xD6E8FEB86659FD93) + runs[width:])
+            width *= 2
+    least = sums & ~low | low - np.arange(n, dtype=np.uint64)
+    width, most = 1, min(size, n)
+    while width < most:
+        step = min(width, most - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return np.unique((low - (least & low)).astype(np.int64))
+
+
+def passages_of(text: str | None, size: int = PASSAGE) -> list[tuple[int, int, int, int, bytes]]:
+    """(unit, start, end, words, digest) of the winnowed units of a text."""
+    spans = [m.span() for m in TOKEN.finditer(text)] if text else []
+    if len(spans) < size:
+        return []
+    words = [text[a:b].lower() for a, b in spans] if len(text.lower()) != len(text) else text.lower().split()
+    kept = cache(__name__)
+    if "hashes" not in kept:
+        kept["hashes"] = WordHashes()
+    out = []
+    for k in winnowed(kept["hashes"].of(words), size).tolist():
+        joined = " ".join(["", *words[k : k + size]])  # unlike any unit of pieces, so that these are no copies of each other
+        out.append((WINNOWED + k, spans[k][0], spans[k + size - 1][1], size, xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))))
+    return out
+
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """(doc_id, row, unit, start, end, n_words, digest) of every unit, with ``passages`` of winnowed ones too; offsets in code points."""
     kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for texts in text_slices(batch.column(2)):
-                rows = [(*name, *u) for t in texts for name in [next(names)] for u in units_of(t, min_words)]
+                rows = [(*name, *u) for t in texts for name in [next(names)] for u in (units_of(t, min_words) + passages_of(t) if passages else units_of(t, min_words))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)], schema=kind)
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -152,4 +201,4 @@ def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The removed spans of all documents."""
-    return removed(written(units(docs, min_words), "units")).drop("row")
+    return removed(written(units(docs, min_words, passages=True), "units")).drop("row")

@@ -260,6 +260,44 @@ def test_substrings(spark):
         assert clean[d] == out + t[at:]
 
 
+def test_passages_inside_sentences(spark):
+    """Passages of 51 to 60 words that begin and end inside sentences of any length, with marks and without."""
+    rng = random.Random(9)
+    words = lambda n, mark: [f"w{rng.randint(0, 10**6)}" + ("." if mark and rng.random() < mark else "") for _ in range(n)]
+    rows, passages = [], {}
+    for n in range(300):
+        mark = (0, 0.03, 0.1)[n % 3]
+        passage = words(rng.randint(51, 60), mark)
+        for side in range(2):
+            before, after = words(rng.randint(0, 70), mark), words(rng.randint(0, 70), mark)
+            if before:
+                before[-1] = before[-1].strip(".")
+            rows.append((2 * n + side, " ".join([*before, *passage, *after])))
+        passages[2 * n + 1] = " ".join(passage)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts, found = dict(rows), defaultdict(set)
+    for r in substrings.repeats(docs).collect():
+        found[r["doc_id"]].update(range(r["start"], r["end"]))
+    assert set(found) == set(passages)
+    for d, passage in passages.items():  # nothing but the passage goes, 26 words of it at least
+        at = texts[d].index(passage)
+        assert found[d] <= set(range(at, at + len(passage))) and len("".join(texts[d][k] for k in sorted(found[d])).split("w")) > 26
+
+
+def test_winnowing():
+    rng = np.random.default_rng(4)
+    for n in (0, 25, 26, 30, 51, 400):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        at = substrings.winnowed(h, 26)
+        assert (len(at) > 0) == (n >= 26)
+        assert n < 52 or at[0] < 26 and at[-1] >= n - 51 and np.diff(at).max() <= 26
+        if n == 400:
+            for k in range(n - 51):
+                inner = substrings.winnowed(h[k : k + 51], 26) + k
+                assert len(inner) == 1 and inner[0] in at
+    assert np.diff(substrings.winnowed(np.tile(h[:5], 100), 26)).max() <= 26
+
+
 def test_substring_odd_rows(odd, none):
     gone = substrings.removed(substrings.units(odd, 3))
     assert {r["doc_id"] for r in gone.collect()} == {3, 4} or {r["doc_id"] for r in gone.collect()} == {4}
