@@ -11,6 +11,9 @@ most ``EDITS`` * m word edits away from it.
    are candidates.
 4. Candidates are verified by exact edit distance, over all ends of the run.
 
+Walks of long sequences drift apart with the number of edits, so items of over ``WHOLE`` words are looked for by parts of ``PART`` words at most: where a run is within the
+allowed edits of the item, one of the parts at least is within its own of a part of the run. Around each part found, the run nearest to the whole item is taken, over all starts and ends.
+
 Items come in blocks of bounded size, which are broadcast one after the other.
 
 Edge cases: null and empty texts and items have no words and no match. Items of one word match that word. Repeated items are found
@@ -35,7 +38,9 @@ from .bpe import replaced
 from .common import mapped, mixed, text_slices
 
 EDITS = 0.2
-WALKS, SAMPLES, BITS = 10, 10, 4
+WALKS, SAMPLES, BITS = 16, 8, 4
+#: Words of the longest items that are embedded as a whole, and of a longer item's parts at most.
+WHOLE, PART = 60, 50
 #: Items of a block, and their characters together, at most.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 #: Bytes of text that are searched at a time.
@@ -77,23 +82,61 @@ def prefix_distances(item: list[int], words: list[int]) -> tuple[int, int]:
     return best, at
 
 
+def last_end(item: list[int], words: list[int]) -> tuple[int, int]:
+    """The smallest edit distance of the item to any run of ``words``, and the first end of such a run; bit-parallel."""
+    m = len(item)
+    mask, high = (1 << m) - 1, 1 << (m - 1)
+    where: dict[int, int] = defaultdict(int)
+    for k, w in enumerate(item):
+        where[w] |= 1 << k
+    up, down, now = mask, 0, m
+    best, at = m, 0
+    for j, w in enumerate(words):
+        eq = where.get(w, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right_up = down | ~(diagonal | up) & mask
+        right_down = up & diagonal
+        now += bool(right_up & high) - bool(right_down & high)
+        right_up = right_up << 1 & mask  # a run may start at any word
+        right_down = right_down << 1 & mask
+        up = right_down | ~(diagonal | right_up) & mask
+        down = right_up & diagonal
+        if now < best:
+            best, at = now, j + 1
+    return best, at
+
+
+def nearest_run(item: list[int], words: list[int]) -> tuple[int, int, int]:
+    """(distance, start, end) of the run of ``words`` that is nearest to the item; the first end and the shortest of equal ones."""
+    distance, end = last_end(item, words)
+    return distance, end - prefix_distances(item[::-1], words[:end][::-1])[1], end
+
+
 class Items:
     """A block of benchmark items, by their number of words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocab: dict[str, int] = {}
         self.by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        pairs = []
+        #: Per size, the numbers of those of by_size that are parts: the item's words, and the part's place among them.
+        self.part_of: dict[int, dict[int, tuple[np.ndarray, int]]] = defaultdict(dict)
+        pairs, self.longest = [], 0
         for item, text in rows:
             words = np.array([self.vocab.setdefault(w, len(self.vocab) + KNOWN) for w in TOKEN.findall(text.lower())], np.uint64)
-            if len(words):
-                self.by_size[len(words)].append((item, words))
-                pairs.append(_pairs(words))
+            if not len(words):
+                continue
+            self.longest = max(self.longest, len(words) + most_edits(len(words)))
+            pairs.append(_pairs(words))
+            at = 0
+            for part in np.array_split(words, -(-len(words) // PART)) if len(words) > WHOLE else [words]:
+                if len(part) < len(words):
+                    self.part_of[len(part)][len(self.by_size[len(part)])] = words, at
+                self.by_size[len(part)].append((item, part))
+                at += len(part)
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
         self.of_size = {m: np.isin(self.pairs, np.concatenate([_pairs(w) for _, w in items])) for m, items in self.by_size.items()}
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
-        self.longest = max((m + most_edits(m) for m in self.by_size), default=0)
         self.keys = {m: [self._keyed(k) for k in _sampled(np.stack([w for _, w in items]), np.arange(len(items)), m)] for m, items in self.by_size.items() if m > 1}
 
     @staticmethod
@@ -194,14 +237,27 @@ def hits(texts: list[str | None], items: Items) -> list[list[dict]]:
     for w, b in zip(words, begins, strict=False):
         flat[b : b + len(w)] = items.numbers(w)
     best: list[dict[int, tuple]] = [{} for _ in texts]
+    searched: set[tuple[int, int, int]] = set()
     for m, start, k in items.candidates(flat):
         item, own = items.by_size[m][k]
         e = most_edits(m)
         doc = int(np.searchsorted(begins, start, "right")) - 1
-        end = min(start + m + e, int(begins[doc] + sizes[doc]))
-        distance, length = prefix_distances(own.tolist(), flat[start:end].tolist())
+        low, high = int(begins[doc]), int(begins[doc] + sizes[doc])
+        if k in items.part_of[m]:
+            whole, offset = items.part_of[m][k]
+            m, more = len(whole), most_edits(len(whole))
+            # candidates of nearly the same place are searched around together
+            near = (start - offset) // more
+            if (doc, id(whole), near) in searched:
+                continue
+            searched.add((doc, id(whole), near))
+            first = max(low, near * more - more - e)
+            distance, at, end = nearest_run(whole.tolist(), flat[first : min(high, (near + 1) * more + e + more + m + more)].tolist())
+            e, length, start = more, end - at, first + at
+        else:
+            distance, length = prefix_distances(own.tolist(), flat[start : min(start + m + e, high)].tolist())
         if distance <= e and length:
-            at = start - int(begins[doc])
+            at = start - low
             found = (distance, at, at + length, m)
             if item not in best[doc] or found < best[doc][item]:
                 best[doc][item] = found

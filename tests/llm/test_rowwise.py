@@ -188,6 +188,40 @@ def test_leak_recall():
     assert not any(x["n_words"] > 6 for f in decontaminate.hits(clean, items) for x in f)
 
 
+@pytest.mark.parametrize("share", [0.15, 0.2])
+def test_long_leak_recall(share):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(3000)]
+    planted, bench, texts = [], [], []
+    for m in (61, 100, 200, 300, 400):
+        for _ in range(30):
+            words = [rng.choice(vocab) for _ in range(m)]
+            bench.append((len(bench), " ".join(words)))
+            edited = list(words)
+            for _ in range(int(share * m)):
+                at = rng.randrange(len(edited))
+                rng.choice([lambda: edited.__setitem__(at, "zz"), lambda: edited.insert(at, "yy"), lambda: edited.pop(at)])()  # noqa: B023
+            texts.append(" ".join([rng.choice(vocab) for _ in range(rng.randint(0, 80))] + edited + [rng.choice(vocab) for _ in range(rng.randint(0, 80))]))
+            planted.append((m, int(share * m)))
+    found = decontaminate.hits(texts, decontaminate.Items(bench))
+    missed = [m for k, ((m, e), f) in enumerate(zip(planted, found, strict=True)) if not any(x["item_id"] == k and x["distance"] <= e and x["n_words"] == m for x in f)]
+    print("missed", share, missed)
+    assert len(missed) <= 0.02 * len(planted), missed
+    for k in range(0, len(texts), 10):
+        for x in found[k]:
+            item = bench[x["item_id"]][1].split()
+            assert brute_distance(item, texts[k][x["start"] : x["end"]].split()) == x["distance"] <= decontaminate.most_edits(len(item))
+
+
+def test_nearest_run():
+    rng = random.Random(13)
+    for _ in range(300):
+        item = [rng.randint(0, 4) for _ in range(rng.randint(1, 9))]
+        words = [rng.randint(0, 4) for _ in range(rng.randint(0, 20))]
+        distance, start, end = decontaminate.nearest_run(item, words)
+        assert distance == min(brute_distance(item, words[s:]) for s in range(len(words) + 1)) and brute_distance(item, words[start:end]) == distance
+
+
 def test_leak_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "same text twice"), (2, None), (None, "x"), (3, ""), (4, "end")], "item_id bigint, text string")
     got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontaminate.flagged(odd, bench).collect()}
