@@ -18,6 +18,8 @@ from logloom.llm.common import table, written
 
 #: Ids of documents to drop are broadcast up to this number, and joined from there on.
 BROADCAST_IDS = 400_000
+#: Lines too short to count as a repeated run go from this number of copies on, but the first.
+SHORT_COPIES = 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of repeated runs of lines."""
-    done = linededup.deduplicated(docs)
+    """Texts without the later copies of repeated runs of lines and of short lines that are boilerplate."""
+    done = linededup.deduplicated(docs, short_copies=SHORT_COPIES)
     emptied = (F.size("removed_runs") > 0) & ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
     out = done.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:

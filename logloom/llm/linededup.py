@@ -10,7 +10,8 @@ any depth between two powers of two is told by two overlapping ranks. A run coun
 that the decisive intervals are those of the shortest blocks with that many words, forward or backward from
 each position: every longer repeated run is the union of such blocks, and deeper rounds can't change what goes. In each
 interval the block of the lowest document id (and place) stays, and the later copies are deleted. Maximal runs of
-deleted lines are reported.
+deleted lines are reported. With ``short_copies``, lines of fewer than ``min_words`` words that occur that often in the corpus are boilerplate,
+whatever stands around them: all copies but the first go too.
 
 Edge cases: null and empty texts have no lines; a null text stays null. Rows with a null document id rank last. Rows that repeat an id and text
 are one document and are treated alike. Copies within a document count too. Lines are compared without white space at their ends. Other
@@ -125,6 +126,16 @@ def later_copies(found: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return every.join(first, ["lines", "head", "tail"]).where((F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start"))).select("row", "start", "lines")
 
 
+def later_short_lines(level: DataFrame, min_words: int, copies: int) -> DataFrame:
+    """(row, start, lines) of the later copies of lines of fewer than ``min_words`` words that occur ``copies`` times or more."""
+    short = level.where(F.col("n_words") < min_words).dropDuplicates(["row", "pos"])
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("pos"))
+    first = short.groupBy("rank").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where(F.col("n") >= copies)
+    first = written(first.select("rank", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "short-lines")
+    again = short.join(first, "rank").where((F.col("row") != F.col("first_row")) | (F.col("pos") != F.col("first_pos")))
+    return again.select("row", F.col("pos").alias("start"), F.lit(1).cast("long").alias("lines"))
+
+
 def cut(text: str | None, gone: list[dict] | None) -> tuple[str | None, list[dict], int]:
     """The text without the lines of the blocks, the maximal runs that went as line numbers, and the number of lines with words."""
     lines = worded_lines(text)
@@ -141,11 +152,13 @@ def cut(text: str | None, gone: list[dict] | None) -> tuple[str | None, list[dic
     return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in numbers), runs, len(lines)
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", short_copies: int | None = None) -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of ``text_col``, and removed_runs and n_lines (of the original) as last columns."""
     seq = written(sequences(docs, id_col, text_col), "lines")
     levels = suffix_ranks(seq, min_words)
     later = later_copies(blocks(levels[0], min_words), levels)
+    if short_copies is not None:
+        later = later.unionByName(later_short_lines(levels[0], min_words, short_copies))
     gone = later.groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("__gone")).withColumnRenamed("row", "__row")
     keep = [f.name for f in docs.schema.fields if f.name.lower() not in ("removed_runs", "n_lines")]
     joined = docs.select(*keep).withColumn("__key", F.unhex(text_key(id_col, text_col))).join(gone, F.col("__key") == F.col("__row"), "left").drop("__key", "__row")

@@ -176,6 +176,21 @@ def test_line_runs(spark):
     assert got[1] == (text, []) and got[2] == ("first\n\nother line of this text", [(1, 4)])
 
 
+def test_short_boilerplate(spark):
+    """Short lines between lines of their own go from the third copy of the corpus on; pairs stay, and so does the query's rule of 8 words."""
+    import corpus_pipeline
+
+    own = lambda d, k: f"own line {k} of document {d}"
+    rows = [(d, "\n".join([own(d, 0), "Released under the MIT License.", own(d, 1), *(["Twice."] if d in (4, 6) else []), own(d, 2)])) for d in range(1, 9)]
+    rows += [(20, "And.\nfirst of its own\nAnd.\nsecond of its own\nAnd."), (None, "Released under the MIT License.\nno id"), rows[2]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((repr(r["doc_id"]), r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect())
+    want = [(d, t if d == 1 else t.replace("Released under the MIT License.\n", "")) for d, t in rows]
+    want = [(d, "And.\nfirst of its own\nsecond of its own" if d == 20 else t) for d, t in want]
+    assert got == sorted((repr(d), t) for d, t in want)
+    assert all(r["text"] == dict(rows)[r["doc_id"]] for r in linededup.deduplicated(docs).collect())
+
+
 def test_line_odd_rows(odd, none):
     got = linededup.deduplicated(odd, 3)
     assert got.columns == [*odd.columns, "removed_runs", "n_lines"]
