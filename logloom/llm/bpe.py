@@ -4,7 +4,9 @@ Greedy longest match proposes the tokens of each distinct word. Whether a propos
 merges give is then tested for all adjacent pairs of all new words at once: a pair is compatible if, while
 both tokens are built from bytes, no merge ever crosses the border between them. A word whose tokens can
 each be built and whose pairs are all compatible is encoded as proposed; only the others are merged one by
-one. Words are remembered per worker up to a bound, so that each is worked on about once.
+one. Short chunks are remembered per worker up to a bound of number and length, so that each is worked on about once.
+
+``round_trip`` encodes and decodes in one pass, with one vocabulary in each worker; ``encode`` and ``decode`` are its halves.
 
 Results equal the tokenizers library's for byte-level BPE files of its format with
 ``add_special_tokens=False``: added tokens found in a text keep their ids, as in the library.
@@ -37,8 +39,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 COARSE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s.,]|\Z)|[.,]+(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
 #: Python counts these as white space, Unicode (and so the library) doesn't.
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-#: Chunks a worker remembers; the first ones have most of the frequent words.
-REMEMBERED = 200_000
+#: Chunks a worker remembers, the first ones, which have most of the frequent words, and their characters at most: some 50 MB.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 40
 NEVER = np.iinfo(np.int32).max
 
 
@@ -244,45 +246,33 @@ class SpeculativeBPE:
             else:
                 parts += [(k, None, self.special[p]) if p in self.special else (k, p, -1) for p in self.special_split.split(text) if p]
         chunked = [None if p is None else COARSE.findall(p) if not ODD_SPACE.search(p) else _split(p) for _, p, _ in parts]
-        known = self.remembered
+        known, forget = self.remembered, []
         if missing := {c for x in chunked if x for c in x if c not in known}:
-            learned = self._learn(missing)
-            if len(known) < REMEMBERED:
-                known.update(learned)
-            else:
-                known = known | learned
+            room = REMEMBERED - len(known)
+            known.update(self._learn(missing))
+            forget = [c for k, c in enumerate(missing) if k >= room or len(c) > REMEMBERED_CHARS]
         out: list[list[bytes]] = [[] for _ in texts]
         for (k, _, special), chunks in zip(parts, chunked, strict=True):
             out[k].append(np.array([special], np.int32).tobytes() if chunks is None else b"".join(map(known.__getitem__, chunks)))
+        for c in forget:
+            del known[c]
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
-
-
-class PieceDecoder:
-    """The bytes of each id; ids outside of the vocabulary have none."""
-
-    def __init__(self, spec: str):
-        read = json.loads(spec)
-        alphabet = byte_alphabet()
-        self.piece = {i: bytes(alphabet[c] for c in t) for t, i in read["model"]["vocab"].items()}
-        self.piece |= {t["id"]: t["content"].encode() for t in read["added_tokens"]}
-
-    def decode(self, ids: list[int]) -> str:
-        try:
-            found = b"".join(map(self.piece.__getitem__, ids))
-        except KeyError:
-            found = b"".join(self.piece.get(i, b"") for i in ids)
-        return found.decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids; those outside of the vocabulary have none."""
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= self.size):
+            ids = ids[(ids >= 0) & (ids < self.size)]
+        return b"".join(map(self.piece.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _split = regex.compile(SPLIT).findall
 
 
-def made(kind: type, spec: str):
-    """One coder of a kind per worker and vocabulary."""
-    held, key = cache(__name__), (kind.__name__, hashlib.sha256(spec.encode()).hexdigest())
+def coder_of(spec: str) -> SpeculativeBPE:
+    """One coder per worker and vocabulary."""
+    held, key = cache(__name__), hashlib.sha256(spec.encode()).hexdigest()
     if key not in held:
-        held[key] = kind(spec)
+        held[key] = SpeculativeBPE(spec)
     return held[key]
 
 
@@ -300,43 +290,52 @@ def replaced(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Adds ``out_col`` array<int>, the ids of the whole ``text_col``."""
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(vocab_path))
-    schema = replaced(df.schema, out_col, T.ArrayType(T.IntegerType(), False))
-    keep = [f.name for f in schema.fields[:-1]]
+def _ids(bpe: SpeculativeBPE, texts: pa.Array) -> pa.ListArray:
+    got = [x for part in text_slices(texts) for x in bpe.encode(part)]
+    ends = np.zeros(len(got) + 1, np.int64)
+    np.cumsum([len(x) // 4 for x in got], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), np.int32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = made(SpeculativeBPE, spec.value)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            got = [x for texts in text_slices(column) for x in bpe.encode(texts)]
-            ends = np.zeros(len(got) + 1, np.int64)
-            np.cumsum([len(x) // 4 for x in got], out=ends[1:])
-            flat = np.frombuffer(b"".join(got), np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), ids], names=[*keep, out_col])
 
-    return mapped(df, run, schema)
+def _texts(bpe: SpeculativeBPE, ids: pa.ListArray) -> pa.Array:
+    if ids.null_count:
+        return pa.array([bpe.decode(np.array(x or [], np.int32)) for x in ids.to_pylist()], pa.string())
+    ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+    return pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
 
-def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds ``out_col`` string, the text of ``ids_col``; special tokens are kept in it."""
+def _coded(df: DataFrame, vocab_path: str, text_col: str | None, ids_col: str, out_col: str | None) -> DataFrame:
+    """Adds ``ids_col`` from ``text_col``, and ``out_col`` from ``ids_col``, or one of them."""
     spec = df.sparkSession.sparkContext.broadcast(read_spec(vocab_path))
-    schema = replaced(df.schema, out_col, T.StringType())
-    keep = [f.name for f in schema.fields[:-1]]
+    schema = df.schema
+    if text_col is not None:
+        schema = replaced(schema, ids_col, T.ArrayType(T.IntegerType(), False))
+    if out_col is not None:
+        schema = replaced(schema, out_col, T.StringType())
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = made(PieceDecoder, spec.value)
+        bpe = coder_of(spec.value)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            texts = pa.array([bpe.decode(x) if x else "" for x in column.to_pylist()] if column.null_count else _texts(bpe, column), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), texts], names=[*keep, out_col])
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            made = {ids_col: _ids(bpe, column(text_col))} if text_col is not None else {ids_col: column(ids_col)}
+            if out_col is not None:
+                made[out_col] = _texts(bpe, made[ids_col])
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else column(c) for c in names], names=names)
 
     return mapped(df, run, schema)
 
 
-def _texts(bpe: PieceDecoder, column: pa.ListArray) -> list[str]:
-    ends = np.asarray(column.offsets)
-    flat = np.asarray(column.values)
-    return [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """Adds ``out_col`` array<int>, the ids of the whole ``text_col``."""
+    return _coded(df, vocab_path, text_col, out_col, None)
+
+
+def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Adds ``out_col`` string, the text of ``ids_col``; special tokens are kept in it."""
+    return _coded(df, vocab_path, None, ids_col, out_col)
+
+
+def round_trip(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Adds ``ids_col``, the ids of the whole ``text_col``, and ``out_col``, the text that they decode to, in one pass."""
+    return _coded(df, vocab_path, text_col, ids_col, out_col)

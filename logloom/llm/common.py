@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +44,24 @@ def cache(owner: str) -> dict:
     return _caches.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers outlive their tasks. What can't be told to do so is left alone."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow over small batches, by workers that keep nothing of other modules' operators."""
+    """mapInArrow over small batches, by workers that keep nothing of other modules' operators, nor free memory after a task."""
     small_batches(df.sparkSession)
     owner = run.__module__
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache(owner)
-        return run(batches)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(alone, schema)
 

@@ -34,8 +34,8 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).select("doc_id", "ids")
-    return bpe.decode(ids, BYTE_BPE).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, BYTE_BPE).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -34,7 +34,8 @@ from .common import cache, mapped, shuffle_partitions, text_slices, work_dir
 #: White space that surely separates words for the library too; whatever else there is stays within a chunk.
 #: Letters (but for the dotted capital I, whose lower case ends in a mark) before white space, a full stop or a comma, and these marks before white space, are chunks of their own, as they are for the library.
 CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[ \t\n\r.,]|\Z)|[.,]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
-REMEMBERED = 250_000
+#: Chunks that a worker remembers, and their characters at most.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 40
 SECTION_IDS = idcodec.BLOCK * idcodec.LANES
 END_ID = 1
 
@@ -80,13 +81,14 @@ class ChunkTokenizer:
         known = self.known
         chunked = [CHUNK.findall(t) if t else [] for t in texts]
         missing = list({c for x in chunked for c in x if c not in known})
-        if len(known) >= REMEMBERED:
-            known = dict(known)
+        room = REMEMBERED - len(known)
         for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            known.update(self._learned(part))
+            known.update(self._learned(missing[at : at + 20_000]))
         end = struct.pack("<H", end_id)
-        return [b"".join(map(known.__getitem__, x)) + end for x in chunked]
+        out = [b"".join(map(known.__getitem__, x)) + end for x in chunked]
+        for c in (c for k, c in enumerate(missing) if k >= room or len(c) > REMEMBERED_CHARS):
+            del known[c]
+        return out
 
 
 def tokenizer_of(spec: str) -> ChunkTokenizer:

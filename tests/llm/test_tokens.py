@@ -23,13 +23,12 @@ def random_texts(n, seed=1):
 
 def test_bpe_equals_library():
     own, library = bpe.SpeculativeBPE(bpe.read_spec(BYTE)), Tokenizer.from_file(BYTE)
-    decoder = bpe.PieceDecoder(bpe.read_spec(BYTE))
     texts = TRICKY + random_texts(3000)
     for part in (texts, texts):  # once learned, once remembered
         got = [np.frombuffer(x, np.int32).tolist() for x in own.encode(part)]
         want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
         assert got == want
-        assert [decoder.decode(x) for x in got] == library.decode_batch(want, skip_special_tokens=False)
+        assert [own.decode(np.array(x, np.int32)) for x in got] == library.decode_batch(want, skip_special_tokens=False)
 
 
 def test_bpe_memory_full(monkeypatch):
@@ -110,11 +109,12 @@ def test_long_document_spans_superblocks(tmp_path):
 
 def test_bpe_columns(spark, odd, none):
     library = Tokenizer.from_file(BYTE)
-    done = bpe.decode(bpe.encode(odd, BYTE), BYTE)
-    assert sorted(done.columns) == sorted(odd.columns)
+    apart, done = bpe.decode(bpe.encode(odd, BYTE), BYTE), bpe.round_trip(odd, BYTE)
+    assert sorted(done.columns) == sorted(odd.columns) and apart.columns == done.columns
+    assert sorted(map(repr, apart.collect())) == sorted(map(repr, done.collect()))
     for r in done.collect():
         assert r["ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["decoded"] == (r["text"] or "")
-    assert bpe.decode(bpe.encode(none, BYTE), BYTE).collect() == []
+    assert bpe.round_trip(none, BYTE).collect() == []
     unknown = spark.createDataFrame([([262, -1, 99999],), (None,)], "ids array<int>")
     assert [r["decoded"] for r in bpe.decode(unknown, BYTE).collect()] == [" the", ""]
