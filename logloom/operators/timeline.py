@@ -93,7 +93,8 @@ def insert_rows(index: DataFrame, rows: DataFrame, chunk: int = CHUNK) -> DataFr
     key = F.struct("ts", "src", "line")
     parts = _chunked(index.select("pos", "ts", "src", "line"), "pos", chunk).withColumn("_all", F.lit(0))
     parts = _carried(parts, ["_all"], F.min(key), F.min, forward=False)
-    own = F.min(key).over(Window.partitionBy("_chunk").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
+    # from the last row backward, as a frame that grows at its end is added to, and one that shrinks is made anew for each row
+    own = F.min(key).over(Window.partitionBy("_chunk").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
     old = parts.select("ts", "src", "line", F.least(own, F.coalesce("_carry", own)).alias("_key"), F.lit(0).alias("_new"), F.col("pos").alias("_pos"))
     new = rows.select(F.col("ts").cast("bigint"), F.col("src").cast(index.schema["src"].dataType), F.col("line").cast("bigint"))
     new = new.select("ts", "src", "line", key.alias("_key"), F.lit(1).alias("_new"), F.lit(0).cast("bigint").alias("_pos"))

@@ -5,7 +5,6 @@ All of them read whole tables. The corpora are those of plans.corpora; the SQL b
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +99,7 @@ SELECT src, count(*) AS lines, max(line) AS last, CAST(sum((line + 1) * length(v
 def open_files(spark, sf_dir):
     """Log lines written to a file for each source, and read back with their numbers."""
     log = corpora.event_log(spark, sf_dir).select("src", "line", "value")
-    root = f"{storage.shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    root = storage.new_folder(spark, "logs")
     log.repartition("src").sortWithinPartitions("src", "line").select("src", "value").write.partitionBy("src").option("lineSep", "\n").text(root)
     lines = open_lines(spark, f"{root}/src=*/*").withColumn("src", F.regexp_extract("path", "src=([0-9]+)", 1).cast("int"))
     return lines.groupBy("src").agg(F.count("*").alias("lines"), F.max("line").alias("last"), F.sum((F.col("line") + 1) * F.char_length("value")).cast("bigint").alias("weight"))
@@ -109,7 +108,7 @@ def open_files(spark, sf_dir):
 @query("SELECT 'utf-8' AS encoding, 'utf-8' AS stored, count(*) AS lines FROM events")
 def file_stats(spark, sf_dir):
     """Encoding and line count of a written file, told from its bytes."""
-    root = f"{storage.shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    root = storage.new_folder(spark, "logs")
     corpora.event_json(spark, sf_dir).select("value").write.option("lineSep", "\n").text(root)
     found = stats(open_lines(spark, f"{root}/part-*"), heads(spark, f"{root}/part-*"))
     return found.groupBy("encoding", "stored").agg(F.sum("lines").cast("bigint").alias("lines"))
