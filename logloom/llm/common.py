@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -16,6 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import new_folder as work_dir
+from ..plans.storage import shared_folder
+
 #: Words of the result contracts: maximal runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same class for Spark SQL (Java) patterns.
@@ -79,36 +80,17 @@ def fresh(columns: list[str], base: str) -> str:
     return base
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (tests on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below the application's own in the shared one, which may be removed once results have been read."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts the lineage: the table is written to the shared folder and read back with its schema."""
-    spark, path = df.sparkSession, work_dir(df.sparkSession, what)
+    spark = df.sparkSession
+    path = work_dir(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a folder that this library wrote below the shared one."""
-    assert path.startswith(shared_dir(spark)), path
+    assert path.startswith(shared_folder(spark)), path
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -173,8 +155,3 @@ def lower_ascii(text: str) -> str:
 
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
-
-
-def null_safe_text(col: str = "text") -> Column:
-    """Null texts as empty ones."""
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))

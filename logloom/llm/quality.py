@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textstats
-from .common import mapped, text_slices, written
+from .common import fresh, mapped, text_slices, written
 
 #: feature: (slack below the median or None for no lower limit, slack above it).
 FEATURES = {
@@ -128,13 +128,15 @@ def judged(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     """Adds base_failed and kept to a measured table, which is read twice. A group whose documents all fail the base rules has no
     limits and needs none."""
     found = all_limits(measured, lang_col, source_col, min_docs)
-    found = found.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in limit_names()))
+    keep = [c for c in measured.columns if c.lower() not in ("base_failed", "kept")]
+    name = {c: fresh(keep, c) for c in ["limits_lang", "limits_source", *limit_names()]}
+    found = found.select(F.col("lang").alias(name["limits_lang"]), F.col("source").alias(name["limits_source"]), *(F.col(c).alias(name[c]) for c in limit_names()))
     if found.count() <= BROADCAST_GROUPS:
         found = F.broadcast(found)
-    out = measured.drop("base_failed", "kept").join(found, F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    inside = [feature(n) <= F.col(f"__{n}_most") for n in FEATURES] + [feature(n) >= F.col(f"__{n}_least") for n, (below, _) in FEATURES.items() if below is not None]
+    out = measured.select(*keep).join(found, F.col(lang_col).eqNullSafe(F.col(name["limits_lang"])) & F.col(source_col).eqNullSafe(F.col(name["limits_source"])), "left")
+    inside = [feature(n) <= F.col(name[f"{n}_most"]) for n in FEATURES] + [feature(n) >= F.col(name[f"{n}_least"]) for n, (below, _) in FEATURES.items() if below is not None]
     kept = ~base_failed() & F.coalesce(reduce(Column.__and__, inside), F.lit(True))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("__lang", "__source", *(f"__{c}" for c in limit_names()))
+    return out.select(*keep, base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 def verdicts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
