@@ -2,8 +2,9 @@
 
 Records are written as gzip members of their own, so that any record can be read by its range. The index has a line for every
 record, keyed by the URL with its host reversed and the page id, in key order. Lines are packed in compressed blocks of
-``BLOCK_LINES``; a sparse directory keeps the first key and place of each block. A look-up searches the directory by bisection for the
-blocks that may hold a key, reads and bisects these blocks, and then reads the records by range. Ranges that
+``BLOCK_LINES``; a sparse directory keeps the first key and place of each block. A look-up deals its keys by the ranges of the index files, of which there are
+as many as shuffle partitions, whatever the size of the data. Each range's part of the directory is searched by bisection for the
+blocks that may hold a key; these are read and bisected, and then the records are read by range. Ranges that
 follow each other closely in a file are read in one request.
 
 Of records with equal payloads of at least ``revisit_from`` bytes the one with the largest page id is the response; the others are
@@ -11,7 +12,7 @@ revisits that refer to it. Smaller ones are all responses.
 
 Edge cases: null html is an empty payload, a null URL an empty key. Rows without a page id are written and returned,
 and are the response only if no equal payload has an id. Rows repeated with one page id are captures of their own: all of those with the largest id
-are responses. An empty table gives no files and no rows. Extra columns are ignored.
+are responses. Very long payloads are records like others. An empty table gives no files and no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, shuffle_partitions, work_dir
+from .common import mapped, shuffle_partitions, work_dir, written
 
 BLOCK_LINES = 1000
 LEVEL = 1
 DATE = "1970-01-01T00:00:00Z"
 #: Records in the same file that lie this close together are read in one request, up to READ_MOST bytes.
 GAP, READ_MOST = 64 << 10, 8 << 20
-#: A larger directory is read by range join instead of from each task's memory.
-DIRECTORY_MOST = 100_000
+#: Keys that search a part of the directory together; more are dealt over several tasks with a copy of the part each.
+KEYS_MOST = 200_000
+#: Up to this number of payloads that occur twice, 30 bytes each, they are broadcast; more are joined.
+BROADCAST_PAYLOADS = 400_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -111,11 +114,15 @@ def parse(data: bytes) -> dict:
 
 
 def with_refers(pages: DataFrame, revisit_from: int) -> DataFrame:
-    """(page_id, url, html, refers_to): refers_to is set for revisits. Only payloads that occur twice are joined."""
+    """(page_id, url, html, refers_to): refers_to is set for revisits. Only payloads that occur twice are joined; they are a table of their own, so
+    that the pages of a frequent one can be split over tasks."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     large = F.octet_length("html") >= revisit_from
     twice = rows.where(large).groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where(F.col("n") > 1).select(F.col("sha").alias("dup_sha"), "keeper")
+    twice = written(twice, "payloads")
+    if twice.count() <= BROADCAST_PAYLOADS:
+        twice = F.broadcast(twice)
     joined = rows.join(twice, (F.col("sha") == F.col("dup_sha")) & large, "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("keeper")).alias("refers_to"))
@@ -184,30 +191,55 @@ def write_index(lines: DataFrame, out_dir: str) -> DataFrame:
 
 
 def _blocks_of(first: list[str], last: list[str], key: str) -> range:
-    """The blocks that may hold ``key``: by bisection over first and last keys in order."""
+    """The blocks (or files) that may hold ``key``: by bisection over first and last keys in order."""
     return range(bisect.bisect_left(last, key), bisect.bisect_right(first, key))
 
 
+def _placed(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """(key, file, at, size) of the blocks that may hold each distinct key: by bisection of the files' ranges, then of a file's directory."""
+    spark = keys.sparkSession
+    # a row for each index file, and so for each shuffle partition at most
+    ranges = sorted((r["low"], r["high"], r["file"]) for r in directory.groupBy("file").agg(F.min("first").alias("low"), F.max("last").alias("high")).collect())
+    sent = spark.sparkContext.broadcast(tuple(zip(*ranges, strict=True)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, files = sent.value
+        for batch in batches:
+            found = [(key, files[k]) for key in batch.column(0).to_pylist() for k in _blocks_of(low, high, key)]
+            yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in found], pa.string()), "file": pa.array([f for _, f in found], pa.string())})
+
+    dealt = written(mapped(keys.where(F.col("key").isNotNull()).select("key").distinct(), deal, "key string, file string"), "keys")
+    shares = dealt.groupBy("file").agg(F.ceil(F.count("*") / KEYS_MOST).cast("int").alias("shares"))
+    # a row for each file, as above
+    asked = dealt.join(F.broadcast(shares), "file").select("file", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("asked"), F.col("key").alias("first"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("size"))
+    known = directory.join(F.broadcast(shares), "file").select("file", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("asked"), "first", "last", "at", "size")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, last, places = None, [], [], []
+        for batch in batches:
+            out: list[tuple] = []
+            for file, share, asking, key, end, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (file, share):
+                    now, first, last, places = (file, share), [], [], []
+                if asking:
+                    out += [(key, file, *places[k]) for k in _blocks_of(first, last, key)]
+                else:
+                    first.append(key)
+                    last.append(end)
+                    places.append((at, size))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "at", "size"])
+
+    met = asked.unionByName(known).repartition(shuffle_partitions(spark), "file", "share").sortWithinPartitions("file", "share", "asked", "first", "last", "at")
+    return mapped(met, place, "key string, file string, at long, size long")
+
+
 def find(keys: DataFrame, directory: DataFrame, index_dir: str) -> DataFrame:
     """(key, file, at, size) of every capture of each distinct ``key``: directory, block, line."""
     spark = keys.sparkSession
-    n_blocks = directory.count()
     schema = "key string, file string, at long, size long"
-    if n_blocks == 0:
+    if directory.isEmpty():
         return spark.createDataFrame([], schema)
-    if n_blocks <= DIRECTORY_MOST:
-        held = sorted(tuple(r) for r in directory.select("first", "last", "file", "at", "size").collect())
-        sent = spark.sparkContext.broadcast(tuple(zip(*held, strict=True)))
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first, last, files, ats, sizes = sent.value
-            for batch in batches:
-                rows = [(key, files[b], ats[b], sizes[b]) for key in batch.column(0).to_pylist() for b in _blocks_of(first, last, key)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("key", "file", "at", "size"), r, strict=True)) for r in rows], schema=pa.schema([("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())]))
-
-        placed = mapped(keys.select("key").distinct(), place, schema)
-    else:
-        placed = keys.select("key").distinct().join(directory, (F.col("key") >= F.col("first")) & (F.col("key") <= F.col("last"))).select("key", "file", "at", "size")
+    placed = _placed(keys, directory)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(index_dir)
