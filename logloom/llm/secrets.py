@@ -13,6 +13,7 @@ an empty table gives an empty table; extra columns pass through, those named as
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, text_slices
+from .common import cache, mapped, text_slices
 
 #: Fixed patterns of the base scan, with the least length of what is kept.
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -41,7 +42,6 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"(?:[0-9]+|[A-Za-z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[0-9]+|[A-Za-z]?[a-z]+|[A-Z]+))*[/_=+-]*")
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_encoders: dict[str, object] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,12 +54,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def encoder(ranks: dict[bytes, int], pattern: str):
+    """One encoder per worker, vocabulary and pattern, told by what they hold."""
     import tiktoken
 
-    key = f"{len(ranks)} {pattern}"
-    if key not in _encoders:
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[key]
+    content = hashlib.sha256(pattern.encode())
+    for token, rank in ranks.items():
+        content.update(b"%d %d " % (rank, len(token)) + token)
+    held, key = cache(__name__), content.hexdigest()
+    if key not in held:
+        held[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return held[key]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
