@@ -7,17 +7,20 @@ candidates share. With 32 bands, a pair of similarity 0.8 shares none with a pro
 1. Documents with equal sets are one class; the class works from here on as its smallest document id.
 2. In each band's bucket a pseudo-random member of its own is the hub; members pair up with hubs only. Pairs are dropped whose estimated similarity,
    corrected for registers that agree by accident, is five standard errors below the threshold, or whose registers differ
-   in more places than the sets may differ in shingles. Connected pairs form families. Where a bucket has members of several families, all
-   of these are compared in the same way, block by block, as two may be similar while neither is to the hub.
-3. Families are verified on their full sets: members are dealt into blocks of bounded size, every two blocks of a
-   family meet in some task, which counts all intersections exactly and returns a spanning forest of the links it finds.
-4. Components of these links are the groups; the smallest document id of each stays.
+   in more places than the sets may differ in shingles.
+3. The others are verified on the full sets, each member with one of its hubs first, and with further ones only as long as they aren't in one part
+   (connected by links that were found). This is linear in the number of pairs.
+4. Where a bucket has members of several parts, two of them may be similar while neither is to the hub. Members of different parts are compared by their registers, block by block; blocks of
+   a large part don't meet each other. Those that may be linked to another part are verified on their full sets in the same way, within families of parts that any of them ties together: two blocks
+   that meet in a task are verified by counting all intersections exactly, and give a spanning forest of the links found.
+5. Components of all links are the groups; the smallest document id of each stays.
 
-No pairs of a family are listed, and none of it is gathered but two blocks at a time.
+A large group of near copies is mostly one part after step 3, so that no number of its members meets more than a few others. No pairs of a group are listed, and none of it is gathered but two blocks at a time.
 
 Edge cases: null and empty texts, and texts without a word, have an empty set, which is linked with nothing. A text of fewer words than a
 shingle has its whole sequence as its one shingle. Rows with a null id have their counts, no component, and are kept.
-Rows that repeat an id are one document with the links of all its texts. Extra columns are ignored.
+Rows that repeat an id are one document with the links of all its texts. Very long texts are sets like others. An empty table gives an empty one. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,9 +39,10 @@ from .components import connected
 REGISTERS = 128
 BANDS = REGISTERS // 4
 MANTISSA = 10
-#: Shingles of a block in verification, about.
-BLOCK_SHINGLES = 150_000
-BLOCK_DOCS = 192
+#: Documents of a block, and their shingles, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 192, 150_000
+#: Members that are verified with a hub in one task at most; more are dealt over several.
+HUB_DOCS = 1000
 #: More documents than this are found again by a join instead of a broadcast.
 BROADCAST_IDS = 400_000
 COLUMNS = 2048
@@ -83,7 +87,7 @@ def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, bands: the registers as 32 longs)."""
+    """(doc_id, n_shingles, digest of the set, bands: the registers as 32 longs, and registers: as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -97,9 +101,10 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                     rows.append(registers(s).view(np.int64))
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands], names=["doc_id", "n_shingles", "digest", "bands"])
+            whole = pa.array([r.tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands, whole], names=["doc_id", "n_shingles", "digest", "bands", "registers"])
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_shingles long, digest binary, bands array<long>, registers binary")
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
@@ -121,69 +126,97 @@ def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, thresho
     return fine & ((estimated(a, b, n, m) >= least) | (n + m < 4 * REGISTERS))
 
 
-def across(buckets: DataFrame, families: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(hub, member) pairs that tie families together which share a bucket, though not by its hub.
+def _parts(spark) -> int:
+    return max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
 
-    Buckets within one family are done. In the others, members are dealt into blocks, every two of which meet; a task gives out a spanning forest only.
+
+def meetings(rows: DataFrame, group: list[str], weight: int | None = None) -> DataFrame:
+    """``rows`` (group…, part, id, …) once for each meeting (i, j) of their block with another of the group, such that all rows of different parts meet.
+
+    Parts of over half a block have blocks of their own, which don't meet each other. Smaller ones share blocks, each of which also meets itself. ``weight``:
+    what the column ``n`` of a block may sum up to, besides BLOCK_DOCS rows.
     """
-    named = buckets.select("band", "key", "id", "n").join(families.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("family", F.coalesce("component", "id")).drop("component")
-    mixed_ = named.groupBy("band", "key").agg(F.min("family").alias("least"), F.max("family").alias("most")).where(F.col("least") != F.col("most")).select("band", "key")
-    rows = named.join(written(mixed_, "mixed"), ["band", "key"]).join(classes.select("id", "n_shingles", "bands"), "id")
-    blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("bucket"), "id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    meets = dealt.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "family", "n_shingles", "bands")
-    spark = buckets.sparkSession
-    parts = max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
-
-    def tied(ids: list[int], names: list[int], sizes: list[int], rows: list[list[int]]) -> list[tuple[int, int]]:
-        if len(set(names)) < 2:
-            return []
-        registers_ = np.array(rows, np.int64).view(np.uint16).reshape(len(ids), REGISTERS)
-        n, family, out = np.array(sizes), np.array(names), []
-        for k in range(len(ids)):
-            other = np.flatnonzero(family != family[k])
-            if not len(other):
-                break
-            for j in other[may_link(registers_[k], registers_[other], n[k], n[other], threshold)]:
-                if family[j] != family[k]:
-                    out.append((ids[k], ids[j]))
-                    family[family == family[j]] = family[k]
-        return out
+    need = lambda count, total: F.ceil(F.greatest(count / BLOCK_DOCS, *([total / weight] if weight else []), F.lit(1.0)) if weight else F.greatest(count / BLOCK_DOCS, F.lit(1.0))).cast("int")
+    total = F.sum("n") if weight else F.lit(0)
+    sizes = rows.groupBy(*group, "part").agg(F.count("*").alias("rows_"), total.alias("total_"))
+    sizes = written(sizes.withColumn("own", F.when(need(2 * F.col("rows_"), 2 * F.col("total_")) > 1, F.col("part"))), "parts")
+    labels = sizes.groupBy(*group, "own").agg(F.sum("rows_").alias("rows_"), F.sum("total_").alias("total_")).select(*group, "own", need(F.col("rows_"), F.col("total_")).alias("blocks"))
+    labels = written(labels, "labels")
+    # a row for each large part and one for the others
+    listed = labels.groupBy(*group).agg(F.collect_list(F.struct("own", "blocks")).alias("labels"))
+    name = lambda own, block: F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("-")), F.lpad(block.cast("string"), 9, "0"))
+    mine = rows.join(sizes.select(*group, "part", "own"), [*group, "part"]).join(written(listed, "listed"), group)
+    blocks = F.filter("labels", lambda x: x["own"].eqNullSafe(F.col("own")))[0]["blocks"]
+    mine = mine.withColumn("block", name(F.col("own"), F.pmod(F.xxhash64(F.lit("block"), "id"), blocks)))
+    others = F.flatten(F.transform(F.filter("labels", lambda x: x["own"].isNull() | ~x["own"].eqNullSafe(F.col("own"))), lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: name(x["own"], k))))
+    met = mine.withColumn("other", F.explode(others))
+    return met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("own", "labels", "block", "other")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each run of equal first ``keys`` columns, without these."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+def _pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def across(buckets: DataFrame, parts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every document that shares a bucket with one that it may be linked to, of another part, and one such document of each part.
+
+    ``parts`` has (node, component). Buckets within one part are done.
+    """
+    named = buckets.select("band", "key", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    open_ = named.groupBy("band", "key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where(F.col("least") != F.col("most")).select("band", "key")
+    rows = written(named.join(written(open_, "open"), ["band", "key"]), "mixed")
+    met = meetings(rows, ["band", "key"]).join(classes.select("id", "n_shingles", "registers"), "id")
+    met = met.select("band", "key", "i", "j", "id", "part", "n_shingles", "registers").repartition(_parts(buckets.sparkSession), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for band, key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (band, key, i, j):
-                    out += tied(*held)
-                    now, held = (band, key, i, j), ([], [], [], [])
-                for c, v in zip(held, row, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_pydict({"hub": pa.array([x for x, _ in out], pa.int64()), "member": pa.array([y for _, y in out], pa.int64())})
-        out = tied(*held)
-        yield pa.RecordBatch.from_pydict({"hub": pa.array([x for x, _ in out], pa.int64()), "member": pa.array([y for _, y in out], pa.int64())})
+        for rows in grouped(batches, 4):
+            ids, part, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            if (part == part[0]).all():
+                continue
+            held = np.frombuffer(b"".join([r[3] for r in rows]), np.uint16).reshape(len(ids), REGISTERS)
+            out = []
+            for k in range(len(ids)):
+                other = np.flatnonzero(part != part[k])
+                fine = other[may_link(held[k], held[other], n[k], n[other], threshold)]
+                if len(fine):
+                    _, one = np.unique(part[fine], return_index=True)
+                    out += [(int(ids[k]), int(j)) for j in ids[fine[one]]]
+            yield _pairs_of(out)
 
-    return mapped(meets.repartition(parts, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j"), run, "hub long, member long").distinct()
+    return mapped(met, run, "a long, b long").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (hub, member) whose estimate is not far below the threshold."""
-    side = lambda name: classes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("bands").alias(f"{name}_bands"))
+    side = lambda name: classes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("registers").alias(f"{name}_registers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             at = {n: k for k, n in enumerate(batch.schema.names)}
-            rows = lambda c: np.asarray(batch.column(at[c]).flatten()).reshape(batch.num_rows, BANDS).view(np.uint16)
-            a, b = rows("hub_bands"), rows("member_bands")
+            rows = lambda c: np.frombuffer(b"".join(batch.column(at[c]).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS)
+            a, b = rows("hub_registers"), rows("member_registers")
             n, m = np.asarray(batch.column(at["hub_n"])), np.asarray(batch.column(at["member_n"]))
             fine = may_link(a, b, n, m, threshold)
             yield batch.filter(pa.array(fine)).select([at["hub"], at["member"]])
 
     joined = pairs.join(side("member"), "member").join(side("hub"), "hub")
-    return mapped(joined.select("hub", "member", "hub_n", "member_n", "hub_bands", "member_bands"), run, "hub long, member long")
+    return mapped(joined.select("hub", "member", "hub_n", "member_n", "hub_registers", "member_registers"), run, "hub long, member long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -203,6 +236,41 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str)
     return mapped(texts.join(ids, "id", "left_semi"), run, "id long, shingles binary, n long").where(F.col("n") > 0)
 
 
+def hub_links(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs (hub, member) that are links, as (a, b), by exact intersections. A hub's set is sent to each task with some of its members."""
+    counts = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_DOCS).cast("int").alias("shares")), "hubs")
+    members = pairs.join(counts, "hub").withColumn("share", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int")).join(sets.withColumnRenamed("id", "member"), "member")
+    members = members.select("hub", "share", F.lit(1).alias("kind"), "member", "shingles")
+    hubs = counts.join(sets.withColumnRenamed("id", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("hub").alias("member"), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a document of several texts has a set of each
+        now, own = None, []
+        for batch in batches:
+            out = []
+            for hub, share, kind, member, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (hub, share):
+                    now, own = (hub, share), []
+                s = np.frombuffer(shingles, np.uint64)
+                if kind == 0:
+                    own.append(s)
+                elif any(linked(s, t, per_cent) for t in own):
+                    out.append((hub, member))
+            yield _pairs_of(out)
+
+    met = hubs.unionByName(members).repartition(_parts(pairs.sparkSession), "hub", "share").sortWithinPartitions("hub", "share", "kind")
+    return mapped(met, run, "a long, b long").distinct()
+
+
+def linked(s: np.ndarray, t: np.ndarray, per_cent: int) -> bool:
+    """Whether two sorted sets are as similar as a link needs."""
+    if 100 * min(len(s), len(t)) < per_cent * max(len(s), len(t)):
+        return False
+    at = np.searchsorted(t, s)
+    same = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+    return 100 * same >= per_cent * (len(s) + len(t) - same)
+
+
 def linked_in(ids: list[int], sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among documents."""
     n = len(ids)
@@ -240,42 +308,18 @@ def linked_in(ids: list[int], sets: list[np.ndarray], per_cent: int) -> list[tup
     return out
 
 
-def verified(families: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Links (a, b) that span each family's groups, from exact intersections.
-
-    ``families`` has (node, component), ``sets`` (id, shingles, n).
-    """
-    spark = families.sparkSession
-    members = written(sets.join(families, F.col("id") == F.col("node")).select("id", "shingles", "n", F.col("component").alias("family")), "members")
-    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_DOCS)).cast("int")
-    totals = members.groupBy("family").agg(blocks.alias("blocks"))
-    dealt = members.join(totals, "family").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "shingles")
-    n = max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+def verified(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) that span the groups among members (id, part, family) of one family, from exact intersections of sets (id, shingles, n)."""
+    rows = written(members.join(sets, "id"), "members")
+    met = meetings(rows.select("id", "part", "family", "n"), ["family"], BLOCK_SHINGLES).select("family", "i", "j", "id").join(rows.select("id", "shingles"), "id")
+    met = met.select("family", "i", "j", "id", "shingles").repartition(_parts(members.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets_ = None, [], []
-        out: list[tuple[int, int]] = []
-
-        def solved() -> None:
-            if len(ids) > 1:
-                out.extend(linked_in(ids, sets_, per_cent))
-
-        for batch in batches:
-            for family, i, j, id_, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != (family, i, j):
-                    solved()
-                    now, ids, sets_ = (family, i, j), [], []
-                ids.append(id_)
-                sets_.append(np.frombuffer(shingles, np.uint64))
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-                out.clear()
-        solved()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        for rows in grouped(batches, 3):
+            if len(rows) > 1:
+                yield _pairs_of(linked_in([i for i, _ in rows], [np.frombuffer(x, np.uint64) for _, x in rows], per_cent))
 
-    return mapped(meets.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j"), run, "a long, b long")
+    return mapped(met, run, "a long, b long")
 
 
 def groups(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,15 +330,32 @@ def groups(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_i
     signatures(docs, k, id_col, text_col).write.parquet(f"{root}/signatures")
     rows = spark.read.parquet(f"{root}/signatures")
     real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).write.parquet(f"{root}/classes")
+    real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")).write.parquet(f"{root}/classes")
     classes = spark.read.parquet(f"{root}/classes")
     buckets = written(shared_buckets(classes), "buckets")
-    pairs = buckets.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("member")).distinct()
-    pairs = written(likely(pairs, classes, per_cent / 100), "pairs")
-    more = across(buckets, written(connected(pairs, "hub", "member"), "families"), classes, per_cent / 100)
-    families = written(connected(pairs.unionByName(more), "hub", "member"), "families")
-    sets = sets_of(docs, families.select(F.col("node").alias("id")), k, id_col, text_col)
-    links = verified(families, sets, per_cent)
+    near = buckets.where(F.col("id") != F.col("hub")).select("hub", F.col("id").alias("member")).distinct()
+    near = written(likely(near, classes, per_cent / 100), "pairs")
+    paired = written(near.select(F.explode(F.array("hub", "member")).alias("id")).distinct(), "paired")
+    sets = written(sets_of(docs, paired, k, id_col, text_col), "sets")
+    first = near.groupBy("member").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub"))
+    links = written(hub_links(first, sets, per_cent), "links")
+    # pairs of documents that aren't in one part yet
+    parts = written(connected(links), "parts")
+    part = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
+    rest = near.join(first, ["hub", "member"], "left_anti").join(part("hub"), "hub", "left").join(part("member"), "member", "left")
+    rest = rest.where(F.coalesce("hub_part", "hub") != F.coalesce("member_part", "member")).select("hub", "member")
+    links = links.unionByName(written(hub_links(written(rest, "rest"), sets, per_cent), "links"))
+    parts = written(connected(links), "parts")
+    # documents that may be linked to other parts, and which parts these tie together
+    ties = written(across(buckets, parts, classes, per_cent / 100), "ties")
+    named = lambda c: ties.join(parts.select(F.col("node").alias(c), "component"), c, "left").withColumn(f"{c}_part", F.coalesce("component", c)).drop("component")
+    both = named("a").join(parts.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "a_part", F.coalesce("component", "b").alias("b_part"))
+    both = written(both, "tied")
+    families = connected(both, "a_part", "b_part")
+    members = both.select(F.col("a").alias("id"), F.col("a_part").alias("part")).distinct().join(families.select(F.col("node").alias("part"), F.col("component").alias("family")), "part")
+    members = written(members, "open")
+    others = written(sets_of(docs, members.select("id").distinct().join(paired, "id", "left_anti"), k, id_col, text_col), "sets")
+    links = links.unionByName(verified(members, sets.unionByName(others), per_cent))
     # rows that repeat an id with another text tie their classes together
     found = connected(links)
     named = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("class_component"))
