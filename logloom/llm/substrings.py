@@ -1,22 +1,19 @@
-"""Substring dedup by hashing paragraphs of sentences.
+"""Substring dedup by hashing paragraphs.
 
-Texts are cut into pieces at line ends and after sentence marks; pieces of over ``LONG_PIECE`` words, which have no marks, are cut by their own words
-(after those whose checksum is a multiple of ``EVERY``), so that the same text is cut in the same places wherever it stands. From each piece on, the shortest run of pieces with ``min_words`` words is a unit; it is
-normalised (lower case, white space runs as one blank) and hashed. A passage that is repeated in the middle of other text, as long as it has
-units of its own, is found by them, wherever it begins. Passages that begin and end inside sentences may have none, so that ``repeats`` takes a
-second kind of units: of the runs of ``PASSAGE`` words from each word on, those whose hash is the least of ``PASSAGE`` successive ones (winnowing). Every run of
-2 * ``PASSAGE`` - 1 = 51 equal words, wherever it stands, holds the same one in full, and successive ones leave no word between them out. Digests are grouped over the whole corpus, the occurrence of the lowest rank
-(document id, place) stays, and the others are removed; units of a text that touch make one span, with its offsets in the original text.
+Units are of two kinds, cut by one rule each, whatever the text around them or its size. Lines of ``min_words`` words or more are units. As passages also
+stand within and across lines, so are content-defined paragraphs: of the runs of ``PASSAGE`` words from each word on, those whose hash is the least of ``PASSAGE`` successive ones (winnowing).
+Every run of 2 * ``PASSAGE`` - 1 = 51 equal words, wherever it stands, holds the same one in full, and successive ones leave no word between them out. Units
+are normalised (lower case, white space runs as one blank) and hashed. Digests are grouped over the whole corpus, the occurrence of the lowest rank
+(document id, place) stays, and the others are removed; units of a text that overlap or touch make one span, with its offsets in the original text.
 
 Edge cases: null and empty texts have no units. Rows with a null document id rank last; copies among them stay. Rows that repeat an id and text count as
-the same occurrence, so that none of them is the other's copy. Copies within a text count too. An empty table gives an empty result. Extra columns are
-ignored, and kept by ``without``, which replaces a column ``removed_spans``.
+the same occurrence, so that none of them is the other's copy. Copies within a text count too. Very long texts have more units. An empty table gives an empty result. Extra columns are
+ignored, and kept by ``without``, whatever their names, which replaces its output column.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cache, mapped, mixed, text_slices, written
+from .common import WordHashes, cache, fresh, mapped, mixed, text_slices, written
 
 MIN_WORDS = 20
-#: Ends of pieces: sentence marks, and symbols right after them, before white space; line ends.
-CUT = re.compile(r"[.!?。！？][^\w\s]*(?=\s)|\n")
-LONG_PIECE, EVERY = 40, 8
 TOKEN = re.compile(r"\S+")
-#: Words of a winnowed unit, and successive ones of which the least is taken.
+#: Words of a content-defined paragraph, and successive ones of which the least is taken.
 PASSAGE = 26
-#: Numbers of winnowed units begin here.
+#: Numbers of content-defined paragraphs begin here.
 WINNOWED = 1 << 30
 
 
@@ -48,48 +42,14 @@ def row_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("string"), F.lit("\x00"), text_col)
 
 
-def pieces(text: str | None) -> list[tuple[int, int, str, int]]:
-    """(start, end, normalised text, words) of the pieces that have words."""
-    if not text:
-        return []
+def lines_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(unit, start, end, words, digest) of the lines of ``min_words`` words or more."""
     out, at = [], 0
-    for end in [*(m.end() for m in CUT.finditer(text)), len(text)]:
-        part = text[at:end]
-        words = part.lower().split()
-        if len(words) > LONG_PIECE:
-            out += _cut_by_words(part, at)
-        elif words:
-            out.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip()), " ".join(words), len(words)))
-        at = end
-    return out
-
-
-def _cut_by_words(part: str, at: int) -> list[tuple[int, int, str, int]]:
-    out, words, start = [], [], 0
-    spans = list(TOKEN.finditer(part))
-    for k, m in enumerate(spans):
-        if not words:
-            start = m.start()
-        words.append(m[0].lower())
-        if zlib.crc32(words[-1].encode("utf-8", "surrogatepass")) % EVERY == 0 or k == len(spans) - 1:
-            out.append((at + start, at + m.end(), " ".join(words), len(words)))
-            words = []
-    return out
-
-
-def units_of(text: str | None, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
-    """(unit, start, end, words, digest) of the units of a text."""
-    found = pieces(text)
-    out, last, total = [], 0, 0
-    for k, (start, _, _, n) in enumerate(found):
-        while total < min_words and last < len(found):
-            total += found[last][3]
-            last += 1
-        if total < min_words:
-            break
-        joined = " ".join([p[2] for p in found[k:last]])
-        out.append((k, start, found[last - 1][1], total, xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))))
-        total -= n
+    for k, line in enumerate(text.split("\n") if text else ()):
+        words = line.lower().split()
+        if len(words) >= max(1, min_words):
+            out.append((k, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+        at += len(line) + 1
     return out
 
 
@@ -120,7 +80,7 @@ def winnowed(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def passages_of(text: str | None, size: int = PASSAGE) -> list[tuple[int, int, int, int, bytes]]:
-    """(unit, start, end, words, digest) of the winnowed units of a text."""
+    """(unit, start, end, words, digest) of the content-defined paragraphs of a text."""
     spans = [m.span() for m in TOKEN.finditer(text)] if text else []
     if len(spans) < size:
         return []
@@ -130,20 +90,20 @@ def passages_of(text: str | None, size: int = PASSAGE) -> list[tuple[int, int, i
         kept["hashes"] = WordHashes()
     out = []
     for k in winnowed(kept["hashes"].of(words), size).tolist():
-        joined = " ".join(["", *words[k : k + size]])  # unlike any unit of pieces, so that these are no copies of each other
+        joined = " ".join(["", *words[k : k + size]])  # unlike any line, so that these are no copies of each other
         out.append((WINNOWED + k, spans[k][0], spans[k + size - 1][1], size, xxhash.xxh3_128_digest(joined.encode("utf-8", "surrogatepass"))))
     return out
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
-    """(doc_id, row, unit, start, end, n_words, digest) of every unit, with ``passages`` of winnowed ones too; offsets in code points."""
+def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, unit, start, end, n_words, digest) of every unit; offsets in code points."""
     kind = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for texts in text_slices(batch.column(2)):
-                rows = [(*name, *u) for t in texts for name in [next(names)] for u in (units_of(t, min_words) + passages_of(t) if passages else units_of(t, min_words))]
+                rows = [(*name, *u) for t in texts for name in [next(names)] for u in lines_of(t, min_words) + passages_of(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)], schema=kind)
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -172,17 +132,18 @@ def removed(found: DataFrame) -> DataFrame:
     return spans.select("doc_id", "row", F.col("start").cast("long"), F.col("end").cast("long"), "n_units", "first_doc_id")
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of ``text_col``, each with a white-space character after it, and ``removed_spans`` (start, end in the original)."""
-    spans = gone.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
-    keep = [f.name for f in docs.schema.fields if f.name.lower() != "removed_spans"]
-    keyed = docs.select(*keep).withColumn("__key", row_key(id_col, text_col))
-    joined = keyed.join(spans, (F.col("__key") == F.col("__row")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__key", "__row", "__id")
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "removed_spans") -> DataFrame:
+    """``docs`` with the spans cut out of ``text_col``, each with a white-space character after it, and ``out_col`` (start, end in the original)."""
+    keep = [f.name for f in docs.schema.fields if f.name.lower() != out_col.lower()]
+    key, row, id_ = fresh(keep, "key"), fresh(keep, "row"), fresh(keep, "id")
+    spans = gone.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(out_col))
+    keyed = docs.select(*keep).withColumn(key, row_key(id_col, text_col))
+    joined = keyed.join(spans, (F.col(key) == F.col(row)) & keyed[id_col].cast("long").eqNullSafe(F.col(id_)), "left").select(*keep, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            spans_of = iter(batch.column(batch.schema.get_field_index("removed_spans")).to_pylist())
+            spans_of = iter(batch.column(batch.schema.get_field_index(out_col)).to_pylist())
             cut = [without_spans(text, next(spans_of)) for texts in text_slices(batch.column(at)) for text in texts]
             yield batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type))
 
@@ -201,4 +162,4 @@ def without_spans(text: str | None, spans: list[dict] | None) -> str | None:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The removed spans of all documents."""
-    return removed(written(units(docs, min_words, passages=True), "units")).drop("row")
+    return removed(written(units(docs, min_words), "units")).drop("row")
