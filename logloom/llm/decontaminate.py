@@ -14,11 +14,11 @@ most ``EDITS`` * m word edits away from it.
 Walks of long sequences drift apart with the number of edits, so items of over ``WHOLE`` words are looked for by parts of ``PART`` words at most: where a run is within the
 allowed edits of the item, one of the parts at least is within its own of a part of the run. Around each part found, the run nearest to the whole item is taken, over all starts and ends.
 
-Items come in blocks of bounded size, which are broadcast one after the other.
+Items are written in blocks of bounded size. One pass over the texts takes the blocks in turn, from the shared folder; a worker keeps the last few of them.
 
 Edge cases: null and empty texts and items have no words and no match. Items of one word match that word. Repeated items are found
-each, by their ids; repeated rows each have their hits. An empty benchmark leaves all documents without hits. Columns of the name of the output
-column are replaced, others stay.
+each, by their ids; repeated rows each have their hits, and of equal matches of an item the first counts. Very long texts are searched whole. An empty benchmark leaves all documents without
+hits, an empty table gives an empty one. Columns of the name of the output column are replaced, others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import replaced
-from .common import mapped, mixed, text_slices
+from .common import cache, mapped, mixed, shuffle_partitions, text_slices, work_dir
 
 EDITS = 0.2
 WALKS, SAMPLES, BITS = 16, 8, 4
@@ -43,6 +45,8 @@ WALKS, SAMPLES, BITS = 16, 8, 4
 WHOLE, PART = 60, 50
 #: Items of a block, and their characters together, at most.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
+#: Blocks that a worker keeps.
+BLOCKS_KEPT = 3
 #: Bytes of text that are searched at a time.
 SLICE = 8 << 20
 #: Windows that are embedded at a time.
@@ -268,35 +272,47 @@ def hits(texts: list[str | None], items: Items) -> list[list[dict]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of bounded size."""
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Folders of the items (i, t) in parts of bounded size."""
+    spark, root = benchmark.sparkSession, work_dir(benchmark.sparkSession, "items")
+    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    if not n:
+        return []
     parts = max(1, -(-2 * n // BLOCK_ITEMS), -(-2 * chars // BLOCK_CHARS)) if n > BLOCK_ITEMS or chars > BLOCK_CHARS else 1
-    for k in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k)
-        if got := [(r["i"], r["t"]) for r in part.orderBy("i").collect()]:
-            yield got
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
+    dealt.repartition(min(parts, shuffle_partitions(spark)), "block").write.partitionBy("block").parquet(root)
+    return [f"{root}/block={r['block']}" for r in dealt.select("block").distinct().orderBy("block").collect()]
+
+
+def items_at(path: str) -> Items:
+    """A block's items, in order of their ids; the last few blocks stay in the worker."""
+    held = cache(__name__)
+    if path not in held:
+        store, at = pafs.FileSystem.from_uri(path)
+        files = sorted(f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
+        rows = [(r["i"], r["t"]) for f in files for r in pq.read_table(f, filesystem=store, columns=["i", "t"], partitioning=None).to_pylist()]
+        while len(held) >= BLOCKS_KEPT:
+            del held[next(iter(held))]
+        held[path] = Items(sorted(rows))
+    return held[path]
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "leaks") -> DataFrame:
-    """Adds ``out_col``: array of (item_id, distance, n_words, start, end) of the items that each text leaks."""
-    spark = docs.sparkSession
-    out = docs.select(*(f.name for f in replaced(docs.schema, out_col, HIT).fields[:-1]), F.array().cast(HIT).alias(out_col))
-    keep = out.columns[:-1]
-    for rows in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(sent.value)
-            for batch in batches:
-                column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                found = [x for texts in text_slices(column(text_col), SLICE) for x in hits(texts, items)]
-                both = [a + b for a, b in zip(column(out_col).to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(column(c) for c in keep), pa.array(both, _HIT)], names=[*keep, out_col])
-
-        out = mapped(out, run, out.schema)
-    return out
+    """Adds ``out_col``: array of (item_id, distance, n_words, start, end) of the items that each text leaks, by item."""
+    schema = replaced(docs.schema, out_col, HIT)
+    keep = [f.name for f in schema.fields[:-1]]
+    paths = blocks(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[dict]] = []
+            for texts in text_slices(batch.column(batch.schema.get_field_index(text_col)), SLICE):
+                of = [hits(texts, items_at(path)) for path in paths]
+                found += [sorted((x for own in of for x in own[k]), key=lambda x: x["item_id"]) for k in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(found, _HIT)], names=[*keep, out_col])
+
+    return mapped(docs, run, schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
