@@ -4,7 +4,6 @@ import base64
 import hashlib
 import random
 import re
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -93,6 +92,36 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_groups(rows, 2)
 
 
+def test_large_groups_meet_once(spark):
+    """20,000 near copies and a chain of 5,000: no row is made for each pair of members, or of their blocks."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    near = [(d, " ".join([*base, f"x{d}"])) for d in range(20_000)]
+    chain, words = [], [f"c{i}" for i in range(60)]
+    for d in range(5000):
+        words[rng.randrange(60)] = f"n{d}"
+        chain.append((100_000 + d, " ".join(words)))
+    docs = spark.createDataFrame(near + chain, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(docs, 2).collect()}
+    assert {got[d] for d, _ in near} == {0}
+    sets = [shingles(t, 2) for _, t in chain]
+    edges = [(100_000 + i, 100_000 + j) for i in range(5000) for j in range(max(0, i - 25), i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert {d: got[d] for d, _ in chain} == components_of([d for d, _ in chain], edges)
+
+
+def test_meetings(spark, monkeypatch):
+    """All rows of different parts meet, and blocks of one large part don't."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 10)
+    parts = {d: 0 if d < 60 else 1 if d < 75 else d for d in range(90)}
+    rows = spark.createDataFrame([("g", p, d) for d, p in parts.items()] + [("h", 7, 1000), ("h", 8, 1001)], "g string, part bigint, id bigint")
+    met = defaultdict(list)
+    for r in neardup.meetings(rows, ["g"]).collect():
+        met[r["g"], r["i"], r["j"]].append(r["id"])
+    together = {(a, b) for ids in met.values() for a in ids for b in ids}
+    assert all((a, b) in together for a in parts for b in parts if parts[a] != parts[b]) and (1000, 1001) in together
+    assert not any(i != j and i.split(":")[0] == j.split(":")[0] != "-" for _, i, j in met)
+
+
 def test_links_besides_the_hubs(spark):
     """Documents with a long passage in common share buckets, whose hubs are mostly similar to neither of a linked pair."""
     rng = random.Random(11)
@@ -145,7 +174,7 @@ def brute_lines(rows, min_words):
     for (d, t), own in lines.items():
         for s in range(len(own)):
             n = 0
-            for e in range(s, min(len(own), s + min_words + 6)):
+            for e in range(s, len(own)):
                 n += len(WORD.findall(own[e][1]))
                 if n >= min_words:
                     runs[tuple(x for _, x in own[s : e + 1])].append(((d is None, d or 0), hashlib.md5(f"{'-' if d is None else d}\0{t or ''}".encode()).digest(), s, e, (d, t)))
@@ -176,6 +205,53 @@ def test_line_runs(spark):
     assert got[1] == (text, []) and got[2] == ("first\n\nother line of this text", [(1, 4)])
 
 
+def test_line_runs_of_any_length(spark):
+    """Runs far longer than the least, of lines of one word, with lengths between powers of two; each is reported whole, with its first copy."""
+    rng = random.Random(7)
+    line = lambda: f"w{rng.randint(0, 10**9)}"
+    first = [line() for _ in range(200)]
+    rows, want = [(1, "\n".join(first))], {}
+    for d, (at, n) in enumerate([(0, 200), (3, 100), (50, 37), (150, 50), (10, 8), (20, 7), (0, 129), (90, 64), (91, 63)], 2):
+        own = [line() for _ in range(5)]
+        rows.append((d, "\n".join([*own, *first[at : at + n], *own[:2]])))
+        want[d] = [(5, 4 + n, 1)] if n >= 8 else []
+    period = [line(), line(), line()]
+    rows.append((20, "\n".join(period * 20)))  # copies that overlap themselves: all but the first period goes
+    want[20] = [(3, 59, 20)]
+    levels = linededup.suffix_ranks(linededup.sequences(spark.createDataFrame(rows, "doc_id bigint, text string"), 8, "doc_id", "text"))
+    assert len(levels) == 8  # up to 128 lines
+    got = {r["doc_id"]: [tuple(x) for x in r["removed_runs"]] for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()}
+    assert got == {1: []} | want
+
+
+def test_longest_earlier(spark):
+    """All maximal runs that occur earlier, with their longest length, against brute force."""
+    rng = random.Random(5)
+    rows = [(d, "\n".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for d in range(12)]
+    seq = linededup.sequences(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, "doc_id", "text")
+    ids = {bytes(r["row"]): r["doc_id"] for r in seq.collect()}
+    got = defaultdict(int)
+    for r in linededup.longest_earlier(linededup.suffix_ranks(seq)).collect():
+        at = ids[bytes(r["row"])], r["start"]
+        got[at] = max(got[at], r["lines"])
+    lines = {d: t.split("\n") if t else [] for d, t in rows}
+    longest = {}
+    for d, own in lines.items():
+        for s in range(len(own)):
+            best = 0
+            for e in range(d + 1):
+                for t in range(len(lines[e]) if e < d else s):
+                    n = 0
+                    while s + n < len(own) and t + n < len(lines[e]) and own[s + n] == lines[e][t + n]:
+                        n += 1
+                    best = max(best, n)
+            longest[d, s] = best
+    for (d, s), n in longest.items():
+        assert got.get((d, s), 0) <= n
+        if n and longest.get((d, s - 1), 0) <= n:  # not held by the run that begins a line earlier
+            assert got[d, s] == n, (d, s)
+
+
 def test_short_boilerplate(spark):
     """Short lines between lines of their own go from the third copy of the corpus on; pairs stay, and so does the query's rule of 8 words."""
     import corpus_pipeline
@@ -204,31 +280,18 @@ def test_line_odd_rows(odd, none):
 
 
 def brute_units(text, min_words):
-    """(start, end, content) of the shortest runs of pieces with enough words, from each piece on; pieces are told by their last words."""
+    """(start, end, content) of the lines with enough words, and of the winnowed runs of words."""
+    at = 0
+    for line in (text or "").split("\n"):
+        spans = [(at + m.start(), at + m.end()) for m in re.finditer(r"\S+", line)]
+        if len(spans) >= min_words:
+            yield spans[0][0], spans[-1][1], " ".join(text[a:b].lower() for a, b in spans)
+        at += len(line) + 1
     spans = [m.span() for m in re.finditer(r"\S+", text or "")]
-    last = [re.search(r"[.!?。！？][^\w\s]*$", text[a:b]) is not None or "\n" in text[b : spans[k + 1][0] if k + 1 < len(spans) else b] for k, (a, b) in enumerate(spans)]
-    found, now = [], []
-    for k in range(len(spans)):
-        now.append(k)
-        if last[k] or k == len(spans) - 1:
-            if len(now) > substrings.LONG_PIECE:
-                part = []
-                for j in now:
-                    part.append(j)
-                    if zlib.crc32(text[slice(*spans[j])].lower().encode()) % substrings.EVERY == 0:
-                        found.append(part)
-                        part = []
-                found += [part] if part else []
-            else:
-                found.append(now)
-            now = []
-    for k in range(len(found)):
-        words = []
-        for piece in found[k:]:
-            words += piece
-            if len(words) >= min_words:
-                yield spans[words[0]][0], spans[words[-1]][1], " ".join(text[slice(*spans[j])].lower() for j in words)
-                break
+    for unit, a, b, n, _ in substrings.passages_of(text):
+        own = spans[unit - substrings.WINNOWED :][: substrings.PASSAGE]
+        assert n == len(own) == substrings.PASSAGE and (a, b) == (own[0][0], own[-1][1])
+        yield a, b, " " + " ".join(text[c:d].lower() for c, d in own)
 
 
 def brute_spans(rows, min_words):
@@ -315,7 +378,7 @@ def test_winnowing():
 
 def test_substring_odd_rows(odd, none):
     gone = substrings.removed(substrings.units(odd, 3))
-    assert {r["doc_id"] for r in gone.collect()} == {3, 4} or {r["doc_id"] for r in gone.collect()} == {4}
+    assert {r["doc_id"] for r in gone.collect()} == {3, 4}
     got = substrings.without(odd, gone)
     assert sorted(got.columns) == sorted([*odd.columns, "removed_spans"])
     assert {r["text"] for r in got.where("doc_id = 4").collect()} == {"same text twice\n"}
@@ -353,8 +416,23 @@ def test_look_up(spark, monkeypatch):
     keys = spark.createDataFrame([(warc.sort_key(f"https://h{k % 4}.example.net/{k // 8}", k),) for k in (3, 17, 63)] + [("absent",)], "key string")
     assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in archive.look_up(keys).collect()) == [(3, "body 3"), (17, "body 17"), (63, "body 63")]
     assert spark.read.parquet(f"{archive.root}/directory").count() >= 16
-    monkeypatch.setattr(warc, "DIRECTORY_MOST", 0)
-    assert archive.look_up(keys).count() == 3
+    monkeypatch.setattr(warc, "KEYS_MOST", 5)  # every part of the directory is searched by several tasks
+    every = [f"https://h{k % 4}.example.net/{k // 8}" for k in range(64)]
+    asked = [(warc.sort_key(u, k),) for k, u in enumerate(every)] + [(warc.sort_key(u, 1000 + k),) for k, u in enumerate(every)] + [(f"{k}",) for k in range(40)] + [(None,)]
+    got = archive.look_up(spark.createDataFrame(asked, "key string"))
+    assert sorted(r["page_id"] for r in got.collect()) == list(range(64))
+
+
+def test_hot_payload_and_odd_pages(spark):
+    """A payload that most pages share, very long payloads, repeated ids and columns with names that clash."""
+    long = "x" * 3_000_000
+    pages = [(k, f"http://h.example/{k % 3}", "shared", "a", "b") for k in range(3000)] + [(5000, "http://h.example/", long, "a", "b"), (5001, None, long, "a", "b"), (6000, "u", "twin", None, "b"), (6000, "v", "twin", "a", None), (5999, "u", "twin", "a", "b")]
+    got = defaultdict(list)
+    for r in warc.round_trip(spark.createDataFrame(pages, "page_id bigint, url string, html string, sha string, keeper string")).collect():
+        got[r["page_id"]].append((r["payload_bytes"], r["record_type"], r["refers_to"]))
+    assert len(got) == 3004 and got[2999] == [(6, "response", None)] and all(got[k] == [(6, "revisit", 2999)] for k in range(2999))
+    assert got[5000] == [(len(long), "revisit", 5001)] and got[5001] == [(len(long), "response", None)]
+    assert got[6000] == [(4, "response", None)] * 2 and got[5999] == [(4, "revisit", 6000)]
 
 
 def test_url_keys():
