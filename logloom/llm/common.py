@@ -55,16 +55,17 @@ def give_back() -> None:
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow over small batches, by workers that keep nothing of other modules' operators, nor free memory after a task."""
     small_batches(df.sparkSession)
-    owner = run.__module__
+    owner, names = run.__module__, df.columns
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache(owner)
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches)
         finally:
             give_back()
 
-    return df.mapInArrow(alone, schema)
+    # Spark takes a dot in a name for a path here
+    return (df.toDF(*(f"c{k}" for k in range(len(names)))) if any("." in n for n in names) else df).mapInArrow(alone, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly that name, which may have dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fresh(columns: list[str], base: str) -> str:
     """``base``, with underscores before it until no column has that name (in any case)."""
     taken = {c.lower() for c in columns}

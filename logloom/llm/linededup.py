@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, mapped, shuffle_partitions, text_slices, written
+from .common import WORD, fresh, mapped, named, shuffle_partitions, text_slices, written
 from .substrings import text_key
 
 MIN_WORDS = 8
@@ -206,8 +206,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     keep = [f.name for f in docs.schema.fields if f.name.lower() not in (runs_col.lower(), lines_col.lower())]
     gone_col, key, row = fresh(keep, "gone"), fresh(keep, "key"), fresh(keep, "row")
     gone = later.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("start", "lines", "copy_of")).alias(gone_col))
-    joined = docs.select(*keep).withColumn(key, F.unhex(text_key(id_col, text_col))).join(gone, F.col(key) == F.col(row), "left").drop(key, row)
-    schema = docs.select(*keep, F.lit(None).cast(RUNS).alias(runs_col), F.lit(None).cast("long").alias(lines_col)).schema
+    joined = docs.select(*map(named, keep)).withColumn(key, F.unhex(text_key(id_col, text_col))).join(gone, F.col(key) == F.col(row), "left").drop(key, row)
+    schema = docs.select(*map(named, keep), F.lit(None).cast(RUNS).alias(runs_col), F.lit(None).cast("long").alias(lines_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textstats
-from .common import fresh, mapped, text_slices, written
+from .common import fresh, mapped, named, text_slices, written
 
 #: feature: (slack below the median or None for no lower limit, slack above it).
 FEATURES = {
@@ -133,10 +133,10 @@ def judged(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     found = found.select(F.col("lang").alias(name["limits_lang"]), F.col("source").alias(name["limits_source"]), *(F.col(c).alias(name[c]) for c in limit_names()))
     if found.count() <= BROADCAST_GROUPS:
         found = F.broadcast(found)
-    out = measured.select(*keep).join(found, F.col(lang_col).eqNullSafe(F.col(name["limits_lang"])) & F.col(source_col).eqNullSafe(F.col(name["limits_source"])), "left")
+    out = measured.select(*map(named, keep)).join(found, F.col(lang_col).eqNullSafe(F.col(name["limits_lang"])) & F.col(source_col).eqNullSafe(F.col(name["limits_source"])), "left")
     inside = [feature(n) <= F.col(name[f"{n}_most"]) for n in FEATURES] + [feature(n) >= F.col(name[f"{n}_least"]) for n, (below, _) in FEATURES.items() if below is not None]
     kept = ~base_failed() & F.coalesce(reduce(Column.__and__, inside), F.lit(True))
-    return out.select(*keep, base_failed().alias("base_failed"), kept.alias("kept"))
+    return out.select(*map(named, keep), base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 def verdicts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

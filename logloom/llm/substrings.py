@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cache, fresh, mapped, mixed, text_slices, written
+from .common import WordHashes, cache, fresh, mapped, mixed, named, text_slices, written
 
 MIN_WORDS = 20
 TOKEN = re.compile(r"\S+")
@@ -106,8 +106,8 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
                 rows = [(*name, *u) for t in texts for name in [next(names)] for u in lines_of(t, min_words) + passages_of(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kind), kind, strict=True)], schema=kind)
 
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return mapped(named, run, "doc_id long, row long, unit int, start int, end int, n_words int, digest binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return mapped(rows, run, "doc_id long, row long, unit int, start int, end int, n_words int, digest binary")
 
 
 def later(found: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     keep = [f.name for f in docs.schema.fields if f.name.lower() != out_col.lower()]
     key, row, id_ = fresh(keep, "key"), fresh(keep, "row"), fresh(keep, "id")
     spans = gone.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(out_col))
-    keyed = docs.select(*keep).withColumn(key, row_key(id_col, text_col))
-    joined = keyed.join(spans, (F.col(key) == F.col(row)) & keyed[id_col].cast("long").eqNullSafe(F.col(id_)), "left").select(*keep, out_col)
+    keyed = docs.select(*map(named, keep)).withColumn(key, row_key(id_col, text_col))
+    joined = keyed.join(spans, (F.col(key) == F.col(row)) & keyed[id_col].cast("long").eqNullSafe(F.col(id_)), "left").select(*map(named, keep), out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,18 +5,18 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, decoded string, kept string, row string, leaks string, `End` string"
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, decoded string, kept string, row string, leaks string, `End` string, __gone string, __key string, __lang string, n_lines string, base_failed string, `a.b` string"
 LONG = "the and of to in " * 30_000
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in any column, empty and very long texts, repeated rows, a repeated id, and columns with names that clash."""
-    rest = ("x",) * 6
+    rest = tuple(f"v{k}" for k in range(12))
     rows = [
         (None, "no id here but a text", "en", "s", 5, *rest),
         (1, None, "en", "s", None, *rest),
-        (2, "", None, None, 0, *(None,) * 6),
+        (2, "", None, None, 0, *(None,) * 12),
         (3, LONG, "en", "s", len(LONG), *rest),
         (4, "same text twice\nsame text twice", "fr", "s", 10, *rest),
         (4, "same text twice\nsame text twice", "fr", "s", 10, *rest),
