@@ -159,8 +159,8 @@ def value_width(value) -> int:
     """Characters of the display, 33 for anything wider than can be shown."""
     if isinstance(value, str):
         return min(len(value), WIDEST + 1)
-    shown = strictjson.compact(value)
-    return len(shown) if len(shown.encode("utf-8", "surrogatepass")) <= PROBED_BYTES else WIDEST + 1
+    shown = strictjson.compact_prefix(value, PROBED_BYTES)
+    return WIDEST + 1 if shown is None else len(shown)
 
 
 def keys(line: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterator
 from typing import Any
 
 MOST_DEPTH = 127
@@ -95,6 +96,39 @@ def compact(value: Any) -> str:
     return number(value)
 
 
+def _tokens(value: Any) -> Iterator[str]:
+    if isinstance(value, dict):
+        yield "{"
+        for k, v in value.items():
+            yield json.dumps(k, ensure_ascii=False) + ":"
+            yield from _tokens(v)
+            yield ","
+        yield "}"
+    elif isinstance(value, list):
+        yield "["
+        for v in value:
+            yield from _tokens(v)
+            yield ","
+        yield "]"
+    elif isinstance(value, str) and len(value) > 1 << 10:
+        yield '"' + value  # over any bound that is asked for
+    else:
+        yield compact(value)
+
+
+def compact_prefix(value: Any, most_bytes: int) -> str | None:
+    """The compact display if it has ``most_bytes`` at most (up to 1024), else None. No more than that is made of a large value."""
+    size, parts = 0, []
+    for token in _tokens(value):
+        if parts and parts[-1] == "," and token in "]}":
+            size -= len(parts.pop())
+        parts.append(token)
+        size += len(token.encode("utf-8", "surrogatepass"))
+        if size > most_bytes + 1:  # a comma may go again
+            return None
+    return "".join(parts) if size <= most_bytes else None
+
+
 def display(value: Any) -> str:
     """Strings bare, anything else compact."""
     return value if isinstance(value, str) else compact(value)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonfields
 from ..functions.timestamps import parse_jsonl_field, probe_format
 
+#: Limits of the samples, shares, widths, and the names of time fields in their order.
 DETECT_LINES, DETECT_BYTES, DETECT_SHARE = 64, 2 << 20, 0.9
 SCHEMA_LINES, SCHEMA_BYTES, MOST_COLUMNS = 512, 4 << 20, 16
 NARROWEST, WIDEST = 4, 32
@@ -37,7 +38,8 @@ def head(lines: DataFrame, most_lines: int, most_bytes: int, by: str = "src") ->
 
 def detect_jsonl(lines: DataFrame, by: str = "src") -> DataFrame:
     """(src, is_jsonl): three lines or more that aren't empty, nine tenths of them JSON objects."""
-    sample = head(lines, DETECT_LINES, DETECT_BYTES, by).where(_size() > 0).select(by, jsonfields.is_object(F.col("value")).alias("object"))
+    sample = head(lines, #: Fixed values: limits of the samples, shares, widths, and the names of time fields in their order.
+DETECT_LINES, DETECT_BYTES, by).where(_size() > 0).select(by, jsonfields.is_object(F.col("value")).alias("object"))
     told = sample.groupBy(by).agg(F.count("*").alias("n"), F.count_if("object").alias("objects"))
     told = told.select(by, ((F.col("n") >= LEAST_SAMPLED) & (F.col("objects") >= DETECT_SHARE * F.col("n"))).alias("is_jsonl"))
     return lines.where(F.col("line") == 0).select(by).distinct().join(told, by, "left").select(by, F.coalesce("is_jsonl", F.lit(False)).alias("is_jsonl"))
@@ -61,10 +63,16 @@ def _sampled(lines: DataFrame, counts: Column, by: str) -> DataFrame:
         if short.isEmpty():
             break
         most *= 16
-    before = F.coalesce(F.sum(counts.cast("int")).over(_before(by)), F.lit(0))
-    spent = F.coalesce(F.sum(_size()).over(_before(by)), F.lit(0))
-    rows = rows.withColumn("_n", before).withColumn("_spent", spent)
-    return rows.where((F.col("_n") < ROUTE_LINES) & ((F.col("_n") < LEAST_LINES) | (F.col("_spent") < ROUTE_BYTES))).where(counts).drop("_n", "_spent")
+    # chunks that begin within the limits, from what those before them have; only these are looked at line by line
+    parts = rows.withColumn("_chunk", F.floor(F.col("line") / (8 * ROUTE_LINES))).withColumn("_counts", counts.cast("int"))
+    earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(by, "_chunk").agg(F.sum("_counts").alias("_n_own"), F.sum(_size()).alias("_size_own"))
+    totals = totals.select(by, "_chunk", F.coalesce(F.sum("_n_own").over(earlier), F.lit(0)).alias("_n_base"), F.coalesce(F.sum("_size_own").over(earlier), F.lit(0)).alias("_size_base"))
+    within = lambda n, size: (F.col(n) < ROUTE_LINES) & ((F.col(n) < LEAST_LINES) | (F.col(size) < ROUTE_BYTES))
+    inner = Window.partitionBy(by, "_chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.join(totals.where(within("_n_base", "_size_base")), [by, "_chunk"])
+    rows = rows.withColumn("_n", F.col("_n_base") + F.coalesce(F.sum("_counts").over(inner), F.lit(0))).withColumn("_spent", F.col("_size_base") + F.coalesce(F.sum(_size()).over(inner), F.lit(0)))
+    return rows.where(within("_n", "_spent")).where(counts).drop("_n", "_spent", "_n_base", "_size_base", "_counts", "_chunk")
 
 
 def detect_route(lines: DataFrame, by: str = "src") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import stored
 
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def _chunked(df: DataFrame, place: str, chunk: int) -> DataFrame:
@@ -30,18 +30,21 @@ def _carried(df: DataFrame, by: list[str], of_chunk: Column, before: Callable[[C
 
 
 def fill(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(src, line, ts) with null ts filled: by the last one before, at the start by the first one after, or 0 if there is none."""
+    """(src, line, ts) with null ts filled: by the last one before, at the start by the first one after, or 0 if there is none. ``rows`` is read twice."""
     parts = _chunked(rows.select("src", "line", "ts"), "line", chunk)
-    last = F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line")))
-    parts = _carried(parts, ["src"], last, lambda c: F.last(c, True))
-    first = rows.where(F.col("ts").isNotNull()).groupBy("src").agg(F.min_by("ts", "line").alias("_first"))
+    known = F.when(F.col("ts").isNotNull(), F.col("line"))
+    every = Window.partitionBy("src").orderBy("_chunk")
+    chunks = parts.groupBy("src", "_chunk").agg(F.max_by("ts", known).alias("_last"), F.min_by("ts", known).alias("_head"))
+    carry = F.last("_last", True).over(every.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("_head", True).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.join(chunks.select("src", "_chunk", carry.alias("_carry"), first.alias("_first")), ["src", "_chunk"])
     own = F.last("ts", True).over(Window.partitionBy("src", "_chunk").orderBy("line"))
-    return parts.join(first, "src", "left").select("src", "line", F.coalesce(own, "_carry", "_first", F.lit(0)).cast("bigint").alias("ts"))
+    return parts.select("src", "line", F.coalesce(own, "_carry", "_first", F.lit(0)).cast("bigint").alias("ts"))
 
 
 def extract_timeline(lines: DataFrame, ts: Column, chunk: int = CHUNK) -> DataFrame:
-    """The timeline of ``lines`` by any column that is the line's time or null."""
-    return fill(lines.select("src", "line", ts.alias("ts")), chunk)
+    """The timeline of ``lines`` by any column that is the line's time or null. Times are told once, and stored."""
+    return fill(stored(lines.select("src", "line", ts.alias("ts"))), chunk)
 
 
 def extract_append(old: DataFrame, lines: DataFrame, ts: Column, chunk: int = CHUNK) -> DataFrame:
@@ -53,7 +56,7 @@ def extract_append(old: DataFrame, lines: DataFrame, ts: Column, chunk: int = CH
     begins = lines.groupBy("src").agg(F.min("line").alias("_begin"))
     if not begins.join(ends, "src", "left").where(F.col("_begin") != F.coalesce("_end", F.lit(0))).isEmpty():
         raise ValueError("new lines don't follow the old ones")
-    parts = _chunked(lines.select("src", "line", ts.alias("ts")), "line", chunk)
+    parts = _chunked(stored(lines.select("src", "line", ts.alias("ts"))), "line", chunk)
     parts = _carried(parts, ["src"], F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line"))), lambda c: F.last(c, True))
     own = F.last("ts", True).over(Window.partitionBy("src", "_chunk").orderBy("line"))
     return parts.join(ends, "src", "left").select("src", "line", F.coalesce(own, "_carry", "_last", F.lit(0)).cast("bigint").alias("ts"))
@@ -98,7 +101,8 @@ def insert_rows(index: DataFrame, rows: DataFrame, chunk: int = CHUNK) -> DataFr
     old = parts.select("ts", "src", "line", F.least(own, F.coalesce("_carry", own)).alias("_key"), F.lit(0).alias("_new"), F.col("pos").alias("_pos"))
     new = rows.select(F.col("ts").cast("bigint"), F.col("src").cast(index.schema["src"].dataType), F.col("line").cast("bigint"))
     new = new.select("ts", "src", "line", key.alias("_key"), F.lit(1).alias("_new"), F.lit(0).cast("bigint").alias("_pos"))
-    return positioned(old.unionByName(new), "_key", "_new", "_pos").select("pos", "ts", "src", "line")
+    flat = old.unionByName(new).select("ts", "src", "line", F.col("_key.ts").alias("_ts"), F.col("_key.src").alias("_src"), F.col("_key.line").alias("_line"), "_new", "_pos")
+    return positioned(flat, "_ts", "_src", "_line", "_new", "_pos").select("pos", "ts", "src", "line")
 
 
 def remove_row(index: DataFrame, src: int, line: int) -> DataFrame:
@@ -109,6 +113,11 @@ def remove_row(index: DataFrame, src: int, line: int) -> DataFrame:
     return rows.select((F.col("pos") - F.when(F.col("pos") > F.col("_at"), 1).otherwise(0)).cast("bigint").alias("pos"), "ts", "src", "line")
 
 
+def holds_row(index: DataFrame, src: int, line: int) -> DataFrame:
+    """(held): whether the index has the row, and so whether ``remove_row`` removes one."""
+    return index.agg(F.coalesce(F.bool_or((F.col("src") == src) & (F.col("line") == line)), F.lit(False)).alias("held"))
+
+
 def index_size(index: DataFrame) -> DataFrame:
     """(rows, index_bytes, ts_bytes): 16 bytes a merged row and 8 a time, as a compact store has them."""
     return index.agg(F.count("*").alias("rows"), (16 * F.count("*")).alias("index_bytes"), (8 * F.count("*")).alias("ts_bytes"))

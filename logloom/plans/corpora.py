@@ -12,9 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, line, value, raw): the lines of each document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), F.posexplode(split_lines(F.col("text"))).alias("line", "raw"))
-    return docs.select("src", F.col("line").cast("bigint").alias("line"), without_cr(F.col("raw")).alias("value"), "raw")
+    """(src, line, value, raw, fed): the lines of each document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), split_lines(F.col("text")).alias("lines"), F.endswith("text", F.lit("\n")).alias("ended"))
+    docs = docs.select("src", "ended", F.size("lines").alias("n"), F.posexplode("lines").alias("line", "raw"))
+    return docs.select("src", F.col("line").cast("bigint").alias("line"), without_cr(F.col("raw")).alias("value"), "raw", (F.col("ended") | (F.col("line") < F.col("n") - 1)).alias("fed"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +58,10 @@ def timelines(spark: SparkSession, sf_dir: str, disorder: bool = False) -> DataF
     # as many rows as there are event types
     numbers = types.select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int").alias("src"))
     ts = F.col("ms") + (F.col("event_id") % 7) * 600_000 if disorder else F.col("ms")
-    lines = e.withColumn("line", (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("bigint"))
-    return lines.join(numbers, "event_type").select("src", "line", ts.cast("bigint").alias("ts"))
+    # numbers count on from those of the chunks of ids before, so that no task has all events of a type
+    parts = e.withColumn("chunk", F.floor(F.col("event_id") / 65_536))
+    before = Window.partitionBy("event_type").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("event_type", "chunk").agg(F.count("*").alias("n")).select("event_type", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("event_type", "chunk").orderBy("event_id")) - 1
+    lines = parts.join(base, ["event_type", "chunk"]).withColumn("line", (F.col("base") + inner).cast("bigint"))
+    return lines.join(F.broadcast(numbers), "event_type").select("src", "line", ts.cast("bigint").alias("ts"))

@@ -14,7 +14,8 @@ from .functions import jsonfields, timestamps, tokens
 from .operators import access, filters, sampling, search, timeline
 from .plans import corpora, storage
 from .plans.query import Op
-from .sources.lines import heads, open_lines, stats
+from .sources.lines import export_bytes, heads, open_lines, stats
+from .streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,6 +139,122 @@ def search_whole(spark, sf_dir):
     return search.search_total(corpora.document_lines(spark, sf_dir), r"[.]\s+[A-Z]")
 
 
+@query("SELECT doc_id AS src, CAST(len(regexp_extract_all(text, '[a-z]{3}[.]\\n')) AS BIGINT) AS total FROM documents WHERE total > 0")
+def search_feeds(spark, sf_dir):
+    """A pattern of bounded length with a line feed at its end, which a text's last line may have too."""
+    return search.search_total(corpora.document_lines(spark, sf_dir), r"[a-z]{3}[.]\n")
+
+
+@query("SELECT doc_id AS src, CAST(len(regexp_extract_all(text, '\\p{Lu}\\p{Ll}{2,9}[.]?\\n\\p{Lu}')) AS BIGINT) AS total FROM documents WHERE total > 0")
+def search_unicode_feeds(spark, sf_dir):
+    """Unicode classes on both sides of a line feed."""
+    return search.search_total(corpora.document_lines(spark, sf_dir), r"\p{Lu}\p{Ll}{2,9}[.]?\n\p{Lu}")
+
+
+@query(with_parts(DOC_LINES, "SELECT src, CAST(sum(len(regexp_extract_all(raw, '\\p{L}+ [Tt]he '))) AS BIGINT) AS total FROM lines GROUP BY src HAVING total > 0"))
+def search_unicode(spark, sf_dir):
+    """A Unicode class within lines."""
+    return search.search_total(corpora.document_lines(spark, sf_dir), r"\p{L}+ [Tt]he ")
+
+
+# --- encodings, files that grow ---
+
+
+def _written_files(lines: DataFrame, root: str, codecs: list[str], append: bool = False) -> None:
+    """A file ``root/src`` for each source, in the encoding at its number."""
+    folder = root.removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+
+        os.makedirs(folder, exist_ok=True)
+        now, out = None, None
+        for batch in batches:
+            for src, value in zip(batch["src"], batch["value"], strict=True):
+                if src != now:
+                    now, out = src, open(f"{folder}/{src}", "ab" if append else "wb")
+                out.write((value + "\n").encode(codecs[src]))
+            out.flush()
+        yield pd.DataFrame({"done": [now is not None]})
+
+    lines.select("src", "line", "value").repartition("src").sortWithinPartitions("src", "line").mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()
+
+
+ENCODED = ["utf-16le", "utf-16be", "gbk", "latin-1"]
+_ENCODED_TEXT = "CASE k.src WHEN 2 THEN '错误 ' WHEN 3 THEN 'é ' ELSE '' END || event_type || ' ' || k.line"
+
+
+def _encoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = corpora.event_log(spark, sf_dir).join(corpora.events(spark, sf_dir).select("event_id", "event_type"), (F.col("line") * 4 + F.col("src")) == F.col("event_id"))
+    mark = F.when(F.col("src") == 2, "错误 ").when(F.col("src") == 3, "é ").otherwise("")
+    return e.select("src", "line", F.concat(mark, "event_type", F.lit(" "), F.col("line").cast("string")).alias("value"))
+
+
+@query(with_parts(EVENT_LOG, f", texts AS (SELECT k.src, k.line, {_ENCODED_TEXT} AS value FROM kinds k) SELECT src, CASE src WHEN 0 THEN 'utf-16le' WHEN 1 THEN 'utf-16be' WHEN 2 THEN 'gbk' ELSE 'latin-1' END AS encoding, count(*) AS lines, max(line) AS last, CAST(sum((line + 1) * length(value)) AS BIGINT) AS weight, sum(CASE WHEN contains(value, '错误') OR contains(value, 'é') THEN 1 ELSE 0 END)::BIGINT AS marked FROM texts GROUP BY src"))
+def open_encoded(spark, sf_dir):
+    """Files in UTF-16 of both orders, GBK and Latin-1, told and read back."""
+    root = storage.new_folder(spark, "encoded")
+    _written_files(_encoded_lines(spark, sf_dir), root, ENCODED)
+    src = F.regexp_extract("path", "([0-9]+)$", 1).cast("int").alias("src")
+    lines = open_lines(spark, f"{root}/*").withColumn("src", src)
+    told = heads(spark, f"{root}/*").select(src, "encoding")
+    marked = F.contains("value", F.lit("错误")) | F.contains("value", F.lit("é"))
+    found = lines.groupBy("src").agg(F.count("*").alias("lines"), F.max("line").alias("last"), F.sum((F.col("line") + 1) * F.char_length("value")).cast("bigint").alias("weight"), F.sum(marked.cast("bigint")).alias("marked"))
+    return told.join(found, "src").select("src", "encoding", "lines", "last", "weight", "marked")
+
+
+@query(with_parts(EVENT_LOG, f", texts AS (SELECT k.src, {_ENCODED_TEXT} AS value FROM kinds k WHERE src < 2) SELECT src, CAST(2 * sum(length(value) + 1) AS BIGINT) AS bytes FROM texts GROUP BY src"))
+def export_files(spark, sf_dir):
+    """The bytes of files as they are, in stretches."""
+    root = storage.new_folder(spark, "export")
+    _written_files(_encoded_lines(spark, sf_dir).where("src < 2"), root, ENCODED)
+    found = export_bytes(spark, f"{root}/*", 10_000)
+    return found.groupBy(F.regexp_extract("path", "([0-9]+)$", 1).cast("int").alias("src")).agg(F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+
+
+def _followed(spark: SparkSession, sf_dir: str, codecs: list[str]) -> DataFrame:
+    """A stream over files of all lines before each source's 1000th but one, which then get the others, after a restart of the stream."""
+    lines = _encoded_lines(spark, sf_dir)
+    root = storage.new_folder(spark, "grown")
+    _written_files(lines.where("line < 1000"), f"{root}/in", codecs)
+    paths = [f"{root}/in/{k}" for k in range(4)]
+
+    def follow() -> None:
+        q = tail.tail(spark, paths).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    follow()
+    _written_files(lines.where("line >= 1000"), f"{root}/in", codecs, append=True)
+    follow()
+    follow()
+    rows = spark.read.schema(tail.SCHEMA).parquet(f"{root}/out")
+    return rows.withColumn("src", F.regexp_extract("path", "([0-9]+)$", 1).cast("int"))
+
+
+@query(with_parts(EVENT_LOG, f", texts AS (SELECT k.src, k.line, {_ENCODED_TEXT} AS value FROM kinds k) SELECT src, line, value FROM texts"))
+def tail_latest(spark, sf_dir):
+    """Lines of files that grow while a stream reads them, in four encodings, with a restart between."""
+    changes = _followed(spark, sf_dir, ENCODED)
+    return tail.latest(changes).select(F.regexp_extract("path", "([0-9]+)$", 1).cast("int").alias("src"), "line", "value")
+
+
+@query(with_parts(EVENT_LOG, "SELECT src, count(*) AS given, count(*) AS lines FROM kinds GROUP BY src"))
+def tail_given_once(spark, sf_dir):
+    """Of files in one-byte line feeds, every line is given once, whatever restarts there are."""
+    return _followed(spark, sf_dir, ["utf-8", "utf-8", "gbk", "latin-1"]).groupBy("src").agg(F.count("*").alias("given"), F.countDistinct("line").alias("lines"))
+
+
+@query(with_parts(EVENT_LOG, f", texts AS (SELECT k.src, k.line, {_ENCODED_TEXT} AS value FROM kinds k) SELECT src, line FROM texts WHERE contains(lower(value), 'click') AND contains(value, '12')"))
+def tail_filter(spark, sf_dir):
+    """The filter language on what a stream gave."""
+    return filters.run_filter(_followed(spark, sf_dir, ["utf-8", "utf-8", "gbk", "latin-1"]), "CLICK 12").select("src", "line")
+
+
 # --- filters ---
 
 FOLD = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -275,6 +392,22 @@ def ts_epoch_millis(spark, sf_dir):
     return corpora.event_log(spark, sf_dir).where("src = 3").select("line", timestamps.parse_epoch(F.col("value"), 1).ms.alias("ms"))
 
 
+@query(with_parts(EVENT_LOG, "SELECT src, line, CASE WHEN src < 2 AND line % 10 < 5 THEN ms END AS ms, CASE WHEN src = 0 AND line % 10 < 5 THEN ms END AS strict FROM lines WHERE src < 2"))
+def ts_text(spark, sf_dir):
+    """Whole texts that are times; those with more after it aren't, nor log4j times unless these are asked for."""
+    log = corpora.event_log(spark, sf_dir).where("src < 2")
+    stamp = F.when(F.col("line") % 10 < 5, F.regexp_extract("value", "^([0-9T:., Z-]+) [A-Z]", 1)).otherwise(F.col("value"))
+    return log.select("src", "line", timestamps.parse_time_text(stamp, fix_log4j=True).alias("ms"), timestamps.parse_time_text(stamp).alias("strict"))
+
+
+@query(with_parts(EVENT_LOG, "SELECT src, line, CASE WHEN follows THEN NULL WHEN src = 2 THEN CAST(ms // 1000 * 1000 AS BIGINT) ELSE ms END AS ms FROM lines"))
+def ts_prefix(spark, sf_dir):
+    """Each source's lines by its own format."""
+    line, src = F.col("value"), F.col("src")
+    kinds = [timestamps.ISO, timestamps.LOG4J, timestamps.EPOCH_SECONDS, timestamps.EPOCH_MILLIS]
+    return corpora.event_log(spark, sf_dir).select("src", "line", F.coalesce(*(F.when(src == k, timestamps.parse_prefix(line, kind).ms) for k, kind in enumerate(kinds))).alias("ms"))
+
+
 @query(with_parts(EVENT_JSON, "SELECT line, ms FROM lines"))
 def ts_jsonl(spark, sf_dir):
     return corpora.event_json(spark, sf_dir).select("line", timestamps.parse_jsonl_field(F.col("value"), "ts").alias("ms"))
@@ -305,6 +438,15 @@ def timeline_fill(spark, sf_dir):
     return timeline.extract_timeline(corpora.event_log(spark, sf_dir), ts)
 
 
+@query(with_parts(EVENT_LOG, ", known AS (SELECT src, line, CASE WHEN NOT follows THEN ms END AS ts FROM lines WHERE src IN (0, 3)) SELECT src, line, ts FROM (SELECT src, line, CAST(last_value(ts IGNORE NULLS) OVER (PARTITION BY src ORDER BY line) AS BIGINT) AS ts FROM known) WHERE line >= 105"))
+def timeline_append(spark, sf_dir):
+    """Times of new lines after those of a timeline's end."""
+    log = corpora.event_log(spark, sf_dir).where("src IN (0, 3)")
+    ts = F.when(F.col("src") == 0, timestamps.parse_iso(F.col("value")).ms).otherwise(timestamps.parse_epoch(F.col("value"), 1).ms)
+    old = timeline.extract_timeline(log.where("line < 105"), ts)
+    return timeline.extract_append(old, log.where("line >= 105"), ts)
+
+
 @query(with_parts(timelines_sql(False) + "," + MERGED.format(t="tl"), "SELECT pos, ts, src, line FROM merged"))
 def merge_sorted(spark, sf_dir):
     return timeline.build_index(corpora.timelines(spark, sf_dir))
@@ -334,6 +476,19 @@ def merge_remove(spark, sf_dir):
     return timeline.remove_row(timeline.build_index(corpora.timelines(spark, sf_dir, True)), 1, 5)
 
 
+@query(with_parts(timelines_sql(True) + "," + MERGED.format(t="tl"), "SELECT pos, ts, src, line FROM merged WHERE pos >= 100 AND pos < 400"))
+def merge_rows(spark, sf_dir):
+    return timeline.rows_between(timeline.build_index(corpora.timelines(spark, sf_dir, True)), 100, 400)
+
+
+@query("SELECT 'there' AS asked, true AS held UNION ALL SELECT 'not there', false")
+def merge_holds(spark, sf_dir):
+    """Whether removing a row would remove one."""
+    index = storage.stored(timeline.build_index(corpora.timelines(spark, sf_dir, True)))
+    told = [timeline.holds_row(index, src, line).select(F.lit(asked).alias("asked"), "held") for asked, src, line in (("there", 1, 5), ("not there", 1, -5))]
+    return told[0].unionByName(told[1])
+
+
 @query("SELECT count(*) AS rows, 16 * count(*) AS index_bytes, 8 * count(*) AS ts_bytes FROM events")
 def merge_size(spark, sf_dir):
     return timeline.index_size(timeline.build_index(corpora.timelines(spark, sf_dir)))

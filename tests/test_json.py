@@ -17,30 +17,30 @@ def one(spark, line, column):
 
 
 def test_extract(spark):
-    line = '{"level":"ERROR","duration_ms":123,"ok":true,"ref":null}'
+    line = '{"kind":"Return","qty":75,"paid":false,"note":null}'
     v = F.col("value")
-    assert [one(spark, line, J.extract_field(v, k)) for k in ("level", "duration_ms", "ok", "ref", "none")] == ["ERROR", "123", "true", "null", None]
-    assert one(spark, 'log prefix "level":"ERROR" tail', J.extract_field(v, "level")) is None
-    assert one(spark, '{"a.b":"x"}', J.extract_field(v, "a.b")) == "x"
-    assert one(spark, '{"a":"open', J.extract_field(v, "a")) is None
-    assert one(spark, '{"a":,"b":1}', J.extract_field(v, "a")) == ""
+    assert [one(spark, line, J.extract_field(v, k)) for k in ("kind", "qty", "paid", "note", "absent")] == ["Return", "75", "false", "null", None]
+    assert one(spark, 'before "kind":"sale" after', J.extract_field(v, "kind")) is None
+    assert one(spark, '{"p.q":"r"}', J.extract_field(v, "p.q")) == "r"
+    assert one(spark, '{"p":"no end', J.extract_field(v, "p")) is None
+    assert one(spark, '{"p":,"q":1}', J.extract_field(v, "p")) == ""
 
 
 def test_scan():
-    assert J.scan('{"user":{"status":200},"ok":true}', "status") is None
-    assert J.scan('{ "level" : "DEBUG" }', "level") == ("Str", "DEBUG", False)
-    assert [J.scan(x, "level") for x in ('{"level":"ERR', '{"level":', "", None, '["level",1]')] == [None] * 5
-    assert J.scan('x {"a":"q\\"","level":-1.5e3}', "level") == ("Num", "-1.5e3", False)
-    assert J.scan('{"a":"q\\n"}', "a") == ("Str", "q\\n", True)
-    assert J.scan('["level":1]', "level") == ("Num", "1", False)
+    assert J.scan('{"shop":{"no":9},"paid":true}', "no") is None
+    assert J.scan('{ "kind" : "sale" }', "kind") == ("Str", "sale", False)
+    assert [J.scan(x, "kind") for x in ('{"kind":"sa', '{"kind":', "", None, '["kind",1]')] == [None] * 5
+    assert J.scan('- {"p":"\\"q","kind":-2.75e1}', "kind") == ("Num", "-2.75e1", False)
+    assert J.scan('{"p":"\\tq"}', "p") == ("Str", "\\tq", True)
+    assert J.scan('["kind":3]', "kind") == ("Num", "3", False)
 
 
 def test_scan_agrees_with_parsing():
     rng = random.Random(7)
-    make = [lambda: None, lambda: rng.random() < 0.5, lambda: rng.randint(-9, 999), lambda: 1.25, lambda: "x", lambda: 'a"b\\', lambda: {"level": 1}, lambda: [1, "level"]]
+    make = [lambda: None, lambda: rng.random() < 0.5, lambda: rng.randint(-9, 999), lambda: 1.25, lambda: "x", lambda: 'a"b\\', lambda: {"kind": 1}, lambda: [1, "kind"]]
     kinds = {type(None): "Null", bool: "Bool", int: "Num", float: "Num", str: "Str", dict: "Nested", list: "Nested"}
-    keys = ["level", "status", "duration_ms", "msg", "user"]
-    for _ in range(3000):
+    keys = ["kind", "qty", "shop", "note", "paid"]
+    for _ in range(2000):
         value = {k: rng.choice(make)() for k in rng.sample(keys, rng.randint(1, 5))}
         line = json.dumps(value, separators=rng.choice([(",", ":"), (", ", ": ")]))
         for k in keys:
@@ -61,26 +61,57 @@ def test_strict():
 
 
 def test_flatten(spark):
-    line = '{"level":"INFO","user":{"id":42,"name":"bob"},"tags":[7,8]}'
-    want = [(1, "user", '{"id":42,"name":"bob"}'), (2, "id", "42"), (2, "name", "bob"), (1, "tags", "[7,8]"), (2, "[0]", "7"), (2, "[1]", "8")]
+    line = '{"kind":"sale","shop":{"no":318,"at":{"city":"oslo"}},"sizes":[3,"m"]}'
+    want = [(1, "shop", '{"no":318,"at":{"city":"oslo"}}'), (2, "no", "318"), (2, "at", '{"city":"oslo"}'), (3, "city", "oslo"), (1, "sizes", '[3,"m"]'), (2, "[0]", "3"), (2, "[1]", "m")]
     assert [tuple(r) for r in one(spark, line, J.flatten(F.col("value")))] == want
-    assert one(spark, '{"a":1}', J.flatten(F.col("value"))) == []
-    assert one(spark, line, J.is_expandable(F.col("value"))) and not one(spark, "[1]", J.is_expandable(F.col("value")))
-    assert one(spark, line, J.cell(F.col("value"), "tags", "1")) == "8"
-    assert one(spark, line, J.cell(F.col("value"), "tags", "2")) is None
+    assert one(spark, '{"kind":1}', J.flatten(F.col("value"))) == []
+    assert one(spark, line, J.is_expandable(F.col("value"))) and not one(spark, "[[]]", J.is_expandable(F.col("value")))
+    assert one(spark, line, J.cell(F.col("value"), "sizes", "1")) == "m"
+    assert one(spark, line, J.cell(F.col("value"), "sizes", "7")) is None
+
+
+def test_compact_prefix():
+    """As much of the display as the bound has, or nothing; a large value isn't made whole."""
+    rng = random.Random(1)
+
+    def made(depth=0):
+        return rng.choice([lambda: None, lambda: True, lambda: rng.randint(-9, 99999), lambda: 'é"x' * rng.randint(0, 30), lambda: 1.5, lambda: [made(depth + 1) for _ in range(rng.randint(0, 3 - depth))] if depth < 3 else 1, lambda: {f"k{i}": made(depth + 1) for i in range(rng.randint(0, 3))} if depth < 3 else 2])()
+
+    for _ in range(2000):
+        value = made()
+        whole = S.compact(value)
+        n = len(whole.encode())
+        for most in (n - 1, n, n + 1, 256):
+            assert most < 0 or S.compact_prefix(value, most) == (whole if n <= most else None)
+
+    class Endless(list):
+        def __iter__(self):
+            while True:
+                yield 1
+
+    assert S.compact_prefix(Endless(), 256) is None and J.value_width(Endless()) == J.WIDEST + 1
 
 
 def test_detect_and_schema(spark):
-    logs = ['{"level":"ERROR","msg":"a message of twenty-six c.","duration_ms":1}', '{"status":200,"level":"x"}']
-    got = [(r["name"], r["width"]) for r in sampling.discover_schema(lines_of(spark, logs)).orderBy("ord").collect()]
-    assert got == [("level", 5), ("msg", 26), ("duration_ms", 11), ("status", 6)]
-    many = lines_of(spark, ["{" + ",".join(f'"k{i}":{i}' for i in range(20)) + "}"])
+    rows = ['{"kind":"Return","remark":"thirty-one characters of remark","discount_of":1}', '{"number":200,"kind":"s"}']
+    got = [(r["name"], r["width"]) for r in sampling.discover_schema(lines_of(spark, rows)).orderBy("ord").collect()]
+    assert got == [("kind", 6), ("remark", 31), ("discount_of", 11), ("number", 6)]
+    many = lines_of(spark, ["{" + ",".join(f'"c{i}":{i}' for i in range(21)) + "}"])
     assert sampling.discover_schema(many).count() == 16
     detect = lambda rows: sampling.detect_jsonl(lines_of(spark, rows)).first()["is_jsonl"]
-    assert detect(['{"a":1}'] * 9 + ["not json"])
-    assert not detect(['{"a":1}'] * 2)
+    assert detect(['{"p":1}'] * 18 + ["plain", "text"]) and not detect(['{"p":1}'] * 17 + ["plain", "text"])
+    assert not detect(['{"p":1}'] * 2)
     assert not detect(["[1]"] * 5)
-    assert detect(['{"a":1}', "", '{"a":1}', '{"a":1}'])
+    assert detect(['{"p":1}', "", '{"p":1}', '{"p":1}'])
+
+
+def test_route_of_mostly_indented_lines(spark):
+    """A source whose lines with times are rare: chunk by chunk, up to the first 512 of them."""
+    n = 30_000
+    lines = spark.range(n).select(F.lit(0).alias("src"), F.col("id").alias("line"), F.when(F.col("id") % 40 == 0, F.concat(F.lit("2024-03-05T06:07:08Z "), F.col("id").cast("string"))).otherwise(F.lit("  indented")).alias("value"))
+    sampled = sampling._sampled(lines, ~F.substring("value", 1, 1).isin(" ", "\t"), "src")
+    assert sorted(r["line"] for r in sampled.collect()) == [40 * k for k in range(512)]
+    assert sampling.detect_route(lines).first()["arg"] == "iso8601"
 
 
 def test_schema_byte_budget(spark):
