@@ -88,4 +88,27 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, s.b FROM
 found AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN found USING (doc_id)"""
 
-ORACLES = {"op2_line_dedup": OP2, "op7_quality_rules": OP7, "op8_near_duplicates": OP8}
+#: SHA-1 in base 32: each five hexadecimal digits are four letters.
+OP4 = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+hashed AS (SELECT *, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS keeper FROM bodies),
+lettered AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || h[5 * i + 1 : 5 * i + 5] AS BIGINT)) AS parts FROM hashed)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM lettered"""
+
+_CASED = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""({_CASED})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_BASE = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
+#: The fixed patterns of the secret scan. Places follow from the lengths of the matches and of what is between them.
+SECRET_BASE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM t" for k, (kind, p) in enumerate(_BASE.items()))}),
+e AS (SELECT doc_id, k, kind, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT doc_id, k, kind, ms[i] AS hit, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+f AS (SELECT doc_id, k, kind, a, a + length(hit) AS b FROM s WHERE k > 0 OR length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 6),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS told FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(told, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)"""
+
+ORACLES = {"op2_line_dedup": OP2, "op4_warc_index": OP4, "op7_quality_rules": OP7, "op8_near_duplicates": OP8, "secret_base_spans": SECRET_BASE}

@@ -48,6 +48,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, BYTE_RANKS, public_tokenizers.PATTERN).select("doc_id", "secret_spans"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan finds by its fixed patterns, which SQL can tell too."""
+    return op6_secret_scan(spark, sf_dir).drop("spans")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
     judged = quality.judged(written(docs, "measured"))
@@ -72,5 +77,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules, op8_near_duplicates, op9_substring_dedup, op10_decontaminate, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_language_id, op4_warc_index, op5_bpe_round_trip, op6_secret_scan, op7_quality_rules, op8_near_duplicates, op9_substring_dedup, op10_decontaminate, pipeline, secret_base_spans)}
 ORACLES = oracles.ORACLES

@@ -2,9 +2,10 @@
 
 Random strings cost many tokens: where ordinary words take four or more characters per token of a
 tiktoken vocabulary, keys and passwords take about two. A candidate is a maximal run of 16 characters or more of the base-64
-and URL alphabets that mixes at least two kinds of characters; it is reported as ``token`` if its characters per
+and URL alphabets that mixes at least two kinds of characters, or has a word of that length; it is reported as ``token`` if its characters per
 token are at most ``RATIO``, unless it is a known digest (hexadecimal, in the length of a common digest), a UUID, or an
-identifier (words joined by separators, numbers, paths). Spans of the fixed base patterns are always reported.
+identifier (words joined by separators, numbers, paths). An identifier's words are told from random letters of one case by their own ratio, which must be over
+``WORD_RATIO``. Spans of the fixed base patterns are always reported.
 
 Edge cases: null and empty texts have no spans; rows are independent, so ties and repeated rows repeat;
 an empty table gives an empty table; extra columns pass through, those named as an output column are replaced.
@@ -35,11 +36,12 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "token")
 
 #: Parameters of the method.
-LEAST, RATIO = 16, 2.2
+LEAST, RATIO, WORD_RATIO = 16, 2.2, 1.78
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"(?:[0-9]+|[A-Za-z]?[a-z]+|[A-Z]+)(?:[/_=+-]+(?:[0-9]+|[A-Za-z]?[a-z]+|[A-Z]+))*[/_=+-]*")
+LONG_WORD = re.compile(r"[A-Za-z]{16,}")
 _RUN_BYTES = np.zeros(256, bool)
 _RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
@@ -94,8 +96,10 @@ def has_long_run(texts: list[str]) -> np.ndarray:
 
 def looks_random(run: str, encode) -> bool:
     """Whether the run isn't a digest, UUID or identifier, and takes many tokens for its length."""
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return False
+    if IDENTIFIER.fullmatch(run):
+        return any(len(w) <= WORD_RATIO * len(encode(w)) for w in LONG_WORD.findall(run))
     kinds = any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run)
     return kinds >= 2 and len(run) <= RATIO * len(encode(run))
 

@@ -36,6 +36,8 @@ from .common import cache, mapped, shuffle_partitions, text_slices, work_dir
 CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[ \t\n\r.,]|\Z)|[.,]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
 #: Chunks that a worker remembers, and their characters at most.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 40
+#: Letters that chunks of their own consist of, and words that go to the library as one text.
+LETTERS, TOGETHER = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"), 500
 SECTION_IDS = idcodec.BLOCK * idcodec.LANES
 END_ID = 1
 
@@ -65,14 +67,16 @@ class ChunkTokenizer:
         """Ids of chunks. Plain words go to the library as one text, and are told apart by the tokens that end a word."""
         words, others = [], []
         for c in chunks:
-            (words if c.isascii() and c.isalpha() else others).append(c)
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("the vocabulary doesn't mark the ends of words")
-        data = (2 * ends).tolist()
-        flat = ids.tobytes()
-        yield from zip(words, map(flat.__getitem__, map(slice, [0, *data[:-1]], data)), strict=True)
+            (words if LETTERS.fullmatch(c) else others).append(c)
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            data = (2 * ends).tolist()
+            flat = ids.tobytes()
+            yield from zip(part, map(flat.__getitem__, map(slice, [0, *data[:-1]], data)), strict=True)
         for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             yield c, np.array(e.ids, np.uint16).tobytes()
 
