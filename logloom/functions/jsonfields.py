@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..plans.query import Op
 from . import strictjson
-from .tokens import matches, matches_value
+from .tokens import matches, matches_value, once
 
 
 def quoted(key: str) -> str:
@@ -19,11 +19,13 @@ def quoted(key: str) -> str:
     return re.sub(r"([^A-Za-z0-9_\u0080-\U0010ffff])", r"\\\1", key)
 
 
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[^,} \t"][^,} \t]*+|(?=[,}])'
+
+
 def field_pattern(key: str) -> str:
     """``"key":`` after ``{`` or ``,``, at any depth; group 1 is the value's token, with quotes. The value is looked ahead at, so that keys
     within it are found as well."""
-    string, plain = r'"(?:[^"\\]++|\\.)*+"', r'[^,} \t"][^,} \t]*+'
-    return rf'(?s)[{{,][ \t]*"{quoted(key)}":(?=[ \t]*({string}|{plain}|(?=[,}}])))'
+    return rf'(?s)[{{,][ \t]*"{quoted(key)}":(?=[ \t]*({_TOKEN}))'
 
 
 def unquoted(token: Column) -> Column:
@@ -37,7 +39,9 @@ def field_tokens(line: Column, key: str) -> Column:
 
 def extract_field(line: Column, key: str) -> Column:
     """The first token of the key, without quotes, escapes left in; null if there is none."""
-    return unquoted(F.get(field_tokens(line, key), F.lit(0)))
+    # group 1 has the colon too, and so isn't empty where there is a token
+    found = F.regexp_extract(line, rf'(?s)[{{,][ \t]*"{quoted(key)}"(:[ \t]*(?:{_TOKEN}))', 1)
+    return once(found, lambda x: F.when(x != "", once(F.regexp_replace(x, "^:[ \t]*", ""), unquoted)))
 
 
 def any_field_matches(line: Column, key: str, op: Op, target: str) -> Column:

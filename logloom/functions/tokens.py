@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ _NUMBER = re.compile(NUMBER.replace("$", r"\Z"), re.I | re.A)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` has it. Filters would make it anew each time."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def folded(c: Column) -> Column:
     """A to Z in lower case; lower() would change other letters too."""
     return F.translate(c, _UPPER, _LOWER)
@@ -49,7 +55,7 @@ def matches(token: Column, op: Op, target: str) -> Column:
         return F.coalesce(folded(token) == fold(target), F.lit(False))
     if op is Op.PREFIX:
         return F.coalesce(F.startswith(folded(token), F.lit(fold(target))), F.lit(False))
-    return compared(number(token), op, target)
+    return once(token, lambda t: once(number(t), lambda n: compared(n, op, target)))
 
 
 def matches_value(value, op: Op, target: str) -> bool:

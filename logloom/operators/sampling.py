@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonfields
-from ..functions.timestamps import parse_jsonl_field, probe_format
+from ..functions.timestamps import field_time, probe_format
+from ..functions.tokens import once
+from ..plans.storage import stored
 
 #: Limits of the samples, shares, widths, and the names of time fields in their order.
 DETECT_LINES, DETECT_BYTES, DETECT_SHARE = 64, 2 << 20, 0.9
@@ -18,6 +20,8 @@ SCHEMA_LINES, SCHEMA_BYTES, MOST_COLUMNS = 512, 4 << 20, 16
 NARROWEST, WIDEST = 4, 32
 ROUTE_LINES, ROUTE_BYTES, ROUTE_SHARE = 512, 4 << 20, 0.5
 LEAST_LINES, LEAST_SAMPLED = 6, 3
+#: Lines of each source that a route is looked for in at first.
+FIRST_LINES = 8 * ROUTE_LINES
 TIME_FIELDS = ("ts", "timestamp", "time", "@timestamp")
 
 
@@ -54,17 +58,17 @@ def discover_schema(lines: DataFrame, by: str = "src") -> DataFrame:
     return ranked.select(by, F.col("ord").cast("int").alias("ord"), "name", F.least(F.greatest("width", F.lit(NARROWEST)), F.lit(WIDEST)).cast("int").alias("width"))
 
 
-def _sampled(lines: DataFrame, counts: Column, by: str) -> DataFrame:
-    """Lines up to ROUTE_LINES that count. Where a source's first lines don't have as many, more are read, sixteen times as many each time."""
-    most = 8 * ROUTE_LINES
+def _sampled(lines: DataFrame, counts: Column, by: str, first: DataFrame | None = None) -> DataFrame:
+    """Lines up to ROUTE_LINES that count. Where a source's first lines (``first`` has them) don't have as many, more are read, sixteen times as many each time."""
+    most = FIRST_LINES
     while True:
-        rows = lines.where(F.col("line") < most)
+        rows = lines.where(F.col("line") < most) if first is None or most > FIRST_LINES else first
         short = rows.groupBy(by).agg(F.count_if(counts).alias("n"), F.max("line").alias("last")).where((F.col("n") < ROUTE_LINES) & (F.col("last") == most - 1))
         if short.isEmpty():
             break
         most *= 16
     # chunks that begin within the limits, from what those before them have; only these are looked at line by line
-    parts = rows.withColumn("_chunk", F.floor(F.col("line") / (8 * ROUTE_LINES))).withColumn("_counts", counts.cast("int"))
+    parts = rows.withColumn("_chunk", F.floor(F.col("line") / FIRST_LINES)).withColumn("_counts", counts.cast("int"))
     earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.groupBy(by, "_chunk").agg(F.sum("_counts").alias("_n_own"), F.sum(_size()).alias("_size_own"))
     totals = totals.select(by, "_chunk", F.coalesce(F.sum("_n_own").over(earlier), F.lit(0)).alias("_n_base"), F.coalesce(F.sum("_size_own").over(earlier), F.lit(0)).alias("_size_base"))
@@ -78,20 +82,23 @@ def _sampled(lines: DataFrame, counts: Column, by: str) -> DataFrame:
 def detect_route(lines: DataFrame, by: str = "src") -> DataFrame:
     """(src, ok, kind, arg, failure) of each source: ``jsonl_field`` with the field's name, ``log_prefix`` with the format, or why not:
     ``no_time_field``, ``no_timestamp``, ``inconsistent``."""
-    kinds = detect_jsonl(lines, by)
-    told = lines.join(kinds, by)
+    # all sources' first lines are read once
+    first = stored(lines.where(F.col("line") < FIRST_LINES))
+    kinds = stored(detect_jsonl(first, by))
+    told, told_first = lines.join(kinds, by), stored(first.join(kinds, by))
     line = F.col("value")
 
-    fields = _sampled(told.where("is_jsonl"), _size() > 0, by)
-    share = [F.count_if(parse_jsonl_field(line, n).isNotNull()).alias(f"hit{k}") for k, n in enumerate(TIME_FIELDS)]
+    fields = _sampled(told.where("is_jsonl"), _size() > 0, by, told_first.where("is_jsonl"))
+    # within ``once``, times are told without code of their own being compiled, which takes longer than all samples
+    share = [F.count_if(once(jsonfields.scan_field(line, n), lambda f: field_time(f).isNotNull())).alias(f"hit{k}") for k, n in enumerate(TIME_FIELDS)]
     hits = fields.groupBy(by).agg(F.count("*").alias("n"), *share)
     passed = F.lit(None).cast("string")
     for k, n in reversed(list(enumerate(TIME_FIELDS))):
         passed = F.when((F.col("n") >= LEAST_SAMPLED) & (F.col(f"hit{k}") >= ROUTE_SHARE * F.col("n")), n).otherwise(passed)
     json_routes = hits.select(by, passed.alias("arg")).select(by, F.col("arg").isNotNull().alias("ok"), F.when(F.col("arg").isNotNull(), "jsonl_field").alias("kind"), "arg", F.when(F.col("arg").isNull(), "no_time_field").alias("failure"))
 
-    plain = _sampled(told.where("NOT is_jsonl"), (_size() > 0) & ~F.substring(line, 1, 1).isin(" ", "\t"), by)
-    formats = plain.select(by, probe_format(line).alias("format")).groupBy(by).agg(F.count("*").alias("n"), F.count("format").alias("hits"), F.min("format").alias("least"), F.max("format").alias("most"))
+    plain = _sampled(told.where("NOT is_jsonl"), (_size() > 0) & ~F.substring(line, 1, 1).isin(" ", "\t"), by, told_first.where("NOT is_jsonl"))
+    formats = plain.select(by, once(line, probe_format).alias("format")).groupBy(by).agg(F.count("*").alias("n"), F.count("format").alias("hits"), F.min("format").alias("least"), F.max("format").alias("most"))
     failure = F.when((F.col("hits") == 0) | (F.col("n") < LEAST_SAMPLED) | (F.col("hits") < ROUTE_SHARE * F.col("n")), "no_timestamp").when(F.col("least") != F.col("most"), "inconsistent")
     log_routes = formats.select(by, F.col("least").alias("arg"), failure.alias("failure")).select(by, F.col("failure").isNull().alias("ok"), F.when(F.col("failure").isNull(), "log_prefix").alias("kind"), F.when(F.col("failure").isNull(), F.col("arg")).alias("arg"), "failure")
 

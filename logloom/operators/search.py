@@ -179,8 +179,7 @@ def match_counts(lines: DataFrame, pattern: str, by: str = "src", raw: str = "ra
     """(src, line, matches) of the lines in which a match begins. A match at the very end, after a last line feed, counts for the line after it."""
     check(pattern)
     if by_line(pattern):
-        hit = lines.where(F.rlike(raw, java(pattern)))
-        return hit.select(by, "line", F.regexp_count(raw, java(pattern)).cast("bigint").alias("matches")).where(F.col("matches") > 0)
+        return lines.where(F.rlike(raw, java(pattern))).select(by, "line", F.regexp_count(raw, java(pattern)).cast("bigint").alias("matches"))
     compiled(pattern)  # an error now instead of in tasks
     _, most = _width(pattern)
     if most is not None and most <= REACH and not re.search(r"\\[Az]|\$|\^", pattern):
@@ -205,4 +204,7 @@ def search_lines(lines: DataFrame, pattern: str, cap: int | None = None, by: str
 
 def search_total(lines: DataFrame, pattern: str, by: str = "src", raw: str = "raw") -> DataFrame:
     """(src, total): all matches, whatever the cap."""
+    check(pattern)
+    if by_line(pattern):
+        return lines.groupBy(by).agg(F.sum(F.regexp_count(raw, java(pattern))).cast("bigint").alias("total")).where(F.col("total") > 0)
     return match_counts(lines, pattern, by, raw).groupBy(by).agg(F.sum("matches").cast("bigint").alias("total"))
