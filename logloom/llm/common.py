@@ -94,6 +94,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that one task takes well.
+ROWS_TOGETHER = 250_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of that many rows at most, in as few partitions as they need; never in more than it has."""
+    return df.coalesce(max(1, -(-rows // ROWS_TOGETHER)))
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a folder that this library wrote below the shared one."""
     assert path.startswith(shared_folder(spark)), path

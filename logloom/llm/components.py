@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, work_dir
+from .common import dropped, packed, work_dir
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,19 +26,20 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     schema = spark.read.parquet(f"{root}/0").schema
     now = spark.read.schema(schema).parquet(f"{root}/0")
     state, k = _state(now), 0
+    n = 2 * state[0]  # no round has more edges, taken in both directions
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # least neighbours are tables of their own, so that adaptive execution can split the edges of a node that has many
-        both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m")).write.parquet(f"{root}/{k}-least")
+        packed(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m")), n).write.parquet(f"{root}/{k}-least")
         least = spark.read.parquet(f"{root}/{k}-least")
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large.write.parquet(f"{root}/{k}-large")
+        packed(large, n).write.parquet(f"{root}/{k}-large")
         large = spark.read.parquet(f"{root}/{k}-large")
-        large.groupBy("a").agg(F.min("b").alias("m")).write.parquet(f"{root}/{k}-least-large")
+        packed(large.groupBy("a").agg(F.min("b").alias("m")), n).write.parquet(f"{root}/{k}-least-large")
         least = spark.read.parquet(f"{root}/{k}-least-large")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e"))
         k += 1
-        small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct().write.parquet(f"{root}/{k}")
+        packed(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct(), 2 * n).write.parquet(f"{root}/{k}")
         now = spark.read.schema(schema).parquet(f"{root}/{k}")
         for name in ("", "-least", "-large", "-least-large"):
             dropped(spark, f"{root}/{k - 1}{name}")
@@ -46,4 +47,4 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         state = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    return packed(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), n)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, mapped, named, shuffle_partitions, text_slices, written
+from .common import WORD, fresh, mapped, named, packed, shuffle_partitions, text_slices, written
 from .substrings import text_key
 
 MIN_WORDS = 8
@@ -99,16 +99,18 @@ def suffix_ranks(seq: DataFrame) -> list[DataFrame]:
     place = Window.partitionBy("row").orderBy("pos")
     at = lambda lines: F.first("rank").over(place.rangeBetween(lines, lines))
     now, levels = seq.join(places(seq, ["line"]), "line").select("row", "doc_id", "pos", "need", F.col("place").alias("rank")), []
+    n = seq.count()
     while True:
         lines = 1 << len(levels)
         # a next that repeats nowhere is a number of its own below zero, so that such rows of a frequent rank are dealt out
         alone = -1 - F.pmod(F.xxhash64("row", "pos"), F.lit(1 << 62))
         prev = F.col("prev") if levels else at(-1).alias("prev")
-        keyed = written(now.select("row", "doc_id", "pos", "need", prev, "rank", F.coalesce(at(lines), alone).alias("next")), f"pairs-{lines}")
+        keyed = written(packed(now.select("row", "doc_id", "pos", "need", prev, "rank", F.coalesce(at(lines), alone).alias("next")), n), f"pairs-{lines}")
         known = places(keyed.where(F.col("next") >= 0), ["rank", "next"])
-        levels.append(written(keyed.join(known, ["rank", "next"], "left").select("row", "doc_id", "pos", "need", "prev", "rank", F.col("place").alias("up")), f"ranks-{lines}"))
+        levels.append(written(packed(keyed.join(known, ["rank", "next"], "left").select("row", "doc_id", "pos", "need", "prev", "rank", F.col("place").alias("up")), n), f"ranks-{lines}"))
         now = levels[-1].where(F.col("up").isNotNull()).select("row", "doc_id", "pos", "need", "prev", F.col("up").alias("rank"))
-        if now.isEmpty():
+        n = now.count()
+        if not n:
             return levels
 
 
@@ -137,12 +139,12 @@ def _intervals(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def _told(members: DataFrame) -> DataFrame:
+def _told(members: DataFrame, n: int) -> DataFrame:
     """(interval, first, fine) of the intervals of two members or more; fine ones have a target and may hold maximal runs."""
     found = members.groupBy("interval").agg(F.min(_order()).alias("first"), F.count("*").alias("n"), F.bool_or("target").alias("wanted"), F.count("prev").alias("n_prev"), F.min("prev").alias("low"), F.max("prev").alias("high"))
     fine = F.col("wanted") & ((F.col("n_prev") < F.col("n")) | (F.col("low") != F.col("high")))
     # a table of its own, so that both sides of joins are dealt out, and adaptive execution can split a hot interval
-    return written(found.where(F.col("n") > 1).select("interval", "first", fine.alias("fine")), "intervals")
+    return written(packed(found.where(F.col("n") > 1).select("interval", "first", fine.alias("fine")), n), "intervals")
 
 
 def longest_earlier(levels: list[DataFrame]) -> DataFrame:
@@ -150,7 +152,8 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
     the document of the first copy."""
     later = lambda rows: rows.where(F.col("target") & (F.col("lines") >= F.col("need")) & ~_is_first()).select("row", F.col("pos").alias("start"), "lines", F.col("first.doc_id").alias("copy_of"))
     members = written(_intervals(levels), "members")
-    live = written(members.join(_told(members).where("fine"), "interval"), "live")
+    n = members.count()
+    live = written(packed(members.join(_told(members, n).where("fine"), "interval"), n), "live")
     out, active = [later(live)], None
     for j in range(len(levels) - 2, -1, -1):
         fresh = live.where(F.col("k") == j + 1).select(*_MEMBER)
@@ -158,14 +161,18 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
         ahead = levels[j].select(F.col("row").alias("_row"), F.col("pos").alias("_pos"), F.col("rank").alias("_rank")).distinct()
         joined = active.join(ahead, (F.col("row") == F.col("_row")) & (F.col("pos") + F.col("lines") == F.col("_pos")), "left")
         inner = F.unhex(F.md5(F.concat_ws(" ", F.hex("interval"), F.lit(str(j)), F.col("_rank").cast("string"))))
-        rows = written(joined.select(*_MEMBER, F.when(F.col("_rank").isNotNull(), inner).alias("inner")), "halved")
+        n = active.count()
+        rows = written(packed(joined.select(*_MEMBER, F.when(F.col("_rank").isNotNull(), inner).alias("inner")), n), "halved")
         moving = rows.where(F.col("inner").isNotNull()).withColumn("outer", F.col("interval")).withColumn("interval", F.col("inner")).withColumn("lines", F.col("lines") + (1 << j))
-        told = _told(moving)
-        moved = written(moving.join(told, "interval"), "moved")
+        told = _told(moving, n)
+        if told.isEmpty():  # no two share as many lines
+            active = rows.select(*_MEMBER)
+            continue
+        moved = written(packed(moving.join(told, "interval"), n), "moved")
         out.append(later(moved.where("fine")))
         stays = rows.join(told.select(F.col("interval").alias("inner")), "inner", "left_anti").select(*_MEMBER)
         partner = moved.where(_is_first()).withColumn("interval", F.col("outer")).withColumn("lines", F.col("lines") - (1 << j)).select(*_MEMBER)
-        active = written(stays.unionByName(partner).unionByName(moved.where("fine").select(*_MEMBER)), "active")
+        active = written(packed(stays.unionByName(partner).unionByName(moved.where("fine").select(*_MEMBER)), 2 * n), "active")
     return reduce(DataFrame.unionByName, out).distinct()
 
 

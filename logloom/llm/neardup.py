@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, lower_ascii, mapped, mixed, shingle_hashes, shuffle_partitions, text_slices, work_dir, written
+from .common import WORD, WordHashes, lower_ascii, mapped, mixed, packed, shingle_hashes, shuffle_partitions, text_slices, work_dir, written
 from .components import connected
 
 REGISTERS = 128
@@ -42,7 +42,7 @@ MANTISSA = 10
 #: Documents of a block, and their shingles, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 192, 150_000
 #: Members that are verified with a hub in one task at most; more are dealt over several.
-HUB_DOCS = 1000
+HUB_DOCS = 100
 #: More documents than this are found again by a join instead of a broadcast.
 BROADCAST_IDS = 400_000
 COLUMNS = 2048
@@ -136,16 +136,17 @@ def meetings(rows: DataFrame, group: list[str], weight: int | None = None) -> Da
     Parts of over half a block have blocks of their own, which don't meet each other. Smaller ones share blocks, each of which also meets itself. ``weight``:
     what the column ``n`` of a block may sum up to, besides BLOCK_DOCS rows.
     """
+    n = rows.count()
     need = lambda count, total: F.ceil(F.greatest(count / BLOCK_DOCS, *([total / weight] if weight else []), F.lit(1.0)) if weight else F.greatest(count / BLOCK_DOCS, F.lit(1.0))).cast("int")
     total = F.sum("n") if weight else F.lit(0)
     sizes = rows.groupBy(*group, "part").agg(F.count("*").alias("rows_"), total.alias("total_"))
-    sizes = written(sizes.withColumn("own", F.when(need(2 * F.col("rows_"), 2 * F.col("total_")) > 1, F.col("part"))), "parts")
+    sizes = written(packed(sizes.withColumn("own", F.when(need(2 * F.col("rows_"), 2 * F.col("total_")) > 1, F.col("part"))), n), "parts")
     labels = sizes.groupBy(*group, "own").agg(F.sum("rows_").alias("rows_"), F.sum("total_").alias("total_")).select(*group, "own", need(F.col("rows_"), F.col("total_")).alias("blocks"))
-    labels = written(labels, "labels")
+    labels = written(packed(labels, n), "labels")
     # a row for each large part and one for the others
     listed = labels.groupBy(*group).agg(F.collect_list(F.struct("own", "blocks")).alias("labels"))
     name = lambda own, block: F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("-")), F.lpad(block.cast("string"), 9, "0"))
-    mine = rows.join(sizes.select(*group, "part", "own"), [*group, "part"]).join(written(listed, "listed"), group)
+    mine = rows.join(sizes.select(*group, "part", "own"), [*group, "part"]).join(written(packed(listed, n), "listed"), group)
     blocks = F.filter("labels", lambda x: x["own"].eqNullSafe(F.col("own")))[0]["blocks"]
     mine = mine.withColumn("block", name(F.col("own"), F.pmod(F.xxhash64(F.lit("block"), "id"), blocks)))
     others = F.flatten(F.transform(F.filter("labels", lambda x: x["own"].isNull() | ~x["own"].eqNullSafe(F.col("own"))), lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: name(x["own"], k))))
@@ -172,13 +173,15 @@ def _pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def across(buckets: DataFrame, parts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every document that shares a bucket with one that it may be linked to, of another part, and one such document of each part.
+    """(a, b): (a, a) for every document a that shares a bucket with one of another part that it may be linked to, and pairs that tie such parts together, a spanning
+    forest for each two blocks.
 
     ``parts`` has (node, component). Buckets within one part are done.
     """
     named = buckets.select("band", "key", "id").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     open_ = named.groupBy("band", "key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where(F.col("least") != F.col("most")).select("band", "key")
-    rows = written(named.join(written(open_, "open"), ["band", "key"]), "mixed")
+    n = buckets.count()
+    rows = written(packed(named.join(written(packed(open_, n), "open"), ["band", "key"]), n), "mixed")
     met = meetings(rows, ["band", "key"]).join(classes.select("id", "n_shingles", "registers"), "id")
     met = met.select("band", "key", "i", "j", "id", "part", "n_shingles", "registers").repartition(_parts(buckets.sparkSession), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
 
@@ -188,13 +191,16 @@ def across(buckets: DataFrame, parts: DataFrame, classes: DataFrame, threshold:
             if (part == part[0]).all():
                 continue
             held = np.frombuffer(b"".join([r[3] for r in rows]), np.uint16).reshape(len(ids), REGISTERS)
-            out = []
+            out, tied = [], part.copy()
             for k in range(len(ids)):
                 other = np.flatnonzero(part != part[k])
                 fine = other[may_link(held[k], held[other], n[k], n[other], threshold)]
-                if len(fine):
-                    _, one = np.unique(part[fine], return_index=True)
-                    out += [(int(ids[k]), int(j)) for j in ids[fine[one]]]
+                if not len(fine):
+                    continue
+                out.append((int(ids[k]), int(ids[k])))
+                while len(fine := fine[tied[fine] != tied[k]]):
+                    out.append((int(ids[k]), int(ids[fine[0]])))
+                    tied[tied == tied[fine[0]]] = tied[k]
             yield _pairs_of(out)
 
     return mapped(met, run, "a long, b long").distinct()
@@ -238,7 +244,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str)
 
 def hub_links(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (hub, member) that are links, as (a, b), by exact intersections. A hub's set is sent to each task with some of its members."""
-    counts = written(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_DOCS).cast("int").alias("shares")), "hubs")
+    n = pairs.count()
+    counts = written(packed(pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_DOCS).cast("int").alias("shares")), n), "hubs")
     members = pairs.join(counts, "hub").withColumn("share", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int")).join(sets.withColumnRenamed("id", "member"), "member")
     members = members.select("hub", "share", F.lit(1).alias("kind"), "member", "shingles")
     hubs = counts.join(sets.withColumnRenamed("id", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("hub").alias("member"), "shingles")
@@ -259,7 +266,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
             yield _pairs_of(out)
 
     met = hubs.unionByName(members).repartition(_parts(pairs.sparkSession), "hub", "share").sortWithinPartitions("hub", "share", "kind")
-    return mapped(met, run, "a long, b long").distinct()
+    return packed(mapped(met, run, "a long, b long").distinct(), n)
 
 
 def linked(s: np.ndarray, t: np.ndarray, per_cent: int) -> bool:
@@ -322,6 +329,14 @@ def verified(members: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return mapped(met, run, "a long, b long")
 
 
+def _joined(links: DataFrame, more: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, and their parts, which are known if there are no more links."""
+    if more.isEmpty():
+        return links, parts
+    links = links.unionByName(more)
+    return links, written(connected(links), "parts")
+
+
 def groups(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: documents of similarity ``per_cent`` or more over ``k``-word
     shingles are linked; the smallest id of each component is kept."""
@@ -339,25 +354,25 @@ def groups(docs: DataFrame, k: int = 5, per_cent: int = 80, id_col: str = "doc_i
     sets = written(sets_of(docs, paired, k, id_col, text_col), "sets")
     first = near.groupBy("member").agg(F.min_by("hub", F.xxhash64("hub")).alias("hub"))
     links = written(hub_links(first, sets, per_cent), "links")
+    found = written(connected(links), "parts")
     # pairs of documents that aren't in one part yet
-    parts = written(connected(links), "parts")
-    part = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
+    part = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
     rest = near.join(first, ["hub", "member"], "left_anti").join(part("hub"), "hub", "left").join(part("member"), "member", "left")
-    rest = rest.where(F.coalesce("hub_part", "hub") != F.coalesce("member_part", "member")).select("hub", "member")
-    links = links.unionByName(written(hub_links(written(rest, "rest"), sets, per_cent), "links"))
-    parts = written(connected(links), "parts")
+    rest = written(rest.where(F.coalesce("hub_part", "hub") != F.coalesce("member_part", "member")).select("hub", "member"), "rest")
+    if not rest.isEmpty():
+        more = written(hub_links(rest, sets, per_cent), "links")
+        links, found = _joined(links, more, found)
     # documents that may be linked to other parts, and which parts these tie together
-    ties = written(across(buckets, parts, classes, per_cent / 100), "ties")
-    named = lambda c: ties.join(parts.select(F.col("node").alias(c), "component"), c, "left").withColumn(f"{c}_part", F.coalesce("component", c)).drop("component")
-    both = named("a").join(parts.select(F.col("node").alias("b"), "component"), "b", "left").select("a", "a_part", F.coalesce("component", "b").alias("b_part"))
-    both = written(both, "tied")
-    families = connected(both, "a_part", "b_part")
-    members = both.select(F.col("a").alias("id"), F.col("a_part").alias("part")).distinct().join(families.select(F.col("node").alias("part"), F.col("component").alias("family")), "part")
-    members = written(members, "open")
-    others = written(sets_of(docs, members.select("id").distinct().join(paired, "id", "left_anti"), k, id_col, text_col), "sets")
-    links = links.unionByName(verified(members, sets.unionByName(others), per_cent))
+    ties = written(across(buckets, found, classes, per_cent / 100), "ties")
+    if not ties.isEmpty():
+        named = lambda c, df: df.join(found.select(F.col("node").alias(c), "component"), c, "left").withColumn(f"{c}_part", F.coalesce("component", c)).drop("component")
+        both = written(named("b", named("a", ties)), "tied")
+        families = connected(both, "a_part", "b_part")
+        members = both.select(F.col("a").alias("id"), F.col("a_part").alias("part")).distinct().join(families.select(F.col("node").alias("part"), F.col("component").alias("family")), "part")
+        members = written(members, "open")
+        others = written(sets_of(docs, members.select("id").distinct().join(paired, "id", "left_anti"), k, id_col, text_col), "sets")
+        links, found = _joined(links, written(verified(members, sets.unionByName(others), per_cent), "links"), found)
     # rows that repeat an id with another text tie their classes together
-    found = connected(links)
     named = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("class_component"))
     joined = rows.join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
