@@ -154,16 +154,22 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def text_slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[list[str | None]]:
-    """The column's texts in order, in lists of ``most_bytes`` together, or of one longer text."""
+def array_slices(column: pa.Array, most_bytes: int) -> Iterator[pa.Array]:
+    """The column's texts in order, in arrays of ``most_bytes`` together, or of one longer text."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
     at, done = 0, 0
     while at < len(sizes):
         end = max(at + 1, int(np.searchsorted(sizes, done + most_bytes, side="right")))
-        yield column.slice(at, end - at).to_pylist()
+        yield column.slice(at, end - at)
         at, done = end, int(sizes[end - 1])
 
 
+def text_slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[list[str | None]]:
+    """The same as lists."""
+    for part in array_slices(column, most_bytes):
+        yield part.to_pylist()
+
+
 def lower_ascii(text: str) -> str:
     """Lower-cases A to Z only."""
     return text.lower() if text.isascii() else text.translate(_LOWER)

@@ -7,9 +7,12 @@ Model of a lane. Orders 1 and 2 each predict one id from the last one (two) ids,
 last confirmed there and a confidence of 0 to 3. Order 0 is a distribution of ids: of the high byte, and of the
 low byte given the class of the high one, from counts that are taken over at the steps in ``REBUILD``. The three are
 mixed: in the context of both confidences and of whether both predictions agree, adaptive weights give
-the shares of the order-2 prediction, the order-1 prediction and order 0. The id's share of the mixture,
-in units of 2**-28, is one interval, which narrows a 48-bit range coder that writes 16-bit words and
-carries into words already written.
+the shares of the order-2 prediction, the order-1 prediction and order 0.
+
+An id is coded by its source (order 2, order 1 or order 0, in units of 2**-12 of these shares) and, if that is order 0, by its
+share of order 0, in units of 2**-20; order 0 counts the ids that it codes. A block has a range coder for either, whose steps are
+thus independent: those of order 0 need no prediction, and the sources need no distribution. Their states have 60 bits;
+they write 16-bit words and carry into words already written.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ import zlib
 import numpy as np
 
 BLOCK = 4096
-LANES = 512
-MAGIC = b"CMIX0001"
-SLOT_BITS, BYTE_BITS = 8, 10
-TOTAL_BITS = SLOT_BITS + 2 * BYTE_BITS
-STATE_BITS, LOW_BITS = 48, 32
+LANES = 1024
+MAGIC = b"CMIX0002"
+SOURCE_BITS, BYTE_BITS = 12, 10
+STATE_BITS, LOW_BITS = 60, 44
 STATE_MASK, WORD_MASK = (1 << STATE_BITS) - 1, (1 << LOW_BITS) - 1
+#: Words that hold a state.
+STATE_WORDS = 4
+#: Steps between two looks at the width of sources and of order 0, which keep it above 2**8 and 2**4 units.
+SOURCE_EVERY, ID_EVERY = 3, 2
 ORDER1_BITS, ORDER2_BITS = 9, 10
 REBUILD = (0, 64, 192, 448, 960, 1984, 3008)
 #: Class of a high byte, for the low byte's context: single bytes, early merges, the others.
@@ -35,67 +41,119 @@ N_CLASSES = 4
 RATE = 4
 
 
+def _i32(*values) -> np.ndarray:
+    """A constant; numpy takes arrays faster than Python's numbers."""
+    return np.array(values, np.int32)
+
+
+_TWO, _THREE, _RATE, _SLOTS = _i32(2), _i32(3), _i32(RATE), _i32(16)
+_ONE, _MOST2, _MOST1 = _i32(1), _i32((1 << SOURCE_BITS) - 4), _i32((1 << SOURCE_BITS) - 2)
+_CONTEXT = _i32([2], [8])
+#: By confidence and hit: what is added to an entry, and whether the id replaces it.
+_STEP, _REPLACED = _i32(0, 1, 0, 1, -1, 1, -1, 0), np.array([1, 0, 1, 0, 0, 0, 0, 0], bool)
+#: What the weights of orders 1 and 2 strive for, by source.
+_TARGET = _i32(0, 65535, 0, 65535, 0, 0)
+_SECOND = np.array([[0], [3]])
+_HASH1, _HASH2 = np.array([40503]), np.array([30011])
+_HASH_SHIFT, _HASH_MASK = np.array([[5], [4]]), np.array([[(1 << ORDER1_BITS) - 1], [(1 << ORDER2_BITS) - 1]])
+
+
 class Model:
-    """What encoder and decoder both keep for ``lanes`` blocks."""
+    """Predictions of orders 1 and 2 and their weights for ``lanes`` blocks, as encoder and decoder keep them. Arrays of two rows
+    have order 1 first. ``source`` is 0 for order 2, 1 for order 1, 2 for order 0."""
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.row1 = np.arange(lanes, dtype=np.int64) << ORDER1_BITS
-        self.row2 = np.arange(lanes, dtype=np.int64) << ORDER2_BITS
-        self.row_ctx = np.arange(lanes, dtype=np.int64) << 5
-        self.table1 = np.zeros(lanes << ORDER1_BITS, np.int32)
-        self.table2 = np.zeros(lanes << ORDER2_BITS, np.int32)
+        lane = np.arange(lanes)
+        self.rows = np.stack([lane << ORDER1_BITS, (lanes << ORDER1_BITS) + (lane << ORDER2_BITS)])
+        self.table = np.zeros((lanes << ORDER1_BITS) + (lanes << ORDER2_BITS), np.int32)
         conf2, conf1 = np.divmod(np.arange(32) >> 1, 4)
-        first = (np.array([0, 16000, 40000, 56000])[conf2] << 16) + np.array([0, 12000, 30000, 48000])[conf1]
-        self.weights = np.tile(first.astype(np.uint32), lanes)  # of order 2 in the high half, of order 1 in the low half
+        self.weights = np.concatenate([np.tile(_i32(0, 12000, 30000, 48000)[conf1], lanes), np.tile(_i32(0, 16000, 40000, 56000)[conf2], lanes)])
+        self.weight_rows = np.stack([lane << 5, (lanes + lane) << 5])
+        pair, one = (2, lanes), lanes
+        self.held, self.pred, self.conf, self.scaled, self.weight, self.step, self.drift = (np.empty(pair, np.int32) for _ in range(7))
+        self.at_weight, self.key, self.places = (np.empty(pair, np.int64) for _ in range(3))
+        self.hit, self.replaced, self.agree = np.empty(pair, bool), np.empty(pair, bool), np.empty(one, bool)
+        self.context, self.share2, self.share1, self.fresh = (np.empty(one, np.int32) for _ in range(4))
+        self.hashed, self.hashed_before = np.empty(one, np.int64), np.zeros(one, np.int64)
+        self.at = self.rows.copy()
+
+    def predict(self) -> None:
+        """Looks up both predictions; sets the two shares."""
+        held, pred, conf, weight, share2, share1 = self.held, self.pred, self.conf, self.weight, self.share2, self.share1
+        self.table.take(self.at, out=held, mode="clip")
+        np.right_shift(held, _TWO, out=pred)
+        np.bitwise_and(held, _THREE, out=conf)
+        np.multiply(conf, _CONTEXT, out=self.scaled)
+        np.add(self.scaled[0], self.scaled[1], out=self.context)
+        np.equal(pred[0], pred[1], out=self.agree)
+        np.add(self.context, self.agree, out=self.context)
+        np.add(self.weight_rows, self.context, out=self.at_weight)
+        self.weights.take(self.at_weight, out=weight, mode="clip")
+        np.multiply(weight[1], _MOST2, out=share2)
+        np.right_shift(share2, _SLOTS, out=share2)
+        np.add(share2, _ONE, out=share2)
+        np.subtract(_MOST1, share2, out=share1)
+        np.multiply(share1, weight[0], out=share1)
+        np.right_shift(share1, _SLOTS, out=share1)
+        np.add(share1, _ONE, out=share1)
+
+    def learn(self, ids: np.ndarray, source: np.ndarray, not2: np.ndarray) -> None:
+        """Takes over ids (int32) whose ``hit`` is set; the weight of order 1 learns where order 2 was wrong."""
+        held, key, step, drift, places = self.held, self.key, self.step, self.drift, self.places
+        np.add(self.conf, self.conf, out=key)
+        np.add(key, self.hit, out=key)
+        _STEP.take(key, out=step, mode="clip")
+        _REPLACED.take(key, out=self.replaced, mode="clip")
+        np.add(step, held, out=step)
+        np.left_shift(ids, _TWO, out=self.fresh)
+        np.add(self.fresh, _ONE, out=self.fresh)
+        np.copyto(step, self.fresh, where=self.replaced)
+        self.table[self.at] = step
+        np.add(source, _SECOND, out=places)
+        _TARGET.take(places, out=drift, mode="clip")
+        np.subtract(drift, self.weight, out=drift)
+        np.right_shift(drift, _RATE, out=drift)
+        np.multiply(drift[0], not2, out=drift[0])
+        np.add(drift, self.weight, out=drift)
+        self.weights[self.at_weight] = drift
+        at, hashed = self.at, self.hashed
+        np.multiply(ids, _HASH1, out=hashed)
+        at[0] = hashed
+        np.add(hashed, self.hashed_before, out=at[1])
+        np.multiply(ids, _HASH2, out=self.hashed_before)
+        np.right_shift(at, _HASH_SHIFT, out=at)
+        np.bitwise_and(at, _HASH_MASK, out=at)
+        np.add(at, self.rows, out=at)
+
+
+class OrderZero:
+    """Distributions of ids for ``lanes`` blocks."""
+
+    def __init__(self, lanes: int):
+        self.lanes = lanes
         self.high_counts = np.zeros((lanes, 256), np.int32)
         self.low_counts = np.zeros((lanes * N_CLASSES, 256), np.int32)
 
-    def hash1(self, prev1: np.ndarray) -> np.ndarray:
-        return (prev1.astype(np.int64) * 40503 >> 5) & ((1 << ORDER1_BITS) - 1)
-
-    def hash2(self, prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
-        return ((prev1.astype(np.int64) * 40503 + prev2.astype(np.int64) * 30011) >> 4) & ((1 << ORDER2_BITS) - 1)
-
-    def predict(self, at1: np.ndarray, at2: np.ndarray) -> None:
-        """Looks up both predictions; sets the context and the three shares."""
-        self.at1, self.at2 = at1, at2
-        self.held1, self.held2 = self.table1.take(at1, mode="wrap"), self.table2.take(at2, mode="wrap")
-        self.pred1, self.pred2 = self.held1 >> 2, self.held2 >> 2
-        ctx = ((self.held2 & 3) << 3) + ((self.held1 & 3) << 1) + (self.pred1 == self.pred2)
-        self.at_ctx = self.row_ctx + ctx
-        both = self.weights.take(self.at_ctx, mode="wrap")
-        self.w2, self.w1 = (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32)
-        self.share2 = (self.w2 >> 8) * 253 >> 8  # 0 to 252 of 256
-        self.share1 = (254 - self.share2) * (self.w1 >> 8) >> 8  # of what is left; order 0 keeps 2 or more
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """hit1 is for the order-1 prediction alone, whether or not order 2 was right."""
-        fresh = (ids << 2) + 1
-        for table, at, held, hit in ((self.table1, self.at1, self.held1, hit1), (self.table2, self.at2, self.held2, hit2)):
-            conf = held & 3
-            table[at] = np.where(hit, held + (conf < 3), np.where(conf > 1, held - 1, fresh))
-        w2 = self.w2 + ((np.where(hit2, 65535, 0) - self.w2) >> RATE)
-        w1 = np.where(hit2, self.w1, self.w1 + ((np.where(hit1, 65535, 0) - self.w1) >> RATE))
-        self.weights[self.at_ctx] = (w2.astype(np.uint32) << 16) | w1.astype(np.uint32)
-
-    def count(self, high: np.ndarray, low: np.ndarray) -> None:
-        """Takes over the ids of some steps, [step, lane]."""
-        lane = np.broadcast_to(np.arange(self.lanes), high.shape)
-        self.high_counts += np.bincount((lane * 256 + high).ravel(), minlength=self.lanes * 256).reshape(self.high_counts.shape)
+    def count(self, ids: np.ndarray, held: np.ndarray) -> None:
+        """Takes over the ids of some steps, [step, lane], where ``held``."""
+        lane = np.broadcast_to(np.arange(self.lanes), ids.shape)[held]
+        high, low = ids[held] >> 8, ids[held] & 255
+        self.high_counts += np.bincount(lane * 256 + high, minlength=self.lanes * 256).reshape(self.high_counts.shape)
         key = (lane * N_CLASSES + HIGH_CLASS[high]) * 256 + low
-        self.low_counts += np.bincount(key.ravel(), minlength=self.low_counts.size).reshape(self.low_counts.shape)
+        self.low_counts += np.bincount(key, minlength=self.low_counts.size).reshape(self.low_counts.shape)
 
     def rebuild(self, lookup: bool) -> None:
-        """Shares of order 0 from the counts; every byte keeps 1/1024 at least."""
+        """Shares from the counts; every byte keeps 1/1024 at least."""
         for name, counts in (("high", self.high_counts), ("low", self.low_counts)):
             room = (1 << BYTE_BITS) - 256
             total = np.maximum(counts.sum(1, keepdims=True), 1)
-            share = 1 + counts * room // total
-            share[np.arange(len(share)), counts.argmax(1)] += (1 << BYTE_BITS) - share.sum(1)
-            starts = np.cumsum(share, 1) - share
-            setattr(self, f"{name}_share", share.astype(np.int32).ravel())
-            setattr(self, f"{name}_start", starts.astype(np.int32).ravel())
+            share = (counts * (room / total)).astype(np.int32)
+            share += 1
+            share[np.arange(len(share)), counts.argmax(1)] += (1 << BYTE_BITS) - share.sum(1, dtype=np.int32)
+            starts = np.cumsum(share, 1, dtype=np.int32)
+            starts -= share
+            setattr(self, f"{name}_share", share.ravel())
+            setattr(self, f"{name}_start", starts.ravel())
             if lookup:
                 setattr(self, f"{name}_of", np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(share)), share.ravel()))
 
@@ -105,22 +163,17 @@ def _segments(steps: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids [step, lane] int32 → words [lane, word] uint16 and the number of words of each lane."""
-    steps, lanes = ids.shape
-    model = Model(lanes)
-    before = np.zeros((2, lanes), np.int32)
-    prev = np.concatenate([before, ids])
-    cap = (steps * TOTAL_BITS) // 16 + 8
+def _range_encode(start: np.ndarray, share: np.ndarray, counts: np.ndarray, bits: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals [step, lane] in units of 2**-bits → words [lane, word] uint16 and the number of words of each lane. Lanes have
+    ``counts`` steps, in descending order."""
+    steps, lanes = start.shape
+    cap = (steps * (bits + 1)) // 16 + 2 * STATE_WORDS
     out = np.zeros(lanes * cap, np.uint16)
     pos = np.arange(lanes, dtype=np.int64) * cap
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << STATE_BITS, np.int64)
-
-    def carried(at: np.ndarray) -> None:
-        at = at - 1
-        while len(at):
-            out[at] += 1
-            at = at[out[at] == 0] - 1
+    unit, moved = np.empty(lanes, np.int64), np.empty(lanes, np.int64)
+    shift, least, top = np.array([bits]), np.array([1 << LOW_BITS]), np.array([1 << STATE_BITS])
+    active = lanes - np.searchsorted(counts[::-1], np.arange(steps), side="right")
 
     def emit(which: np.ndarray) -> None:
         part = low[which]
@@ -129,108 +182,203 @@ def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pos[which] = at + 1
         low[which] = (part & WORD_MASK) << 16
 
-    for begin, end in _segments(steps):
+    def settle() -> None:
+        over = np.flatnonzero(low >= top)
+        if len(over):
+            low[over] &= STATE_MASK
+            at = pos[over] - 1
+            while len(at):
+                out[at] += 1
+                at = at[out[at] == 0] - 1
+        while len(small := np.flatnonzero(width < least)):
+            emit(small)
+            width[small] <<= 16
+
+    for k, n in enumerate(active.tolist()):
+        u, m, w, lo = (unit, moved, width, low) if n == lanes else (unit[:n], moved[:n], width[:n], low[:n])
+        np.right_shift(w, shift, out=u)
+        np.multiply(u, start[k, :n], out=m)
+        np.add(lo, m, out=lo)
+        np.multiply(u, share[k, :n], out=w)
+        if k % every == every - 1:
+            settle()
+    settle()
+    lane = np.arange(lanes)
+    for _ in range(STATE_WORDS):
+        emit(lane)
+    return out.reshape(lanes, cap), pos - lane * cap
+
+
+class _RangeDecoder:
+    """States of many range decoders, which begin at the places ``starts`` in ``words``."""
+
+    def __init__(self, words: np.ndarray, shifted: np.ndarray, starts: np.ndarray):
+        code = np.zeros(len(starts), np.int64)
+        for k in range(STATE_WORDS - 1):
+            code = (code << 16) | words.take(starts + k, mode="clip")
+        self.code = (code << 12) | (words.take(starts + STATE_WORDS - 1, mode="clip") >> 4)
+        self.at = starts + STATE_WORDS - 1
+        self.width = np.full(len(starts), 1 << STATE_BITS, np.int64)
+        self.shifted = shifted
+        self.least = np.array([1 << LOW_BITS])
+
+    def settle(self) -> None:
+        code, width = self.code, self.width
+        while len(small := np.flatnonzero(width < self.least)):
+            place = self.at[small]
+            code[small] = (code[small] << 16) | self.shifted.take(place, mode="clip")
+            self.at[small] = place + 1
+            width[small] = np.maximum(width[small], 1) << 16  # 0 only in damaged blocks, which must end too
+
+
+def _encode_lanes(ids: np.ndarray) -> list[np.ndarray]:
+    """ids [step, lane] int32 → words of each lane: the number of ids by order 0 and of words of sources, words of sources, words of these ids."""
+    steps, lanes = ids.shape
+    model = Model(lanes)
+    sources, shares = np.empty((steps, lanes), np.int8), np.empty((steps, 2, lanes), np.int16)
+    source = np.empty(lanes, np.int64)
+    hit, any_hit, not2 = model.hit, np.empty(lanes, bool), np.empty(lanes, bool)
+    two = np.array([2])
+    for k in range(steps):
+        x = ids[k]
+        model.predict()
+        shares[k, 0] = model.share2
+        shares[k, 1] = model.share1
+        np.equal(model.pred, x, out=hit)
+        np.logical_or(hit[0], hit[1], out=any_hit)
+        np.logical_not(hit[1], out=not2)
+        np.subtract(two, any_hit, out=source)
+        np.subtract(source, hit[1], out=source)
+        sources[k] = source
+        model.learn(x, source, not2)
+    one, missed = sources == 1, sources == 2
+    share, start = shares[:, 0].copy(), np.zeros((steps, lanes), np.int16)
+    np.copyto(start, share, where=one | missed)
+    start += shares[:, 1] * missed
+    np.copyto(share, shares[:, 1], where=one)
+    np.copyto(share, (1 << SOURCE_BITS) - start, where=missed)
+    del shares, sources, one
+    first, n_first = _range_encode(start, share, np.full(lanes, steps), SOURCE_BITS, SOURCE_EVERY)
+    counts = missed.sum(0)
+    second, n_second = _encode_ids(np.ascontiguousarray(ids.T)[np.ascontiguousarray(missed.T)], counts)
+    return [np.concatenate([np.array([c, n], np.uint16), a[:n], b[:m]]) for c, n, m, a, b in zip(counts, n_first, n_second, first, second, strict=True)]
+
+
+def _dealt(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes by descending count, and which steps [step, lane] they have."""
+    order = np.argsort(-counts, kind="stable")
+    return order, np.arange(counts.max(initial=0))[:, None] < counts[order]
+
+
+def _encode_ids(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of order 0, lane by lane → words and their number."""
+    order, held = _dealt(counts)
+    steps, lanes = held.shape
+    ids = np.zeros((lanes, steps), np.int32)
+    by_lane = np.zeros((lanes, steps), np.int32)
+    by_lane[np.arange(steps) < counts[:, None]] = flat
+    ids = np.ascontiguousarray(by_lane[order].T)
+    start, share = np.zeros((steps, lanes), np.int32), np.ones((steps, lanes), np.int32)
+    zero, last = OrderZero(lanes), 0
+    for begin, end in _segments(steps) if steps else []:
         if begin:
-            model.count(ids[last:begin] >> 8, ids[last:begin] & 255)
-        model.rebuild(False)
+            zero.count(ids[last:begin], held[last:begin])
+        zero.rebuild(False)
         last = begin
-        part = ids[begin:end]
-        high, lo = part >> 8, part & 255
+        high, low = ids[begin:end] >> 8, ids[begin:end] & 255
         key = np.arange(lanes) * 256 + high
-        f_high, c_high = model.high_share.take(key), model.high_start.take(key)
-        key = (np.arange(lanes) * N_CLASSES + HIGH_CLASS[high]) * 256 + lo
-        f_low, c_low = model.low_share.take(key), model.low_start.take(key)
-        inner_start = (c_high << BYTE_BITS) + f_high * c_low
-        inner_share = f_high * f_low
-        at1 = model.hash1(prev[begin + 1 : end + 1]) + model.row1
-        at2 = model.hash2(prev[begin + 1 : end + 1], prev[begin:end]) + model.row2
-        now = part
-        for k in range(end - begin):
-            x = now[k]
-            model.predict(at1[k], at2[k])
-            hit2, hit1 = model.pred2 == x, model.pred1 == x
-            s2, s1 = model.share2, model.share1
-            hit2 &= s2 > 0
-            one = hit1 & ~hit2 & (s1 > 0)
-            miss = ~(hit2 | one)
-            both = s2 + s1
-            rest = 256 - both
-            start = np.where(miss, (both << 2 * BYTE_BITS) + rest * inner_start[k], np.where(one, s2, 0) << 2 * BYTE_BITS)
-            share = np.where(miss, rest * inner_share[k], np.where(one, s1, s2) << 2 * BYTE_BITS)
-            unit = width >> TOTAL_BITS
-            low += unit * start
-            width = unit * share
-            over = np.flatnonzero(low >> STATE_BITS)
-            if len(over):
-                low[over] &= STATE_MASK
-                carried(pos[over])
-            while len(small := np.flatnonzero(width < 1 << LOW_BITS)):
-                emit(small)
-                width[small] <<= 16
-            model.learn(x, hit2, hit1)
-    every = np.arange(lanes)
-    for _ in range(STATE_BITS // 16):
-        emit(every)
-    return out.reshape(lanes, cap), pos - every * cap
+        of_high = zero.high_share.take(key)
+        start[begin:end] = zero.high_start.take(key) << BYTE_BITS
+        key = (np.arange(lanes) * N_CLASSES + HIGH_CLASS[high]) * 256 + low
+        start[begin:end] += of_high * zero.low_start.take(key)
+        share[begin:end] = of_high * zero.low_share.take(key)
+    words, n = _range_encode(start, share, counts[order], 2 * BYTE_BITS, ID_EVERY)
+    back = np.argsort(order)
+    return words[back], n[back]
+
+
+def _decode_ids(words: np.ndarray, shifted: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ids of order 0, lane by lane."""
+    order, held = _dealt(counts)
+    steps, lanes = held.shape
+    coder = _RangeDecoder(words, shifted, starts[order])
+    ids = np.zeros((steps, lanes), np.int32)
+    active = held.sum(1).tolist()
+    lane256, lane_class, lane_high = np.arange(lanes) * 256, np.arange(lanes) * N_CLASSES, np.arange(lanes) << BYTE_BITS
+    shift, byte_bits, eight = np.array([2 * BYTE_BITS]), np.array([BYTE_BITS]), np.array([8])
+    zero, last = OrderZero(lanes), 0
+    for begin, end in _segments(steps) if steps else []:
+        if begin:
+            zero.count(ids[last:begin], held[last:begin])
+        zero.rebuild(True)
+        last = begin
+        for k in range(begin, end):
+            n = active[k]
+            code, width = coder.code[:n], coder.width[:n]
+            unit = np.right_shift(width, shift)
+            value = code // unit
+            high = zero.high_of.take(lane_high[:n] + (value >> byte_bits), mode="clip").astype(np.int64)
+            key = lane256[:n] + high
+            of_high = zero.high_share.take(key)
+            begins = zero.high_start.take(key) << byte_bits
+            row = lane_class[:n] + HIGH_CLASS.take(high)
+            low = zero.low_of.take((row << byte_bits) + (value - begins) // of_high, mode="clip")
+            key = (row << eight) + low
+            begins += of_high * zero.low_start.take(key)
+            code -= unit * begins
+            np.multiply(unit, of_high * zero.low_share.take(key), out=width)
+            np.add(high << eight, low, out=ids[k, :n], casting="unsafe")
+            if k % ID_EVERY == ID_EVERY - 1:
+                coder.settle()
+    return np.ascontiguousarray(ids[:, np.argsort(order)].T)[np.arange(steps) < counts[:, None]]
 
 
 def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-    """words uint16, the place of each lane's first → ids [step, lane]. ``words`` has 8 spare ones at its end."""
+    """words, the place of each lane's first → ids [step, lane]. ``words`` has 8 spare ones at its end."""
     lanes = len(starts)
-    model = Model(lanes)
-    at = starts.astype(np.int64).copy()
-    code = np.zeros(lanes, np.int64)
-    for _ in range(STATE_BITS // 16):
-        code = (code << 16) | words.take(at, mode="clip")
-        at += 1
-    width = np.full(lanes, 1 << STATE_BITS, np.int64)
+    shifted = ((words & 15) << 12) | np.append(words[1:], 0) >> 4
+    counts, n_first = words[starts], words[starts + 1]
+    if (counts > steps).any():
+        raise ValueError("a block's head is damaged")
+    by_zero = _decode_ids(words, shifted, starts + 2 + n_first, counts)
+    by_zero = np.append(by_zero, np.int32(0))
+    coder, model = _RangeDecoder(words, shifted, starts + 2), Model(lanes)
+    code, width = coder.code, coder.width
+    lane, wide = np.arange(lanes), np.array([lanes])
     ids = np.zeros((steps, lanes), np.int32)
-    prev1, prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    lane256, lane_class = np.arange(lanes) * 256, np.arange(lanes) * N_CLASSES
-    lane_high = np.arange(lanes) << BYTE_BITS
-    last = 0
-    for begin, end in _segments(steps):
-        if begin:
-            done = ids[last:begin].astype(np.int64)
-            model.count(done >> 8, done & 255)
-        model.rebuild(True)
-        last = begin
-        for k in range(begin, end):
-            model.predict(model.hash1(prev1) + model.row1, model.hash2(prev1, prev2) + model.row2)
-            s2, s1 = model.share2, model.share1
-            unit = width >> TOTAL_BITS
-            value = (code / unit).astype(np.int32)  # exact: 48 bits by 20 at most
-            slot = value >> 2 * BYTE_BITS
-            both = s2 + s1
-            hit2 = slot < s2
-            one = (slot < both) & ~hit2
-            x = np.where(hit2, model.pred2, model.pred1)
-            start = np.where(hit2, 0, s2) << 2 * BYTE_BITS
-            share = np.where(hit2, s2, s1) << 2 * BYTE_BITS
-            miss = np.flatnonzero(slot >= both)
-            if len(miss):
-                base = both[miss]
-                rest = 256 - base
-                inner = ((value[miss] - (base << 2 * BYTE_BITS)) / rest).astype(np.int32)
-                high = model.high_of.take(lane_high[miss] + (inner >> BYTE_BITS), mode="clip").astype(np.int32)
-                key = lane256[miss] + high
-                c_high, f_high = model.high_start.take(key), model.high_share.take(key)
-                row = lane_class[miss] + HIGH_CLASS[high]
-                lo = model.low_of.take((row << BYTE_BITS) + ((inner - (c_high << BYTE_BITS)) / f_high).astype(np.int32), mode="clip").astype(np.int32)
-                key = row * 256 + lo
-                start[miss] = (base << 2 * BYTE_BITS) + rest * ((c_high << BYTE_BITS) + f_high * model.low_start.take(key))
-                share[miss] = rest * f_high * model.low_share.take(key)
-                x[miss] = (high << 8) + lo
-            code -= unit * start
-            width = np.maximum(unit * share, 1)  # 0 only in damaged blocks, which must end too
-            while len(small := np.flatnonzero(width < 1 << LOW_BITS)):
-                place = at[small]
-                code[small] = (code[small] << 16) | words.take(place, mode="clip")
-                at[small] = place + 1
-                width[small] <<= 16
-            model.learn(x, hit2, model.pred1 == x)
-            ids[k] = x
-            prev2, prev1 = prev1, x.astype(np.int64)
+    upcoming = np.cumsum(counts) - counts
+    bounds = np.zeros((4, lanes), np.int64)  # of the three sources' intervals
+    choices = np.empty((3, lanes), np.int32)
+    unit, begins, source, place = (np.empty(lanes, np.int64) for _ in range(4))
+    not2, missed = np.empty(lanes, bool), np.empty(lanes, bool)
+    shift = np.array([SOURCE_BITS])
+    all_bounds, ends, all_choices = bounds.ravel(), bounds[1:].ravel(), choices.ravel()
+    for k in range(steps):
+        x = ids[k]
+        model.predict()
+        np.right_shift(width, shift, out=unit)
+        np.multiply(unit, model.share2, out=bounds[1])
+        np.multiply(unit, model.share1, out=bounds[2])
+        np.add(bounds[2], bounds[1], out=bounds[2])
+        np.left_shift(unit, shift, out=bounds[3])
+        np.greater_equal(code, bounds[1], out=not2)
+        np.greater_equal(code, bounds[2], out=missed)
+        np.add(not2, missed, out=source, dtype=np.int64)
+        np.multiply(source, wide, out=place)
+        np.add(place, lane, out=place)
+        all_bounds.take(place, out=begins, mode="clip")
+        ends.take(place, out=width, mode="clip")
+        np.subtract(width, begins, out=width)
+        np.subtract(code, begins, out=code)
+        if k % SOURCE_EVERY == SOURCE_EVERY - 1:
+            coder.settle()
+        choices[0] = model.pred[1]
+        choices[1] = model.pred[0]
+        by_zero.take(upcoming, out=choices[2], mode="clip")
+        np.add(upcoming, missed, out=upcoming)
+        all_choices.take(place, out=x, mode="clip")
+        np.equal(model.pred, x, out=model.hit)
+        model.learn(x, source, not2)
     return ids
 
 
@@ -247,11 +395,11 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
     by_lane = padded.reshape(lanes, steps)
-    words, counts = _encode_lanes(np.ascontiguousarray(by_lane.T))
+    words = _encode_lanes(np.ascontiguousarray(by_lane.T))
+    counts = np.array([len(x) for x in words], "<u4")
     as32 = ids.astype("<u4")
     sums = np.array([zlib.crc32(as32[k * steps : (k + 1) * steps]) for k in range(lanes)], "<u4")
-    flat = np.concatenate([words[k, :c] for k, c in enumerate(counts)]).astype("<u2")
-    return struct.pack("<II", n, lanes) + counts.astype("<u4").tobytes() + sums.tobytes() + flat.tobytes()
+    return struct.pack("<II", n, lanes) + counts.tobytes() + sums.tobytes() + np.concatenate(words).astype("<u2").tobytes()
 
 
 def superblock_size(head: bytes) -> tuple[int, int]:
@@ -269,8 +417,8 @@ def decode_blocks(body: bytes) -> np.ndarray:
     sums = np.frombuffer(body, "<u4", lanes, 8 + 4 * lanes)
     words = np.frombuffer(body, "<u2", int(counts.sum()), 8 + 8 * lanes)
     words = np.concatenate([words, np.zeros(8, np.uint16)]).astype(np.int64)
-    with np.errstate(invalid="ignore"):  # damaged blocks may have values of any size, which their checksum tells
-        ids = _decode_lanes(words, np.cumsum(counts) - counts, steps).T.ravel()[:n]
+    with np.errstate(all="ignore"):  # damaged blocks may have values of any size, which their checksum tells
+        ids = np.ascontiguousarray(_decode_lanes(words, np.cumsum(counts) - counts, steps).T).ravel()[:n]
     as32 = ids.astype("<u4")
     for k in range(lanes):
         if zlib.crc32(as32[k * steps : (k + 1) * steps]) != sums[k]:

@@ -14,14 +14,17 @@ all rows; an empty table gives no file and no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,24 +32,66 @@ from pyspark.sql import functions as F
 
 from . import idcodec
 from .bpe import read_spec
-from .common import cache, mapped, shuffle_partitions, text_slices, work_dir
-
-#: White space that surely separates words for the library too; whatever else there is stays within a chunk.
-#: Letters (but for the dotted capital I, whose lower case ends in a mark) before white space, a full stop or a comma, and these marks before white space, are chunks of their own, as they are for the library.
-CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[ \t\n\r.,]|\Z)|[.,]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
-#: Chunks that a worker remembers, and their characters at most.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 40
-#: Letters that chunks of their own consist of, and words that go to the library as one text.
-LETTERS, TOGETHER = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"), 500
+from .common import array_slices, cache, mapped, shuffle_partitions, work_dir
+
+#: Bytes that end a run: white space that surely separates words for the library too, full stops and commas. Whatever else there is stays within a chunk.
+SPACE, STOPS = b" \t\n\r", b".,"
+#: 1 for these bytes, 0 for others.
+IS_END = bytes(int(c in SPACE + STOPS) for c in range(256))
+_IS_SPACE = np.array([c in SPACE for c in range(256)])
+_IS_ASCII_LETTER = np.array([bytes([c]).isalpha() for c in range(256)])
+#: Second bytes, after C3, of the letters from À to ÿ.
+_LATIN, _IS_LATIN = 0xC3, np.array([0x80 <= c < 0xC0 and c not in (0x97, 0xB7) for c in range(256)])
+#: Chunks that a worker remembers, and their bytes at most.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 40
+#: Words of letters, digits and marks that the normaliser only lower-cases, without what contractions and special tokens begin with.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]+")
+#: What the pre-tokenizer makes of them.
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts that are cut into chunks together.
+TEXT_BYTES = 8 << 20
 SECTION_IDS = idcodec.BLOCK * idcodec.LANES
 END_ID = 1
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies have for the bytes."""
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    return dict(zip(shown, map(chr, shown), strict=True)) | {c: chr(256 + k) for k, c in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+#: What the vocabulary's file must say of normalisation for words to go to the library's model alone.
+PLAIN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN_PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": PLAIN_SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where chunks of UTF-8 texts start, each of which ends with white space at the places ``ends``. Runs of white space, full stops and commas are
+    cut off from others next to a letter, and where white space is on their side; so that the pre-tokenizer would cut there too. A blank goes with what follows it."""
+    kind = np.frombuffer(data.tobytes().translate(IS_END), np.uint8)
+    at = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    before, after, opens = data[at - 1], data[at], kind[at] == 0
+    second = np.take(data, at + 1, mode="clip")
+    latin_after = (after == _LATIN) & _IS_LATIN[second]
+    latin_before = (np.take(data, at - 2, mode="clip") == _LATIN) & _IS_LATIN[before]
+    fine = np.where(opens, _IS_SPACE[before] | _IS_ASCII_LETTER[after] | latin_after, _IS_SPACE[after] | _IS_ASCII_LETTER[before] | latin_before)
+    cut = np.zeros(len(data), bool)
+    cut[at[fine] - (opens & (before == SPACE[0]))[fine]] = True
+    cut[0] = True
+    cut[ends[:-1]] = True
+    return np.flatnonzero(cut)
+
+
 class ChunkTokenizer:
-    """The tokenizers library behind a bounded memory of white-space-separated chunks.
+    """The tokenizers library behind a bounded memory of chunks.
 
     This vocabulary's pre-tokenizer drops white space and never joins what it separates, so that the ids
-    of a text are those of its chunks in order.
+    of a text are those of its chunks in order. Plain words go to the library's model without its normaliser and pre-tokenizer,
+    which only lower-case them and write their bytes as characters.
     """
 
     def __init__(self, spec: str):
@@ -58,41 +103,70 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def _learned(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of chunks. Plain words go to the library as one text, and are told apart by the tokens that end a word."""
-        words, others = [], []
+        self.model = self.tokenizer.model
+        self.known: dict[bytes, bytes] = {}
+        told = json.loads(spec)
+        normal, split = told["normalizer"] or {}, told["pre_tokenizer"] or {}
+        self.plain = normal.get("normalizers") == PLAIN_NORMALIZER and split.get("pretokenizers") == PLAIN_PRE_TOKENIZER
+        # such added tokens would be found in words
+        self.plain &= not any(PLAIN.fullmatch(t["content"]) for t in told["added_tokens"])
+        self.characters = _byte_characters()
+
+    def _learned(self, chunks: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of chunks."""
+        others, tokenize, characters = [], self.model.tokenize, self.characters
         for c in chunks:
-            (words if LETTERS.fullmatch(c) else others).append(c)
-        for at in range(0, len(words), TOGETHER):
-            part = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint16)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("the vocabulary doesn't mark the ends of words")
-            data = (2 * ends).tolist()
-            flat = ids.tobytes()
-            yield from zip(part, map(flat.__getitem__, map(slice, [0, *data[:-1]], data)), strict=True)
-        for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            yield c, np.array(e.ids, np.uint16).tobytes()
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """uint16 ids of each text and ``end_id``."""
-        known = self.known
-        chunked = [CHUNK.findall(t) if t else [] for t in texts]
-        missing = list({c for x in chunked for c in x if c not in known})
+            bare = c.lstrip(b" ")
+            if self.plain and bare.isalpha():  # ASCII letters only
+                yield c, array("H", [t.id for t in tokenize(bare.lower().decode())]).tobytes()
+                continue
+            word = bare.decode()
+            if not (self.plain and PLAIN.fullmatch(word)):
+                others.append((c, word))
+                continue
+            pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(characters) for p in PIECE.findall(word.lower())]
+            yield c, array("H", [t.id for p in pieces for t in tokenize(p)]).tobytes()
+        for (c, _), e in zip(others, self.tokenizer.encode_batch_fast([w for _, w in others], add_special_tokens=False), strict=True):
+            yield c, array("H", e.ids).tobytes()
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """uint16 ids of all texts (null: empty), each with ``end_id`` after it, and their counts."""
+        if not len(texts):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        empty, feed = (pa.scalar(x, pa.large_binary()) for x in (b"", b"\n"))
+        ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_binary()), empty), empty, feed)
+        bounds = np.frombuffer(ended.buffers()[1], np.int64, len(ended) + 1, 8 * ended.offset)
+        data = np.frombuffer(ended.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        ends = bounds[1:] - bounds[0]
+        starts = _starts(data, ends)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
+        coded = chunks.dictionary_encode()
+        known, different = self.known, coded.dictionary.to_pylist()
+        missing = [c for c in different if c not in known]
         room = REMEMBERED - len(known)
         for at in range(0, len(missing), 20_000):
             known.update(self._learned(missing[at : at + 20_000]))
-        end = struct.pack("<H", end_id)
-        out = [b"".join(map(known.__getitem__, x)) + end for x in chunked]
-        for c in (c for k, c in enumerate(missing) if k >= room or len(c) > REMEMBERED_CHARS):
+        held = list(map(known.__getitem__, different))
+        for c in (c for k, c in enumerate(missing) if k >= room or len(c) > REMEMBERED_BYTES):
             del known[c]
-        return out
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) >> 1
+        codes = np.asarray(coded.indices)
+        of_chunk = sizes[codes]
+        flat = np.frombuffer(b"".join(held), np.uint16)
+        first = np.cumsum(sizes) - sizes
+        done = np.cumsum(of_chunk)  # ids up to each chunk's end
+        firsts = np.searchsorted(starts, ends)  # the next text's first chunk
+        total = done[firsts - 1]
+        places = np.repeat(first[codes] - (done - of_chunk), of_chunk)
+        places += np.arange(len(places))
+        out = np.insert(flat[places], total, np.uint16(end_id))
+        return out, np.diff(total, prepend=0) + 1
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        """uint16 ids of each text and ``end_id``."""
+        flat, counts = self.ids(pa.array(texts, pa.large_string()), end_id)
+        data, ends = flat.tobytes(), np.cumsum(counts).tolist()
+        return [data[2 * a : 2 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def tokenizer_of(spec: str) -> ChunkTokenizer:
@@ -134,6 +208,50 @@ def sections(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]
         yield [None if z else int(d) for d, z in zip(docs, nulls, strict=True)], counts, np.concatenate(parts)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and texts of rows in order, of TEXT_BYTES together or one longer text. Batches are put together up to there."""
+    docs: list[int | None] = []
+    held: list[pa.Array] = []
+    size = 0
+    for batch in batches:
+        names, done = batch.column(0).to_pylist(), 0
+        column = batch.column(1).cast(pa.large_string())
+        for part in array_slices(column, TEXT_BYTES):
+            more = pc.sum(pc.binary_length(part)).as_py() or 0
+            if docs and size + more > TEXT_BYTES:
+                yield docs, pa.concat_arrays(held)
+                docs, held, size = [], [], 0
+            docs += names[done : done + len(part)]
+            held.append(part)
+            done, size = done + len(part), size + more
+    if docs:
+        yield docs, pa.concat_arrays(held)
+
+
+def _sectioned(encoded: Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Documents, ids and counts → documents, counts and ids of each section."""
+    ids: list[int | None] = []
+    held: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
+    size = 0
+    for docs, flat, counts in encoded:
+        ends, at, done = np.cumsum(counts), 0, 0
+        while at < len(docs):
+            to = int(np.searchsorted(ends, done + SECTION_IDS - size, side="right"))  # as many as there is room for
+            if to <= at and ids:
+                yield ids, np.concatenate(lengths), np.concatenate(held)
+                ids, held, lengths, size = [], [], [], 0
+                continue
+            to = max(to, at + 1)
+            end = int(ends[to - 1])
+            ids += docs[at:to]
+            lengths.append(counts[at:to])
+            held.append(flat[done:end])
+            size, at, done = size + end - done, to, end
+    if ids:
+        yield ids, np.concatenate(lengths), np.concatenate(held)
+
+
 def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Tokenises and writes; returns the manifest (part, path, n_docs, n_ids). Runs when the manifest is read, so
     read it once: by writing it out."""
@@ -148,41 +266,22 @@ def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "do
         store, root = pafs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.cmix"
-        ids: list[int | None] = []
-        held: list[bytes] = []
-        size, opened = 0, None
-
-        def flush() -> None:
-            nonlocal ids, held, size
-            if ids:
-                counts = np.array([len(x) // 2 for x in held], np.int64)
-                opened.write(_section(ids, counts, np.frombuffer(b"".join(held), np.uint16)))
-                ids, held, size = [], [], 0
-
-        for batch in batches:
-            if opened is None and batch.num_rows:
+        opened = None
+        for docs, counts, flat in _sectioned((docs, *coder.ids(texts, end_id)) for docs, texts in _together(batches)):
+            if opened is None:
                 opened = store.open_output_stream(f"{root}/{name}")
                 opened.write(idcodec.MAGIC)
-            names = iter(batch.column(0).to_pylist())
-            for texts in text_slices(batch.column(1)):
-                for got in coder.encode(texts, end_id):
-                    doc = next(names)
-                    if size + len(got) // 2 > SECTION_IDS:
-                        flush()
-                    ids.append(doc)
-                    held.append(got)
-                    size += len(got) // 2
-                    n_docs, n_ids = n_docs + 1, n_ids + len(got) // 2
+            opened.write(_section(docs, counts, flat))
+            n_docs, n_ids = n_docs + len(docs), n_ids + len(flat)
         if opened is not None:
-            flush()
             opened.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{out_dir}/{name}"], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     return mapped(dealt, run, "part long, path string, n_docs long, n_ids long")
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Reads files back: doc_id, start (ids of all documents before it), tokens array<int>.
+def _read(manifest: DataFrame, schema: str, shaped: Callable) -> DataFrame:
+    """Rows of the files: doc_id, start and the columns that ``shaped`` makes of the ids of some documents and their bounds.
 
     The files' offsets are a running sum over the manifest, which has a row per file and is small by that.
     """
@@ -190,7 +289,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     files = sorted(manifest.select("part", "path", "n_ids").collect())
     starts = np.cumsum([0, *(f["n_ids"] for f in files)])
     listed = [(f["path"], int(s)) for f, s in zip(files, starts[:-1], strict=True)]
-    schema = "doc_id long, start long, tokens array<int>"
+    schema = f"doc_id long, start long, {schema}"
     if not listed:
         return spark.createDataFrame([], schema)
     names = spark.createDataFrame(listed, "path string, base long").repartition(len(listed))
@@ -204,13 +303,28 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         ends = np.concatenate([[0], np.cumsum(counts)])
                         for k in range(0, len(docs), 1000):
                             part = ends[k : k + 1001]
-                            tokens = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(ids[part[0] : part[-1]].astype(np.int32)))
-                            yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 1000], pa.int64()), pa.array(base + part[:-1]), tokens], names=["doc_id", "start", "tokens"])
+                            columns = {"doc_id": pa.array(docs[k : k + 1000], pa.int64()), "start": pa.array(base + part[:-1])}
+                            yield pa.RecordBatch.from_pydict(columns | shaped(ids[part[0] : part[-1]], part - part[0]))
                         base += int(ends[-1])
 
     return mapped(names, run, schema)
 
 
+def read_tokens(manifest: DataFrame) -> DataFrame:
+    """Reads files back: doc_id, start (ids of all documents before it), tokens array<int>."""
+
+    def shaped(ids: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+        return {"tokens": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))}
+
+    return _read(manifest, "tokens array<int>", shaped)
+
+
+def _checksums(ids: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+    flat = ids.astype("<u4")
+    sums = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return {"n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids_crc32": pa.array(sums, pa.int64())}
+
+
 def with_checksum(tokens: DataFrame) -> DataFrame:
     """n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers) instead of the ids."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -218,16 +332,20 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("tokens"))
-            ends, flat = np.asarray(column.offsets), np.asarray(column.values).astype("<u4")
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((ends[1:] - ends[:-1]).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            found = _checksums(np.asarray(column.values), np.asarray(column.offsets))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "start": batch.column(1)} | found)
 
     return mapped(tokens.select("doc_id", "start", "tokens"), run, schema)
 
 
+def read_checksums(manifest: DataFrame) -> DataFrame:
+    """``with_checksum`` of ``read_tokens``, told of the ids where they are read, so that these stay in one process."""
+    return _read(manifest, "n_tokens long, ids_crc32 long", _checksums)
+
+
 def round_trip(df: DataFrame, vocab_path: str) -> DataFrame:
     """Writes ``df``'s documents to the shared folder and reads them back."""
     spark = df.sparkSession
     root = work_dir(spark, "tokens")
     write_tokens(df, f"{root}/ids", vocab_path).write.parquet(f"{root}/manifest")
-    return with_checksum(read_tokens(spark.read.parquet(f"{root}/manifest")))
+    return read_checksums(spark.read.parquet(f"{root}/manifest"))
