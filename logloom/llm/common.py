@@ -52,6 +52,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def keep_memory() -> None:
+    """Freed memory stays with this process until ``give_back``: large arrays that come and go needn't be cleared by the system
+    each time. What can't be told to do so is left alone."""
+    with suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        for option, value in ((-1, 1 << 30), (-2, 1 << 26), (-3, 1 << 30)):  # M_TRIM_THRESHOLD, M_TOP_PAD, M_MMAP_THRESHOLD
+            libc.mallopt(option, value)
+
+
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow over small batches, by workers that keep nothing of other modules' operators, nor free memory after a task."""
     small_batches(df.sparkSession)

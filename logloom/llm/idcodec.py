@@ -37,8 +37,8 @@ REBUILD = (0, 64, 192, 448, 960, 1984, 3008)
 #: Class of a high byte, for the low byte's context: single bytes, early merges, the others.
 HIGH_CLASS = np.repeat(np.arange(4), [2, 2, 12, 240])
 N_CLASSES = 4
-#: Weights learn by 1/16 of the error; they are kept in 16 bits and start at a guess from the confidences.
-RATE = 4
+#: Weights learn by 1/8 of the error at every second step; they are kept in 16 bits and start at a guess from the confidences.
+RATE, WEIGH_EVERY = 3, 2
 
 
 def _i32(*values) -> np.ndarray:
@@ -49,11 +49,10 @@ def _i32(*values) -> np.ndarray:
 _TWO, _THREE, _RATE, _SLOTS = _i32(2), _i32(3), _i32(RATE), _i32(16)
 _ONE, _MOST2, _MOST1 = _i32(1), _i32((1 << SOURCE_BITS) - 4), _i32((1 << SOURCE_BITS) - 2)
 _CONTEXT = _i32([2], [8])
-#: By confidence and hit: what is added to an entry, and whether the id replaces it.
-_STEP, _REPLACED = _i32(0, 1, 0, 1, -1, 1, -1, 0), np.array([1, 0, 1, 0, 0, 0, 0, 0], bool)
-#: What the weights of orders 1 and 2 strive for, by source.
-_TARGET = _i32(0, 65535, 0, 65535, 0, 0)
-_SECOND = np.array([[0], [3]])
+#: By confidence and hit, what is added to an entry: KEPT makes it larger than any other that could take its place, -KEPT smaller.
+KEPT = 1 << 30
+_STEP = _i32(-KEPT, 1, -KEPT, 1, KEPT - 1, 1, KEPT - 1, 0)
+_ENTRY, _WHOLE = _i32(KEPT - 1), _i32(65535)
 _HASH1, _HASH2 = np.array([40503]), np.array([30011])
 _HASH_SHIFT, _HASH_MASK = np.array([[5], [4]]), np.array([[(1 << ORDER1_BITS) - 1], [(1 << ORDER2_BITS) - 1]])
 
@@ -71,8 +70,8 @@ class Model:
         self.weight_rows = np.stack([lane << 5, (lanes + lane) << 5])
         pair, one = (2, lanes), lanes
         self.held, self.pred, self.conf, self.scaled, self.weight, self.step, self.drift = (np.empty(pair, np.int32) for _ in range(7))
-        self.at_weight, self.key, self.places = (np.empty(pair, np.int64) for _ in range(3))
-        self.hit, self.replaced, self.agree = np.empty(pair, bool), np.empty(pair, bool), np.empty(one, bool)
+        self.at_weight, self.key = np.empty(pair, np.int64), np.empty(pair, np.int64)
+        self.hit, self.agree = np.empty(pair, bool), np.empty(one, bool)
         self.context, self.share2, self.share1, self.fresh = (np.empty(one, np.int32) for _ in range(4))
         self.hashed, self.hashed_before = np.empty(one, np.int64), np.zeros(one, np.int64)
         self.at = self.rows.copy()
@@ -80,50 +79,50 @@ class Model:
     def predict(self) -> None:
         """Looks up both predictions; sets the two shares."""
         held, pred, conf, weight, share2, share1 = self.held, self.pred, self.conf, self.weight, self.share2, self.share1
-        self.table.take(self.at, out=held, mode="clip")
-        np.right_shift(held, _TWO, out=pred)
-        np.bitwise_and(held, _THREE, out=conf)
-        np.multiply(conf, _CONTEXT, out=self.scaled)
-        np.add(self.scaled[0], self.scaled[1], out=self.context)
-        np.equal(pred[0], pred[1], out=self.agree)
-        np.add(self.context, self.agree, out=self.context)
-        np.add(self.weight_rows, self.context, out=self.at_weight)
-        self.weights.take(self.at_weight, out=weight, mode="clip")
-        np.multiply(weight[1], _MOST2, out=share2)
-        np.right_shift(share2, _SLOTS, out=share2)
-        np.add(share2, _ONE, out=share2)
-        np.subtract(_MOST1, share2, out=share1)
-        np.multiply(share1, weight[0], out=share1)
-        np.right_shift(share1, _SLOTS, out=share1)
-        np.add(share1, _ONE, out=share1)
-
-    def learn(self, ids: np.ndarray, source: np.ndarray, not2: np.ndarray) -> None:
-        """Takes over ids (int32) whose ``hit`` is set; the weight of order 1 learns where order 2 was wrong."""
-        held, key, step, drift, places = self.held, self.key, self.step, self.drift, self.places
-        np.add(self.conf, self.conf, out=key)
-        np.add(key, self.hit, out=key)
-        _STEP.take(key, out=step, mode="clip")
-        _REPLACED.take(key, out=self.replaced, mode="clip")
-        np.add(step, held, out=step)
-        np.left_shift(ids, _TWO, out=self.fresh)
-        np.add(self.fresh, _ONE, out=self.fresh)
-        np.copyto(step, self.fresh, where=self.replaced)
+        self.table.take(self.at, None, held, "clip")
+        np.right_shift(held, _TWO, pred)
+        np.bitwise_and(held, _THREE, conf)
+        np.multiply(conf, _CONTEXT, self.scaled)
+        np.add(self.scaled[0], self.scaled[1], self.context)
+        np.equal(pred[0], pred[1], self.agree)
+        np.add(self.context, self.agree, self.context)
+        np.add(self.weight_rows, self.context, self.at_weight)
+        self.weights.take(self.at_weight, None, weight, "clip")
+        np.multiply(weight[1], _MOST2, share2)
+        np.right_shift(share2, _SLOTS, share2)
+        np.add(share2, _ONE, share2)
+        np.subtract(_MOST1, share2, share1)
+        np.multiply(share1, weight[0], share1)
+        np.right_shift(share1, _SLOTS, share1)
+        np.add(share1, _ONE, share1)
+
+    def learn(self, ids: np.ndarray, not2: np.ndarray, weigh: bool) -> None:
+        """Takes over ids (int32) whose ``hit`` is set, in the weights if ``weigh``; that of order 1 learns where order 2 was wrong."""
+        key, step, drift = self.key, self.step, self.drift
+        np.add(self.conf, self.conf, key)
+        np.add(key, self.hit, key)
+        _STEP.take(key, None, step, "clip")
+        np.add(step, self.held, step)
+        np.left_shift(ids, _TWO, self.fresh)
+        np.add(self.fresh, _ONE, self.fresh)
+        np.maximum(step, self.fresh, step)  # an entry that was hit is no smaller
+        np.bitwise_and(step, _ENTRY, step)
         self.table[self.at] = step
-        np.add(source, _SECOND, out=places)
-        _TARGET.take(places, out=drift, mode="clip")
-        np.subtract(drift, self.weight, out=drift)
-        np.right_shift(drift, _RATE, out=drift)
-        np.multiply(drift[0], not2, out=drift[0])
-        np.add(drift, self.weight, out=drift)
-        self.weights[self.at_weight] = drift
+        if weigh:
+            np.multiply(self.hit, _WHOLE, drift)
+            np.subtract(drift, self.weight, drift)
+            np.right_shift(drift, _RATE, drift)
+            np.multiply(drift[0], not2, drift[0])
+            np.add(drift, self.weight, drift)
+            self.weights[self.at_weight] = drift
         at, hashed = self.at, self.hashed
-        np.multiply(ids, _HASH1, out=hashed)
+        np.multiply(ids, _HASH1, hashed)
         at[0] = hashed
-        np.add(hashed, self.hashed_before, out=at[1])
-        np.multiply(ids, _HASH2, out=self.hashed_before)
-        np.right_shift(at, _HASH_SHIFT, out=at)
-        np.bitwise_and(at, _HASH_MASK, out=at)
-        np.add(at, self.rows, out=at)
+        np.add(hashed, self.hashed_before, at[1])
+        np.multiply(ids, _HASH2, self.hashed_before)
+        np.right_shift(at, _HASH_SHIFT, at)
+        np.bitwise_and(at, _HASH_MASK, at)
+        np.add(at, self.rows, at)
 
 
 class OrderZero:
@@ -190,16 +189,19 @@ def _range_encode(start: np.ndarray, share: np.ndarray, counts: np.ndarray, bits
             while len(at):
                 out[at] += 1
                 at = at[out[at] == 0] - 1
-        while len(small := np.flatnonzero(width < least)):
+        small = np.flatnonzero(width < least)
+        while len(small):
             emit(small)
-            width[small] <<= 16
+            wider = width[small] << 16
+            width[small] = wider
+            small = small[wider < least]
 
     for k, n in enumerate(active.tolist()):
         u, m, w, lo = (unit, moved, width, low) if n == lanes else (unit[:n], moved[:n], width[:n], low[:n])
-        np.right_shift(w, shift, out=u)
-        np.multiply(u, start[k, :n], out=m)
-        np.add(lo, m, out=lo)
-        np.multiply(u, share[k, :n], out=w)
+        np.right_shift(w, shift, u)
+        np.multiply(u, start[k, :n], m)
+        np.add(lo, m, lo)
+        np.multiply(u, share[k, :n], w)
         if k % every == every - 1:
             settle()
     settle()
@@ -224,11 +226,14 @@ class _RangeDecoder:
 
     def settle(self) -> None:
         code, width = self.code, self.width
-        while len(small := np.flatnonzero(width < self.least)):
+        small = np.flatnonzero(width < self.least)
+        while len(small):
             place = self.at[small]
             code[small] = (code[small] << 16) | self.shifted.take(place, mode="clip")
             self.at[small] = place + 1
-            width[small] = np.maximum(width[small], 1) << 16  # 0 only in damaged blocks, which must end too
+            wider = np.maximum(width[small], 1) << 16  # 0 only in damaged blocks, which must end too
+            width[small] = wider
+            small = small[wider < self.least]
 
 
 def _encode_lanes(ids: np.ndarray) -> list[np.ndarray]:
@@ -236,21 +241,19 @@ def _encode_lanes(ids: np.ndarray) -> list[np.ndarray]:
     steps, lanes = ids.shape
     model = Model(lanes)
     sources, shares = np.empty((steps, lanes), np.int8), np.empty((steps, 2, lanes), np.int16)
-    source = np.empty(lanes, np.int64)
     hit, any_hit, not2 = model.hit, np.empty(lanes, bool), np.empty(lanes, bool)
-    two = np.array([2])
+    two = np.array([2], np.int8)
     for k in range(steps):
         x = ids[k]
         model.predict()
         shares[k, 0] = model.share2
         shares[k, 1] = model.share1
-        np.equal(model.pred, x, out=hit)
-        np.logical_or(hit[0], hit[1], out=any_hit)
-        np.logical_not(hit[1], out=not2)
-        np.subtract(two, any_hit, out=source)
-        np.subtract(source, hit[1], out=source)
-        sources[k] = source
-        model.learn(x, source, not2)
+        np.equal(model.pred, x, hit)
+        np.logical_or(hit[0], hit[1], any_hit)
+        np.logical_not(hit[1], not2)
+        np.subtract(two, any_hit, sources[k])
+        np.subtract(sources[k], hit[1], sources[k])
+        model.learn(x, not2, k % WEIGH_EVERY == 0)
     one, missed = sources == 1, sources == 2
     share, start = shares[:, 0].copy(), np.zeros((steps, lanes), np.int16)
     np.copyto(start, share, where=one | missed)
@@ -326,7 +329,7 @@ def _decode_ids(words: np.ndarray, shifted: np.ndarray, starts: np.ndarray, coun
             key = (row << eight) + low
             begins += of_high * zero.low_start.take(key)
             code -= unit * begins
-            np.multiply(unit, of_high * zero.low_share.take(key), out=width)
+            np.multiply(unit, of_high * zero.low_share.take(key), width)
             np.add(high << eight, low, out=ids[k, :n], casting="unsafe")
             if k % ID_EVERY == ID_EVERY - 1:
                 coder.settle()
@@ -356,29 +359,29 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarr
     for k in range(steps):
         x = ids[k]
         model.predict()
-        np.right_shift(width, shift, out=unit)
-        np.multiply(unit, model.share2, out=bounds[1])
-        np.multiply(unit, model.share1, out=bounds[2])
-        np.add(bounds[2], bounds[1], out=bounds[2])
-        np.left_shift(unit, shift, out=bounds[3])
-        np.greater_equal(code, bounds[1], out=not2)
-        np.greater_equal(code, bounds[2], out=missed)
+        np.right_shift(width, shift, unit)
+        np.multiply(unit, model.share2, bounds[1])
+        np.multiply(unit, model.share1, bounds[2])
+        np.add(bounds[2], bounds[1], bounds[2])
+        np.left_shift(unit, shift, bounds[3])
+        np.greater_equal(code, bounds[1], not2)
+        np.greater_equal(code, bounds[2], missed)
         np.add(not2, missed, out=source, dtype=np.int64)
-        np.multiply(source, wide, out=place)
-        np.add(place, lane, out=place)
-        all_bounds.take(place, out=begins, mode="clip")
-        ends.take(place, out=width, mode="clip")
-        np.subtract(width, begins, out=width)
-        np.subtract(code, begins, out=code)
+        np.multiply(source, wide, place)
+        np.add(place, lane, place)
+        all_bounds.take(place, None, begins, "clip")
+        ends.take(place, None, width, "clip")
+        np.subtract(width, begins, width)
+        np.subtract(code, begins, code)
         if k % SOURCE_EVERY == SOURCE_EVERY - 1:
             coder.settle()
         choices[0] = model.pred[1]
         choices[1] = model.pred[0]
-        by_zero.take(upcoming, out=choices[2], mode="clip")
-        np.add(upcoming, missed, out=upcoming)
-        all_choices.take(place, out=x, mode="clip")
-        np.equal(model.pred, x, out=model.hit)
-        model.learn(x, source, not2)
+        by_zero.take(upcoming, None, choices[2], "clip")
+        np.add(upcoming, missed, upcoming)
+        all_choices.take(place, None, x, "clip")
+        np.equal(model.pred, x, model.hit)
+        model.learn(x, not2, k % WEIGH_EVERY == 0)
     return ids
 
 

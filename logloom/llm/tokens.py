@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import idcodec
 from .bpe import read_spec
-from .common import array_slices, cache, mapped, shuffle_partitions, work_dir
+from .common import array_slices, cache, keep_memory, mapped, shuffle_partitions, work_dir
 
 #: Bytes that end a run: white space that surely separates words for the library too, full stops and commas. Whatever else there is stays within a chunk.
 SPACE, STOPS = b" \t\n\r", b".,"
@@ -142,13 +142,16 @@ class ChunkTokenizer:
         chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
         coded = chunks.dictionary_encode()
         known, different = self.known, coded.dictionary.to_pylist()
-        missing = [c for c in different if c not in known]
-        room = REMEMBERED - len(known)
+        held = list(map(known.get, different))
+        missing = [k for k, x in enumerate(held) if x is None]
         for at in range(0, len(missing), 20_000):
-            known.update(self._learned(missing[at : at + 20_000]))
-        held = list(map(known.__getitem__, different))
-        for c in (c for k, c in enumerate(missing) if k >= room or len(c) > REMEMBERED_BYTES):
-            del known[c]
+            part = missing[at : at + 20_000]
+            learned = dict(self._learned([different[k] for k in part]))
+            for k in part:
+                c = different[k]
+                held[k] = x = learned[c]
+                if len(known) < REMEMBERED and len(c) <= REMEMBERED_BYTES:
+                    known[c] = x
         sizes = np.fromiter(map(len, held), np.int64, len(held)) >> 1
         codes = np.asarray(coded.indices)
         of_chunk = sizes[codes]
@@ -261,6 +264,7 @@ def write_tokens(df: DataFrame, out_dir: str, vocab_path: str, id_col: str = "do
     dealt = docs.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         coder = tokenizer_of(spec.value)
         part, n_docs, n_ids = TaskContext.get().partitionId(), 0, 0
         store, root = pafs.FileSystem.from_uri(out_dir)
@@ -295,6 +299,7 @@ def _read(manifest: DataFrame, schema: str, shaped: Callable) -> DataFrame:
     names = spark.createDataFrame(listed, "path string, base long").repartition(len(listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = pafs.FileSystem.from_uri(path)
